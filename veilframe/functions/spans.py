@@ -100,6 +100,19 @@ def _greedy(island: Sql) -> Sql:
     return f"array_sort({_by_start(let(order, lambda o: fold(o, f'slice({o}, 1, 0)', step)))})"
 
 
+def _islands(s: Sql, reach: Sql) -> Sql:
+    """Cut spans sorted by start into runs; ``reach`` is the running maximum of their ends."""
+    head = transform_indexed(
+        s, lambda r, i: f"case when {i} = 0 or {r}.start >= get({reach}, {i} - 1) then {i} end"
+    )
+    return let(
+        keep(head, lambda i: f"{i} is not null"),
+        lambda h: transform_indexed(
+            h, lambda i, j: f"slice({s}, {i} + 1, coalesce(get({h}, {j} + 1), size({s})) - {i})"
+        ),
+    )
+
+
 def resolve_overlaps(spans: Sql, priority: Mapping[str, int]) -> Sql:
     """Disjoint spans in text order.
 
@@ -107,19 +120,8 @@ def resolve_overlaps(spans: Sql, priority: Mapping[str, int]) -> Sql:
     the greedy choice is made inside each island.
     """
 
-    def islands(s: Sql, reach: Sql) -> Sql:
-        head = transform_indexed(
-            s, lambda r, i: f"case when {i} = 0 or {r}.start >= get({reach}, {i} - 1) then {i} end"
-        )
-        return let(
-            keep(head, lambda i: f"{i} is not null"),
-            lambda h: transform_indexed(
-                h, lambda i, j: f"slice({s}, {i} + 1, coalesce(get({h}, {j} + 1), size({s})) - {i})"
-            ),
-        )
-
     def choose(s: Sql) -> Sql:
-        parts = let(let(transform(s, lambda r: f"{r}.end"), running_max), lambda reach: islands(s, reach))
+        parts = let(let(transform(s, lambda r: f"{r}.end"), running_max), lambda reach: _islands(s, reach))
         return f"flatten({transform(parts, lambda p: when(f'size({p}) = 1', _by_start(p), _greedy(p)))})"
 
     return transform(
@@ -128,16 +130,24 @@ def resolve_overlaps(spans: Sql, priority: Mapping[str, int]) -> Sql:
     )
 
 
+def merge_overlaps(spans: Sql) -> Sql:
+    """The areas covered by any span, as disjoint (start, end) in order."""
+
+    def areas(s: Sql) -> Sql:
+        parts = let(let(transform(s, lambda r: f"{r}.end"), running_max), lambda reach: _islands(s, reach))
+        return transform(
+            parts,
+            lambda p: struct(start=f"get({p}, 0).start", end=f"array_max({transform(p, lambda r: f'{r}.end')})"),
+        )
+
+    plain = transform(spans, lambda s: struct(start=f"{s}.start", end=f"{s}.end"))
+    return let(f"array_sort({plain})", areas)
+
+
 def finalize_spans(text: Sql, spans: Sql, priority: Mapping[str, int]) -> Sql:
     """Propagate, then resolve: spans that will lose still propagate."""
-    return let(
-        spans,
-        lambda raw: when(
-            f"size({raw}) = 0",
-            NO_SPANS,
-            let(propagate_spans(text, raw), lambda s: resolve_overlaps(s, priority)),
-        ),
-    )
+    closed = let(propagate_spans(text, spans), lambda s: resolve_overlaps(s, priority))
+    return when(f"size({spans}) = 0", NO_SPANS, closed)
 
 
 def apply_replacements(

@@ -61,6 +61,10 @@ def keep(arr: Sql, test: Callable[[Sql], Sql]) -> Sql:
     return _lambda("filter", arr, test)
 
 
+def keep_indexed(arr: Sql, test: Callable[[Sql, Sql], Sql]) -> Sql:
+    return _lambda("filter", arr, test, 2)
+
+
 def any_of(arr: Sql, test: Callable[[Sql], Sql]) -> Sql:
     return _lambda("exists", arr, test)
 
