@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 try:  # the engine with a time limit; without it custom patterns are skipped
     import regex as timed_regex
@@ -25,19 +26,23 @@ except ImportError:  # pragma: no cover
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# as objects: a type written as text needs a session when the module is imported
+_TEXTS = T.ArrayType(T.StringType())
+_MATCH = T.StructType([T.StructField(name, T.IntegerType()) for name in ("n", "start", "end")])
+
 
 def fold_key(value: str) -> str:
     """How exempt values are compared: composed, stripped, case-folded."""
     return unicodedata.normalize("NFC", value).strip().casefold()
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(_TEXTS))
 def fold_texts(leaves: pd.Series) -> pd.Series:
     """The folded form of every span text of every leaf."""
     return leaves.map(lambda spans: [[fold_key(t) for t in texts] for texts in spans], na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_values(values: pd.Series) -> pd.Series:
     return values.map(fold_key, na_action="ignore")
 
@@ -46,7 +51,7 @@ def timed_matches(sources: tuple[tuple[int, str, bool], ...], seconds: float):
     """UDF: array of texts -> numbered matches per text; a pattern that takes too long on a
     text has none there. ``sources`` are (number, pattern, is a case-blind literal)."""
 
-    @F.pandas_udf("array<array<struct<n:int,start:int,end:int>>>")
+    @F.pandas_udf(T.ArrayType(T.ArrayType(_MATCH)))
     def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compiled = [
             (n, timed_regex.compile(timed_regex.escape(src), timed_regex.I) if literal else timed_regex.compile(src))
@@ -108,7 +113,7 @@ _READ: dict[str, Callable[[str], list[str]]] = {
 _WRITE = {"csv": _csv_text, "json": _json_text}
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TEXTS)
 def file_leaves(formats: pd.Series, contents: pd.Series) -> pd.Series:
     """The anonymizable strings of a CSV or JSON file in order; null if it does not parse."""
 
@@ -121,7 +126,7 @@ def file_leaves(formats: pd.Series, contents: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else read(f, c) for f, c in zip(formats, contents)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def file_from_leaves(formats: pd.Series, contents: pd.Series, leaves: pd.Series) -> pd.Series:
     """The file again, with its strings replaced one for one."""
     rows = zip(formats, contents, leaves)

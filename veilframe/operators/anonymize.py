@@ -29,6 +29,7 @@ from ..functions.tokens import (
     value_table,
 )
 from .detect import choose_spans
+from .durable import hold
 
 PADS, TABLE = "__pads", "__table"
 HASH_KEY_VARIABLE = "ANON_HASH_KEY"
@@ -94,7 +95,7 @@ def anonymize_docs(
     if mode == "hash":
         found = with_pads(found, hash_key)
         options["pads"] = col(PADS)
-    tabled = found.withColumn(TABLE, expr(value_table("spans", mode, **options)))
+    tabled = hold(found, **{TABLE: value_table("spans", mode, **options)})
     mapping = table_as_map(col(TABLE)) if mode == "pseudo" else "cast(map() as map<string,string>)"
     return tabled.withColumns(
         {

@@ -16,6 +16,7 @@ from ..functions.rules import CUSTOM_PRIORITY, PATTERN_SECONDS, Rules, ruled_spa
 from ..functions.spans import finalize_spans, span_texts
 from ..functions.sql import Sql, col, expr, let, transform, transform_indexed, when
 from ..functions.text import is_blank
+from .durable import hold
 
 RAW, BASE, SLOW, FOLDED, RULED = HELPERS = ("__raw", "__base", "__slow", "__folded", "__ruled")
 
@@ -50,7 +51,7 @@ def with_leaf_spans(
         df = df.withColumn(base, expr(found))
     else:
         df = df.withColumn(RAW, expr(transform(leaves, lambda t: guard(t, raw_pii(t)))))
-        df = df.withColumn(base, expr(close(RAW, PRIORITY)))
+        df = hold(df, **{base: close(RAW, PRIORITY)})
     if not rules:
         return df.drop(*HELPERS)
     if rules.slow_patterns:
@@ -64,7 +65,7 @@ def with_leaf_spans(
         return guard(text, let(f"get({BASE}, {i})", lambda s: ruled_spans(text, s, rules, slow, folded)))
 
     df = df.withColumn(RULED, expr(transform_indexed(leaves, ruled)))
-    return df.withColumn(into, expr(close(RULED, CUSTOM_PRIORITY))).drop(*HELPERS)
+    return hold(df, **{into: close(RULED, CUSTOM_PRIORITY)}).drop(*HELPERS)
 
 
 def with_spans(
@@ -75,17 +76,13 @@ def with_spans(
     rules: Rules | Mapping | str | None = None,
     found: str | None = None,
 ) -> DataFrame:
-    """Add the array of disjoint spans of a text column. No shuffle.
-
-    Reading the array more than once is fine; filtering on it is not, because the optimizer
-    would evaluate the detectors again below the projection. Explode it instead.
-    """
+    """Add the array of disjoint spans of a text column. No shuffle."""
     parsed = Rules.parse(rules)
     if not parsed and found:
         return df.withColumn(into, expr(f"coalesce({col(found)}, {NO_SPANS})"))
     if not parsed:
         raw = df.withColumn(RAW, expr(raw_pii(col(text))))
-        return raw.withColumn(into, expr(finalized(col(text), RAW))).drop(RAW)
+        return hold(raw, **{into: finalized(col(text), RAW)}).drop(RAW)
     wrapped = "__leaf_spans"
     given = f"array(coalesce({col(found)}, {NO_SPANS}))" if found else None
     df = with_leaf_spans(df, f"array({col(text)})", wrapped, rules=parsed, found=given)
@@ -94,11 +91,7 @@ def with_spans(
 
 def explode_spans(df: DataFrame, key: Sequence[str], spans: str = "spans") -> DataFrame:
     """One row per span of a span column: the key, label, start, end, text."""
-    # the outer form with a test on its output keeps the optimizer from copying the detectors
-    # into a filter below the projection that computes the column
-    s = "__s"
-    rows = df.select(*key, F.explode_outer(spans).alias(s)).where(F.col(f"{s}.start").isNotNull())
-    return rows.select(*key, f"{s}.label", f"{s}.start", f"{s}.end", f"{s}.text")
+    return df.select(*key, F.inline(spans)).select(*key, "label", "start", "end", "text")
 
 
 def ingest_external_spans(
@@ -129,7 +122,7 @@ def ingest_external_spans(
         closed = let(spans, lambda s: finalize_spans(t, s, {}))
         return when(f"{t} is null or {RAW} is null", NO_SPANS, closed)
 
-    return docs.join(grouped, keys, "left").withColumn(into, expr(let(col(text), close))).drop(RAW)
+    return hold(docs.join(grouped, keys, "left"), **{into: let(col(text), close)}).drop(RAW)
 
 
 def choose_spans(

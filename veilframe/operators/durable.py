@@ -1,10 +1,25 @@
-"""Cutting lineage where a result is used more than once and must not be computed anew."""
+"""Keeping results from being computed more than once: within a plan and across jobs."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.sql import Sql, expr
+
+
+def hold(df: DataFrame, **columns: Sql) -> DataFrame:
+    """Add costly columns in a way that the optimizer does not copy them.
+
+    A filter on a projected column is pushed below the projection with the column's whole
+    expression in it, so the expression runs twice, or many times over a chain of columns. A
+    filter does not pass the generator it reads from, while one on other columns still does.
+    """
+    for name, sql in columns.items():
+        df = df.select("*", F.explode_outer(F.array(expr(sql))).alias(name))
+    return df
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import durable
 
 
-def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    """Null-safe equality of the named columns, true for none."""
+def join_on(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null equals null; each of the columns is kept once.
+
+    The columns of the right side are renamed first, so both sides may stem from one table.
+    """
+    renamed = {c: f"__right_{c}" for c in columns}
+    other = right.withColumnsRenamed(renamed)
     condition = F.lit(True)
-    for c in columns:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
+    for mine, theirs in renamed.items():
+        condition = condition & F.col(mine).eqNullSafe(F.col(theirs))
+    return left.join(other, condition, how).drop(*renamed.values())
 
 
 def number_within(df: DataFrame, group: list[str], order: list[str], into: str = "n") -> DataFrame:
@@ -34,5 +39,5 @@ def number_within(df: DataFrame, group: list[str], order: list[str], into: str =
     )
     stretch = Window.partitionBy(*group, part).orderBy(*order)
     counted = ranged.withColumn(inside, F.row_number().over(stretch))
-    joined = counted.join(offsets, same(counted, offsets, [*group, part]))
-    return joined.select(*[counted[c] for c in df.columns], (counted[inside] + offsets[before]).alias(into))
+    joined = join_on(counted, offsets, [*group, part])
+    return joined.select(*df.columns, (F.col(inside) + F.col(before)).alias(into))

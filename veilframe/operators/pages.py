@@ -9,6 +9,7 @@ from ..functions.spans import apply_replacements, merge_overlaps, span_texts
 from ..functions.sql import Sql, col, expr, keep, let, transform
 from ..functions.text import is_blank
 from .detect import with_spans
+from .durable import hold
 
 BLOCK = "█"
 
@@ -29,7 +30,7 @@ def redact_pages(pages: DataFrame, *, text: str = "text", rules=None, into: str
         )
         return f"flatten({each})"
 
-    located = found.withColumn("__hits", expr(let(marker_free(col(text)), hits)))
+    located = hold(found, __hits=let(marker_free(col(text)), hits))
     merged = located.withColumn("__areas", expr(merge_overlaps("__hits")))
     blocked = apply_replacements(col(text), "__areas", lambda a, i: f"repeat('{BLOCK}', {a}.end - {a}.start)")
     return merged.withColumns({into: expr(blocked), "redactions": expr("size(__hits)")}).drop(

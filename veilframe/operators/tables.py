@@ -25,8 +25,8 @@ from ..functions.tokens import (
 )
 from .anonymize import PADS, with_pads
 from .detect import with_leaf_spans
-from .durable import durable
-from .numbering import number_within, same
+from .durable import durable, hold
+from .numbering import join_on, number_within
 
 LEAVES, FOUND, TABLE, OUT, HITS = "__leaves", "__found", "__values", "__out", "__hits"
 
@@ -153,9 +153,9 @@ def _by_row(df, mode, fields, leaves, rules, key, hash_key, generic) -> Anonymiz
     if mode == "hash":
         found = with_pads(found, hash_key)
         options["pads"] = PADS
-    tabled = found.withColumn(TABLE, expr(value_table(f"flatten({FOUND})", mode, **options)))
+    tabled = hold(found, **{TABLE: value_table(f"flatten({FOUND})", mode, **options)})
     out = transform_indexed(LEAVES, lambda t, i: replace_values(t, f"get({FOUND}, {i})", TABLE))
-    done = tabled.withColumn(OUT, expr(out))
+    done = hold(tabled, **{OUT: out})
     data = _rebuild(done, fields).select(*df.columns)
     if mode == "pseudo":
         mapping = tabled.select(*key, F.explode(expr(table_as_map(TABLE))).alias("token", "original"))
@@ -169,12 +169,12 @@ def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic) -
     spans = _durable_spans(df.select(*dict.fromkeys([*groups, *key]), expr(leaves).alias(LEAVES)), rules, groups, key)
     tokens = value_tokens(spans, mode, groups, key, hash_key=hash_key, generic=generic)
     hits = (
-        spans.join(tokens, same(spans, tokens, [*groups, "text"]))
-        .groupBy(*[spans[k] for k in key])
+        join_on(spans, tokens.drop("label"), [*groups, "text"])
+        .groupBy(*key)
         .agg(F.array_sort(F.collect_list(F.struct("leaf", "start", "end", "token"))).alias(HITS))
     )
     # only rows with a finding are on the right; adaptive execution broadcasts them when few
-    joined = df.join(hits, same(df, hits, key), "left").select(*[df[c] for c in df.columns], hits[HITS])
+    joined = join_on(df, hits, key, "left")
     out = transform_indexed(
         LEAVES,
         lambda t, i: when(
@@ -183,7 +183,7 @@ def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic) -
             apply_replacements(t, keep(HITS, lambda h: f"{h}.leaf = {i}"), lambda h, _: f"{h}.token"),
         ),
     )
-    done = joined.withColumn(LEAVES, expr(leaves)).withColumn(OUT, expr(out))
+    done = hold(joined.withColumn(LEAVES, expr(leaves)), **{OUT: out})
     data = _rebuild(done, fields).select(*df.columns)
     mapping = tokens.where(F.lit(mode == "pseudo")).select(*groups, "token", F.col("text").alias("original"))
     return Anonymized(data, mapping, spans.groupBy(*groups, "label").agg(F.count("*").alias("n")))

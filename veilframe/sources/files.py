@@ -21,6 +21,7 @@ from ..functions.tokens import (
 )
 from ..operators.anonymize import PADS, with_pads
 from ..operators.detect import with_leaf_spans
+from ..operators.durable import hold
 from .formats import MAX_CHARS, TEXT_FORMATS, admit, detect_format
 
 LEAVES, FOUND, TABLE, OUT, TEXT = "__leaves", "__found", "__values", "__out", "__text"
@@ -80,12 +81,11 @@ def _rewritten(df: DataFrame, mode: str, rules: Rules, hash_key: bytes | str | N
     if mode == "hash":
         found = with_pads(found, hash_key)
         options["pads"] = PADS
-    tabled = found.withColumn(TABLE, expr(value_table(f"flatten({FOUND})", mode, **options)))
+    tabled = hold(found, **{TABLE: value_table(f"flatten({FOUND})", mode, **options)})
     out = transform_indexed(LEAVES, lambda t, i: replace_values(t, f"get({FOUND}, {i})", TABLE))
     mapping = table_as_map(TABLE) if mode == "pseudo" else "cast(map() as map<string,string>)"
-    return tabled.withColumns(
+    return hold(tabled, **{OUT: out}).withColumns(
         {
-            OUT: expr(out),
             "engine": F.lit("lite"),
             "mode": F.lit(mode),
             "map": expr(mapping),

@@ -73,6 +73,6 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size.toString()) >= cores * _SMALL:
+    if int(str(size)) >= cores * _SMALL:
         return df
     return df.repartition(cores, *key)

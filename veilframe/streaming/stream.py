@@ -13,7 +13,7 @@ from ..functions.sql import expr, struct, transform
 from ..operators.anonymize import anonymize_docs
 from ..operators.detect import with_spans
 from ..operators.durable import durable
-from ..operators.numbering import number_within, same
+from ..operators.numbering import join_on, number_within
 
 
 def anonymize_stream(docs: DataFrame, mode: str = "typed", **options) -> DataFrame:
@@ -57,23 +57,22 @@ def pseudonymize_batches(
             *scopes, "value", expr(type_of("first.label")).alias("type"), F.struct("first.*").alias("at")
         )
         known = _known_tokens(spark, tokens_path, batch_id, values, scopes)
-        fresh = values.join(known, same(values, known, [*scopes, "value"]), "left_anti")
+        fresh = join_on(values, known.select(*scopes, "value"), [*scopes, "value"], "left_anti")
         numbered = number_within(fresh, [*scopes, "type"], ["at"])
         last = known.groupBy(*scopes, "type").agg(F.max("n").alias("last"))
-        offset = numbered.join(last, same(numbered, last, [*scopes, "type"]), "left").select(
-            *[numbered[c] for c in [*scopes, "value", "type"]],
-            (numbered["n"] + F.coalesce(last["last"], F.lit(0))).alias("n"),
+        offset = join_on(numbered, last, [*scopes, "type"], "left").select(
+            *scopes, "value", "type", (F.col("n") + F.coalesce("last", F.lit(0))).alias("n")
         )
         added = offset.withColumn("token", F.concat(F.lit("«"), "type", F.lit("_"), "n", F.lit("»")))
         added.write.mode("overwrite").parquet(f"{tokens_path}/batch={batch_id}")
         written = spark.read.schema(added.schema).parquet(f"{tokens_path}/batch={batch_id}")
         tokens = known.select(*scopes, "value", "token").unionByName(written.select(*scopes, "value", "token"))
         hits = (
-            spans.join(tokens, same(spans, tokens, [*scopes, "value"]))
-            .groupBy(*[spans[k] for k in keys])
+            join_on(spans, tokens, [*scopes, "value"])
+            .groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("hits"))
         )
-        joined = found.join(hits, same(found, hits, keys), "left").select(*[found[c] for c in batch.columns], "hits")
+        joined = join_on(found, hits, keys, "left").select(*batch.columns, "hits")
         output = apply_replacements(f"`{text}`", "coalesce(hits, array())", lambda h, i: f"{h}.token")
         sink(joined.withColumn("output", expr(output)).drop("hits"), batch_id)
 
