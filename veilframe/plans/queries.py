@@ -289,7 +289,15 @@ def _reversal_map(spark, sf_dir):
     return used_tokens(_anonymized(spark, sf_dir, "pseudo"), KEY)
 
 
-@query("deanonymize_rows", f"SELECT tbl, id, {o.normalized('text')} AS restored FROM ({TEXTS_SQL})")
+# pseudonymized texts, the tokens in them, and the texts with the originals back in place
+_RESTORED = f"""{_SPANS}, {_LABELLED}, {_NUMBERED}, hidden AS (SELECT tbl, id, output AS t FROM ({o.replaced('numbered', 'src', 'token')})),
+    seen AS ({o.matches('hidden', 'TOKEN', 't', '', '«[A-Z]+_[0-9A-Za-z]+»', 0)}),
+    known AS (SELECT DISTINCT tbl, id, token AS x, x AS original FROM numbered),
+    answered AS (SELECT seen.*, coalesce(original, x) AS original FROM seen LEFT JOIN known USING (tbl, id, x)),
+    back AS ({o.replaced('answered', 'hidden', 'original', output='restored')})"""
+
+
+@query("deanonymize_rows", f"{_RESTORED} SELECT tbl, id, restored FROM back")
 def _deanonymize_rows(spark, sf_dir):
     return deanonymize_rows(_anonymized(spark, sf_dir, "pseudo")).select(*KEY, "restored")
 
@@ -610,7 +618,10 @@ def _leak_check(spark, sf_dir):
     return first
 
 
-@query("roundtrip_check", f"SELECT count(*) FILTER (text IS NULL AND text IS NOT NULL) AS changed FROM ({TEXTS_SQL})")
+@query(
+    "roundtrip_check",
+    f"{_RESTORED} SELECT count(*) AS changed FROM back JOIN src USING (tbl, id) WHERE restored IS DISTINCT FROM t",
+)
 def _roundtrip(spark, sf_dir):
     done = _anonymized(spark, sf_dir, "pseudo")
     return roundtrip_check(done, KEY).agg(F.count("*").alias("changed"))
