@@ -27,8 +27,9 @@ def read_files(spark: SparkSession, path: str, *, glob: str | None = None) -> Da
 def read_csv_table(spark: SparkSession, path: str, width: int) -> DataFrame:
     """A CSV table of strings c0..c{width-1} plus the file name; the header is a row like others.
 
-    Give the width of the widest row: Spark pads shorter rows with null, and rows that are
-    wider still are kept whole in ``_corrupt``. Empty cells stay empty strings.
+    Give the width of the widest row: shorter rows are padded with null, and rows that are
+    wider still are kept whole in ``_corrupt``. Empty cells read as null and are written as
+    empty again. Files that must keep ragged rows go through ``anonymize_files``.
     """
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(width)]
     schema = T.StructType([*fields, T.StructField("_corrupt", T.StringType())])
@@ -38,8 +39,6 @@ def read_csv_table(spark: SparkSession, path: str, width: int) -> DataFrame:
         header=False,
         multiLine=True,
         escape='"',
-        nullValue="\u0000",
-        emptyValue="",
         columnNameOfCorruptRecord="_corrupt",
         mode="PERMISSIVE",
     )
