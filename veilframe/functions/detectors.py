@@ -13,14 +13,12 @@ from dataclasses import dataclass
 
 from .offsets import MARK, NO_SPANS, marked_pieces, marker_free, spans_of_pieces, with_original_text
 from .sql import Sql, array, keep, let, lit, struct, transform, when
-from .text import DIGIT, SPACE, WORD
+from .text import DIGIT, SPACE, WORD, WORD_CHARS, is_ascii
 from .validators import cuit_ok, luhn_ok, phone_ok
 
 _NOT_AFTER_WORD = f"(?<!{WORD})"
 _NOT_BEFORE_WORD = f"(?!{WORD})"
 _BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-_D = DIGIT
-_OCTET = f"(?:25[0-5]|2[0-4]{_D}|1?{_D}?{_D})"
 
 # Priority of each label when two spans of equal length overlap.
 PRIORITY = {
@@ -57,108 +55,122 @@ class Detector:
     numeric: bool = False
 
 
-# The patterns. Order is the order in which spans are emitted.
-DETECTORS: tuple[Detector, ...] = (
-    Detector(
-        "email",
-        "EMAIL",
-        # a leading word character needs a non-word before it, a leading ". % + -" a word one
-        rf"(?:(?=[A-Za-z0-9_]){_NOT_AFTER_WORD}|(?=[.%+\-])(?<={WORD}))"
-        rf"[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{_NOT_BEFORE_WORD}",
-        _has("@"),
-    ),
-    Detector(
-        "url",
-        "URL",
-        rf"(?iu){_NOT_AFTER_WORD}(?:https?://|www\.)[^{SPACE}<>()\[\]{{}}\x22\x27]+",
-        # "://" needs no letter, "www." is looked for in any case
-        lambda t: f"contains({t}, '://') or rlike({t}, {lit(r'[wW]{3}[.]')})",
-    ),
-    Detector(
-        "ipv4",
-        "IPV4",
-        rf"(?={_D}){_NOT_AFTER_WORD}(?:{_OCTET}\.){{3}}{_OCTET}{_NOT_BEFORE_WORD}",
-        _like(rf"{_D}\.{_D}{{1,3}}\.{_D}"),
-        numeric=True,
-    ),
-    Detector(
-        "secret_prefixed",
-        "SECRET",
-        rf"{_NOT_AFTER_WORD}(?:sk|pk|rk)-[A-Za-z0-9]{{16,}}{_NOT_BEFORE_WORD}",
-        _has("sk-", "pk-", "rk-"),
-    ),
-    Detector(
-        "secret_cloud",
-        "SECRET",
-        rf"{_NOT_AFTER_WORD}AKIA[0-9A-Z]{{16}}{_NOT_BEFORE_WORD}",
-        _has("AKIA"),
-    ),
-    Detector(
-        "secret_forge",
-        "SECRET",
-        rf"{_NOT_AFTER_WORD}gh[pousr]_[A-Za-z0-9]{{20,}}{_NOT_BEFORE_WORD}",
-        _has("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
-    ),
-    Detector(
-        "secret_chat",
-        "SECRET",
-        rf"{_NOT_AFTER_WORD}xox[baprs]-[A-Za-z0-9\-]{{10,}}{_BOUNDARY}",
-        _has("xox"),
-    ),
-    Detector(
-        "card",
-        "CREDIT_CARD",
-        rf"(?={_D})(?<!{_D})(?:{_D}[ \-]?){{13,19}}(?!{_D})",
-        _like(rf"{_D}(?:[ \-]?{_D}){{12}}"),
-        valid=luhn_ok,
-        numeric=True,
-    ),
-    Detector(
-        "phone",
-        "PHONE",
-        rf"(?=[+({_D}])(?<![\p{{L}}\p{{N}}_.])(?:\+?{_D}{{1,3}}[ .\-]?)?(?:\({_D}{{1,4}}\)[ .\-]?)?"
-        rf"{_D}{{2,4}}(?:[ .\-]{_D}{{2,4}}){{1,4}}{_NOT_BEFORE_WORD}",
-        _like(rf"{_D}{{2}}[ .\-]{_D}{{2}}"),
-        valid=phone_ok,
-        numeric=True,
-    ),
-    Detector(
-        "cuit",
-        "AR_CUIT",
-        rf"(?={_D})(?<!{_D}){_D}{{2}}[ \-]?{_D}{{8}}[ \-]?{_D}(?!{_D})",
-        _like(rf"{_D}{{2}}[ \-]?{_D}{{8}}[ \-]?{_D}"),
-        valid=cuit_ok,
-        numeric=True,
-    ),
-    Detector(
-        "cbu",
-        "AR_CBU",
-        rf"(?={_D})(?<!{_D}){_D}{{22}}(?!{_D})",
-        _like(rf"{_D}{{22}}"),
-        numeric=True,
-    ),
-    Detector(
-        "dni_dotted",
-        "AR_DNI",
-        rf"(?={_D})(?<!{_D}){_D}{{1,2}}\.{_D}{{3}}\.{_D}{{3}}(?!{_D})",
-        _like(rf"{_D}\.{_D}{{3}}\.{_D}{{3}}"),
-        numeric=True,
-    ),
-    Detector(
-        "dni_context",
-        "AR_DNI",
-        rf"(?iu)({_NOT_AFTER_WORD}(?:dni|d\.n\.i\.?|documento){_BOUNDARY}[{SPACE}:n°º\-]*)"
-        rf"({_D}{{1,2}}\.?{_D}{{3}}\.?{_D}{{3}}|{_D}{{7,8}})",
-        _like(r"[dD](?iu:ni|\.n\.i|ocumento)"),
-        marked=f"$1{MARK}$2{MARK}",
-        numeric=True,
-    ),
-)
-
-# Any match of a numeric detector holds four digits with at most one separator between two.
-_FOUR_DIGITS = rf"{_D}(?:[ .\-]?{_D}){{3}}"
-
+def _detectors(d: str) -> tuple[Detector, ...]:
+    """The detectors for a digit class ``d``.
 
+    A match that starts with a digit must not follow one. The look-behind comes after the
+    first digit and covers both, so that nearly all positions fail on one character test.
+    """
+    octet = f"(?:25[0-5]|2[0-4]{d}|1?{d}?{d})"
+    first = f"{d}(?<!{d}{d})"
+    # The patterns. Order is the order in which spans are emitted.
+    return (
+        Detector(
+            "email",
+            "EMAIL",
+            # a leading word character needs a non-word before it, a leading ". % + -" a word one
+            rf"(?:[A-Za-z0-9_](?<!{WORD}.)|[.%+\-](?<={WORD}.))"
+            rf"[A-Za-z0-9._%+\-]*+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{_NOT_BEFORE_WORD}",
+            _has("@"),
+        ),
+        Detector(
+            "url",
+            "URL",
+            rf"(?iu){_NOT_AFTER_WORD}(?:https?://|www\.)[^{SPACE}<>()\[\]{{}}\x22\x27]+",
+            # "://" needs no letter, "www." is looked for in any case
+            lambda t: f"contains({t}, '://') or rlike({t}, {lit(r'[wW][wW]{2}[.]')})",
+        ),
+        Detector(
+            "ipv4",
+            "IPV4",
+            rf"(?={d}){_NOT_AFTER_WORD}(?:{octet}\.){{3}}{octet}{_NOT_BEFORE_WORD}",
+            _like(rf"{d}\.{d}{{1,3}}\.{d}"),
+            numeric=True,
+        ),
+        Detector(
+            "secret_prefixed",
+            "SECRET",
+            rf"[spr](?<!{WORD}.)k-[A-Za-z0-9]{{16,}}{_NOT_BEFORE_WORD}",
+            _has("sk-", "pk-", "rk-"),
+        ),
+        Detector(
+            "secret_cloud",
+            "SECRET",
+            rf"A(?<!{WORD}.)KIA[0-9A-Z]{{16}}{_NOT_BEFORE_WORD}",
+            _has("AKIA"),
+        ),
+        Detector(
+            "secret_forge",
+            "SECRET",
+            rf"g(?<!{WORD}.)h[pousr]_[A-Za-z0-9]{{20,}}{_NOT_BEFORE_WORD}",
+            _has("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+        ),
+        Detector(
+            "secret_chat",
+            "SECRET",
+            rf"x(?<!{WORD}.)ox[baprs]-[A-Za-z0-9\-]{{10,}}{_BOUNDARY}",
+            _has("xox"),
+        ),
+        Detector(
+            "card",
+            "CREDIT_CARD",
+            rf"{first}[ \-]?(?:{d}[ \-]?){{12,18}}(?!{d})",
+            _like(rf"{d}(?:[ \-]?{d}){{12}}"),
+            valid=luhn_ok,
+            numeric=True,
+        ),
+        Detector(
+            "phone",
+            "PHONE",
+            rf"(?=[+({d[1:-1]}])(?<![{WORD_CHARS}.])(?:\+?{d}{{1,3}}[ .\-]?)?(?:\({d}{{1,4}}\)[ .\-]?)?"
+            rf"{d}{{2,4}}(?:[ .\-]{d}{{2,4}}){{1,4}}{_NOT_BEFORE_WORD}",
+            _like(rf"{d}{d}[ .\-]{d}{d}"),
+            valid=phone_ok,
+            numeric=True,
+        ),
+        Detector(
+            "cuit",
+            "AR_CUIT",
+            rf"{first}{d}[ \-]?{d}{{8}}[ \-]?{d}(?!{d})",
+            _like(rf"{d}{d}[ \-]?{d}{{8}}[ \-]?{d}"),
+            valid=cuit_ok,
+            numeric=True,
+        ),
+        Detector(
+            "cbu",
+            "AR_CBU",
+            rf"{first}{d}{{21}}(?!{d})",
+            _like(rf"{d}{d}{{21}}"),
+            numeric=True,
+        ),
+        Detector(
+            "dni_dotted",
+            "AR_DNI",
+            rf"{first}{d}?\.{d}{{3}}\.{d}{{3}}(?!{d})",
+            _like(rf"{d}\.{d}{{3}}\.{d}{{3}}"),
+            numeric=True,
+        ),
+        Detector(
+            "dni_context",
+            "AR_DNI",
+            rf"(?iu)({_NOT_AFTER_WORD}(?:dni|d\.n\.i\.?|documento){_BOUNDARY}[{SPACE}:n°º\-]*)"
+            rf"({d}{{1,2}}\.?{d}{{3}}\.?{d}{{3}}|{d}{{7,8}})",
+            _like(r"[dD](?iu:ni|\.n\.i|ocumento)"),
+            marked=f"$1{MARK}$2{MARK}",
+            numeric=True,
+        ),
+    )
+
+
+# Nearly all texts have no digits but 0 to 9, and those are much cheaper to look for.
+DETECTORS = _detectors("[0-9]")
+WIDE_DETECTORS = _detectors(DIGIT)
+_OTHER_DIGIT = rf"[{DIGIT}&&[^0-9]]"
+
+
+def _four_digits(d: str) -> str:
+    """Any match of a numeric detector has four digits with at most one separator between two."""
+    return rf"{d}(?:[ .\-]?{d}){{3}}"
 
 
 def raw_spans(text: Sql, only: tuple[str, ...] | None = None, guarded: bool = True) -> Sql:
@@ -167,7 +179,6 @@ def raw_spans(text: Sql, only: tuple[str, ...] | None = None, guarded: bool = Tr
     ``text`` must be bound. ``guarded=False`` drops the cheap tests; it exists so that a
     test can show that they never change a result.
     """
-    chosen = [d for d in DETECTORS if only is None or d.label in only]
 
     def pieces(d: Detector, t: Sql, digits: Sql) -> Sql:
         found = marked_pieces(t, d.pattern, d.marked)
@@ -176,14 +187,22 @@ def raw_spans(text: Sql, only: tuple[str, ...] | None = None, guarded: bool = Tr
         test = f"{digits} and ({d.guard(t)})" if d.numeric else d.guard(t)
         return f"case when {test} then {found} end"
 
-    def scan(t: Sql, digits: Sql) -> Sql:
-        hits = array(struct(label=lit(d.label), pieces=pieces(d, t, digits)) for d in chosen)
-        return f"flatten({transform(keep(hits, lambda h: f'size({h}.pieces) > 1'), _valid_spans)})"
+    def hits(detectors: tuple[Detector, ...], digit: str, t: Sql) -> Sql:
+        chosen = [d for d in detectors if only is None or d.label in only]
+
+        def scan(digits: Sql) -> Sql:
+            return array(struct(label=lit(d.label), pieces=pieces(d, t, digits)) for d in chosen)
+
+        if not any(d.numeric for d in chosen):
+            return scan("true")
+        return let(f"rlike({t}, {lit(_four_digits(digit))})", scan)
 
-    def with_digits(t: Sql) -> Sql:
-        return let(f"rlike({t}, {lit(_FOUR_DIGITS)})", lambda digits: scan(t, digits))
+    def scan(t: Sql) -> Sql:
+        wide = f"not ({is_ascii(t)}) and rlike({t}, {lit(_OTHER_DIGIT)})"
+        found = when(wide, hits(WIDE_DETECTORS, DIGIT, t), hits(DETECTORS, "[0-9]", t))
+        return f"flatten({transform(keep(found, lambda h: f'size({h}.pieces) > 1'), _valid_spans)})"
 
-    return with_original_text(let(marker_free(text), with_digits), text)
+    return with_original_text(let(marker_free(text), scan), text)
 
 
 def _valid_spans(hit: Sql) -> Sql:

@@ -7,7 +7,7 @@ gap, ..., and the running sum of the piece lengths gives the offsets.
 
 from __future__ import annotations
 
-from .sql import Sql, let, lit, one_to, running_sum, struct, transform, when
+from .sql import Sql, let, lit, running_sum, struct, transform, when
 
 MARK = "\u0001"
 _STAND_IN = "\u0002"  # neither is a letter, digit, space or separator to any pattern
@@ -36,18 +36,21 @@ def literal_pieces(text: Sql, needle: Sql) -> Sql:
 
 def spans_of_pieces(pieces: Sql, label: Sql) -> Sql:
     """Spans of the matches; ``pieces`` and ``label`` must be bound."""
-    return let(
+    one = let(
+        f"length(get({pieces}, 0))",
+        lambda start: f"array({span(label, start, f'{start} + length(get({pieces}, 1))', f'get({pieces}, 1)')})",
+    )
+    several = let(
         let(transform(pieces, lambda p: f"length({p})"), running_sum),
         lambda ends: transform(
-            one_to(f"(size({pieces}) div 2)"),
-            lambda j: span(
-                label,
-                f"get({ends}, int(2 * {j} - 2))",
-                f"get({ends}, int(2 * {j} - 1))",
-                f"get({pieces}, int(2 * {j} - 1))",
+            f"sequence(1, size({pieces}) div 2)",
+            lambda j: let(
+                f"int(2 * {j} - 1)",
+                lambda at: span(label, f"get({ends}, {at} - 1)", f"get({ends}, {at})", f"get({pieces}, {at})"),
             ),
         ),
     )
+    return f"case size({pieces}) when 1 then {NO_SPANS} when 3 then {one} else {several} end"
 
 
 def marker_free(text: Sql) -> Sql:

@@ -91,13 +91,13 @@ def _by_start(ranked: Sql) -> Sql:
 def _greedy(island: Sql) -> Sql:
     """Accept by longest, then priority, then start, then order; reject what overlaps."""
     columns = ("neg_len", "neg_prio", "start", "ord", "end", "label", "text")
-    order = f"array_sort({transform(island, lambda r: struct(**{c: f'{r}.{c}' for c in columns}))})"
+    order = f"sort_array({transform(island, lambda r: struct(**{c: f'{r}.{c}' for c in columns}))})"
 
     def step(acc: Sql, r: Sql) -> Sql:
         overlaps = any_of(acc, lambda a: f"{r}.start < {a}.end and {r}.end > {a}.start")
         return when(overlaps, acc, f"concat({acc}, array({r}))")
 
-    return f"array_sort({_by_start(let(order, lambda o: fold(o, f'slice({o}, 1, 0)', step)))})"
+    return f"sort_array({_by_start(let(order, lambda o: fold(o, f'slice({o}, 1, 0)', step)))})"
 
 
 def _islands(s: Sql, reach: Sql) -> Sql:
@@ -124,10 +124,14 @@ def resolve_overlaps(spans: Sql, priority: Mapping[str, int]) -> Sql:
         parts = let(let(transform(s, lambda r: f"{r}.end"), running_max), lambda reach: _islands(s, reach))
         return f"flatten({transform(parts, lambda p: when(f'size({p}) = 1', _by_start(p), _greedy(p)))})"
 
-    return transform(
-        let(f"array_sort({_ranked(spans, priority)})", choose),
+    several = transform(
+        let(f"sort_array({_ranked(spans, priority)})", choose),
         lambda r: span(f"{r}.label", f"{r}.start", f"{r}.end", f"{r}.text"),
     )
+    single = transform(
+        keep(spans, lambda s: f"{s}.end > {s}.start"), lambda s: span(f"{s}.label", f"{s}.start", f"{s}.end", f"{s}.text")
+    )
+    return when(f"size({spans}) <= 1", single, several)
 
 
 def merge_overlaps(spans: Sql) -> Sql:
@@ -141,7 +145,7 @@ def merge_overlaps(spans: Sql) -> Sql:
         )
 
     plain = transform(spans, lambda s: struct(start=f"{s}.start", end=f"{s}.end"))
-    return let(f"array_sort({plain})", areas)
+    return let(f"sort_array({plain})", areas)
 
 
 def finalize_spans(text: Sql, spans: Sql, priority: Mapping[str, int]) -> Sql:

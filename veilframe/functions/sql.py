@@ -78,9 +78,11 @@ def let(value: Sql, body: Callable[[Sql], Sql]) -> Sql:
 
     Writing an expression twice evaluates it twice. Binding it to a lambda variable is the
     one way to name an intermediate result inside a single expression, which is what keeps
-    each regex to one pass per row.
+    each regex to one pass per row. The fold has nothing to fold: its start value goes to
+    the finishing function as it is, without the copy that ``transform`` makes of a result.
     """
-    return f"{transform(f'array({value})', body)}[0]"
+    acc, item, bound = (f"v{next(_names)}" for _ in range(3))
+    return f"aggregate(cast(array() as array<int>), {value}, ({acc}, {item}) -> {acc}, {bound} -> {body(bound)})"
 
 
 def struct(**fields: Sql) -> Sql:
@@ -91,11 +93,6 @@ def literal_map(pairs: Iterable[tuple[str, str | int]]) -> Sql:
     return "map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in pairs) + ")"
 
 
-def one_to(n: Sql) -> Sql:
-    """``[1 .. n]``, empty for n = 0 (``sequence(1, 0)`` would count down)."""
-    return when(f"{n} > 0", f"sequence(1, {n})", "cast(array() as array<int>)")
-
-
 _STRIDES = array(str(1 << i) for i in range(31))
 
 
@@ -105,7 +102,7 @@ def running(values: Sql, combine: Callable[[Sql, Sql], Sql]) -> Sql:
     A running sum over slices is quadratic. Here pass ``s`` adds the element ``s`` places to
     the left, for s = 1, 2, 4, ...
     """
-    passes = keep(_STRIDES, lambda s: f"{s} < size({values})")
+    passes = f"slice({_STRIDES}, 1, int(log2(size({values}))) + 1)"
     return fold(
         passes,
         values,

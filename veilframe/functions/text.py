@@ -25,8 +25,11 @@ SPACE_POINTS = (
 PY_SPACE = "".join(map(chr, SPACE_POINTS))
 # Python's \s (as the inside of a character class), \w and \d for the JVM.
 SPACE = "".join(rf"\x{{{cp:X}}}" for cp in SPACE_POINTS)
-WORD = r"[\p{L}\p{N}_]"
-DIGIT = r"\p{Nd}"
+# The letter and the digit written out belong to the classes anyway: Java steps back by whole
+# code points in a look-behind only where the pattern holds a character beyond U+FFFF.
+WORD_CHARS = r"\p{L}\p{N}_𐐨"
+WORD = f"[{WORD_CHARS}]"
+DIGIT = r"[\p{Nd}𝟎]"
 
 HYPHEN_BREAK = r"-[ \t]*\n[ \t]*"
 

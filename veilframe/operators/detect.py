@@ -110,7 +110,7 @@ def ingest_external_spans(
     keys = list(key)
     order = ["ord"] if "ord" in external.columns else []
     cells = F.struct(*order, "start", "end", "text", "placeholder", "label")
-    grouped = external.groupBy(*keys).agg(F.array_sort(F.collect_list(cells)).alias(RAW))
+    grouped = external.groupBy(*keys).agg(F.sort_array(F.collect_list(cells)).alias(RAW))
 
     def labelled(s: Sql, t: Sql) -> Sql:
         label = f"coalesce({label_of_placeholder(f'{s}.placeholder')}, upper({s}.label), 'PII')"

@@ -52,6 +52,6 @@ def resolve_span_table(
     so_far = F.max("__head").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     islands = headed.join(previous, [*keys, part]).withColumn("__island", F.coalesce(so_far, F.col("__from")))
     gathered = islands.groupBy(*keys, "__island").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__ord").alias("ord"), "start", "end", "label", "text"))).alias("__spans")
+        F.sort_array(F.collect_list(F.struct(F.col("__ord").alias("ord"), "start", "end", "label", "text"))).alias("__spans")
     )
     return gathered.select(*keys, F.inline(expr(resolve_overlaps("__spans", priority))))

@@ -171,7 +171,7 @@ def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic) -
     hits = (
         join_on(spans, tokens.drop("label"), [*groups, "text"])
         .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("leaf", "start", "end", "token"))).alias(HITS))
+        .agg(F.sort_array(F.collect_list(F.struct("leaf", "start", "end", "token"))).alias(HITS))
     )
     # only rows with a finding are on the right; adaptive execution broadcasts them when few
     joined = join_on(df, hits, key, "left")

@@ -70,7 +70,7 @@ def pseudonymize_batches(
         hits = (
             join_on(spans, tokens, [*scopes, "value"])
             .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("hits"))
+            .agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("hits"))
         )
         joined = join_on(found, hits, keys, "left").select(*batch.columns, "hits")
         output = apply_replacements(f"`{text}`", "coalesce(hits, array())", lambda h, i: f"{h}.token")
