@@ -1,6 +1,7 @@
 """User rules."""
 
 import random
+import re
 import time
 
 import plain
@@ -115,7 +116,7 @@ def test_rules_against_plain_python(spark):
             never = set(parsed.never)
             spans = [s for s in plain.detect(row.text) if fold_key(s[3]) not in never]
             for term in parsed.always:
-                spans += [("CUSTOM", *m.span(), m[0]) for m in regex.finditer(regex.escape(term), row.text, regex.I)]
+                spans += [("CUSTOM", *m.span(), m[0]) for m in re.finditer(re.escape(term), row.text, re.I)]
             for p in parsed.patterns:
                 spans += [(p.label, *m.span(), m[0]) for m in regex.finditer(p.regex, row.text) if m[0]]
             want = plain.finalize(row.text, spans, {**plain.PRIORITY, "CUSTOM": 100})

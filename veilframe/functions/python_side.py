@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -53,16 +54,19 @@ def timed_matches(sources: tuple[tuple[int, str, bool], ...], seconds: float):
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(_MATCH)))
     def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = [
-            (n, timed_regex.compile(timed_regex.escape(src), timed_regex.I) if literal else timed_regex.compile(src))
-            for n, src, literal in sources
-        ]
+        def finder(source: str, literal: bool) -> Callable[[str], Iterator]:
+            if literal:  # cannot blow up, and follows the standard library's idea of case
+                return re.compile(re.escape(source), re.IGNORECASE).finditer
+            pattern = timed_regex.compile(source)
+            return lambda text: pattern.finditer(text, timeout=seconds)
+
+        finders = [(n, finder(source, literal)) for n, source, literal in sources]
 
         def scan(text: str | None) -> list[dict]:
             found = []
-            for n, pattern in compiled if text is not None else ():
+            for n, find in finders if text is not None else ():
                 try:
-                    spans = [m.span() for m in pattern.finditer(text, timeout=seconds)]
+                    spans = [m.span() for m in find(text)]
                 except TimeoutError:
                     continue
                 found += [{"n": n, "start": a, "end": b} for a, b in spans if b > a]

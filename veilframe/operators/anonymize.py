@@ -30,6 +30,7 @@ from ..functions.tokens import (
 )
 from .detect import choose_spans
 from .durable import hold
+from .numbering import join_on
 
 PADS, TABLE = "__pads", "__table"
 HASH_KEY_VARIABLE = "ANON_HASH_KEY"
@@ -142,25 +143,29 @@ def deanonymize(
     *,
     key: Sequence[str],
     scope: Sequence[str] = (),
-    text: str = "output",
+    text: str | Sequence[str] = "output",
     into: str = "restored",
 ) -> DataFrame:
     """Put originals back from a map table (scope, token, original).
 
-    Each row asks once per distinct token it holds; only those pairs are shuffled to the map,
-    and the answers come back as one small map per row. The key must be unique.
+    One text column is restored into a new one, a list of columns in place. Each row asks
+    once per distinct token it holds; only those pairs are shuffled to the map, and the
+    answers come back as one small map per row. The key must be unique and never null.
     """
     if mapping.isEmpty():
         raise ValueError("the reversal map is empty")
     keys, scopes = list(key), list(scope)
-    tokens = expr(f"array_distinct({let(col(text), lambda t: transform(token_spans(t), lambda s: f'{s}.text'))})")
+    columns = {text: into} if isinstance(text, str) else {c: c for c in text}
+    each = [let(col(c), lambda t: transform(token_spans(t), lambda s: f"{s}.text")) for c in columns]
+    present = ", ".join(f"coalesce({tokens}, cast(array() as array<string>))" for tokens in each)
     carried = list(dict.fromkeys([*keys, *scopes]))
-    asked = df.select(*carried, F.explode(tokens).alias("token"))
-    known = mapping.select(*scopes, "token", "original")
+    asked = df.select(*carried, F.explode(expr(f"array_distinct(concat({present}))")).alias("token"))
     answers = (
-        asked.join(known, [*scopes, "token"])
+        join_on(asked, mapping.select(*scopes, "token", "original"), ["token"], scopes=scopes)
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("__map"))
     )
-    joined = df.join(answers, keys, "left")
-    return deanonymize_rows(joined, text=text, mapping="__map", into=into).drop("__map")
+    joined = join_on(df, answers, keys, "left")
+    for source, target in columns.items():
+        joined = deanonymize_rows(joined, text=source, mapping="__map", into=target)
+    return joined.drop("__map")

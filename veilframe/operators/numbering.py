@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from .durable import durable
 
 
-def join_on(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which null equals null; each of the columns is kept once.
+def join_on(
+    left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner", *, scopes: list[str] = ()
+) -> DataFrame:
+    """Equi-join on ``columns``, and on ``scopes`` with null equal to null; each is kept once.
 
     The columns of the right side are renamed first, so both sides may stem from one table.
+    Keys and values are never null: plain equality lets their partitioning be used again. A
+    value found everywhere is split over tasks by adaptive execution, as its right side is
+    one row.
     """
-    renamed = {c: f"__right_{c}" for c in columns}
+    renamed = {c: f"__right_{c}" for c in dict.fromkeys([*scopes, *columns])}
     other = right.withColumnsRenamed(renamed)
     condition = F.lit(True)
     for mine, theirs in renamed.items():
-        condition = condition & F.col(mine).eqNullSafe(F.col(theirs))
+        equal = F.col(mine).eqNullSafe(F.col(theirs)) if mine in scopes else F.col(mine) == F.col(theirs)
+        condition = condition & equal
     return left.join(other, condition, how).drop(*renamed.values())
 
 
@@ -39,5 +45,5 @@ def number_within(df: DataFrame, group: list[str], order: list[str], into: str =
     )
     stretch = Window.partitionBy(*group, part).orderBy(*order)
     counted = ranged.withColumn(inside, F.row_number().over(stretch))
-    joined = join_on(counted, offsets, [*group, part])
+    joined = join_on(counted, offsets, [part], scopes=group)
     return joined.select(*df.columns, (F.col(inside) + F.col(before)).alias(into))

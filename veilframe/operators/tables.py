@@ -169,7 +169,7 @@ def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic) -
     spans = _durable_spans(df.select(*dict.fromkeys([*groups, *key]), expr(leaves).alias(LEAVES)), rules, groups, key)
     tokens = value_tokens(spans, mode, groups, key, hash_key=hash_key, generic=generic)
     hits = (
-        join_on(spans, tokens.drop("label"), [*groups, "text"])
+        join_on(spans, tokens.drop("label"), ["text"], scopes=groups)
         .groupBy(*key)
         .agg(F.sort_array(F.collect_list(F.struct("leaf", "start", "end", "token"))).alias(HITS))
     )

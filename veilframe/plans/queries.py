@@ -24,6 +24,7 @@ from ..functions.tokens import hmac_pads
 from ..functions.validators import cuit_ok, luhn_ok, phone_ok
 from ..operators.anonymize import anonymize_docs, deanonymize, deanonymize_rows, redact_placeholder
 from ..operators.detect import choose_spans, detect_docs, explode_spans, ingest_external_spans
+from ..operators.durable import durable
 from ..operators.pages import redact_pages
 from ..operators.reports import (
     consistency_check,
@@ -357,10 +358,8 @@ def _table_map(spark, sf_dir):
 @query("deanonymize", f"SELECT id, contact, memo FROM ({CELLS_SQL})")
 def _deanonymize(spark, sf_dir):
     done = pseudonymize_table(_cells(spark, sf_dir), columns=_CELLS, order_by=["id"])
-    data = done.data.select("id", *_CELLS)
-    for column in _CELLS:
-        data = deanonymize(data, done.mapping, key=["id"], text=column, into=column)
-    return data
+    stored = durable(done.data.select("id", *_CELLS))  # as the table a later job would read
+    return deanonymize(stored, done.mapping, key=["id"], text=_CELLS)
 
 
 @query("anonymize_table", f"""WITH {o.spans(_CELL_SRC)}, done AS ({o.replaced('spans', 'src', o.mask('x', o.type_of('label')))}) {_BOTH}""")

@@ -57,10 +57,10 @@ def pseudonymize_batches(
             *scopes, "value", expr(type_of("first.label")).alias("type"), F.struct("first.*").alias("at")
         )
         known = _known_tokens(spark, tokens_path, batch_id, values, scopes)
-        fresh = join_on(values, known.select(*scopes, "value"), [*scopes, "value"], "left_anti")
+        fresh = join_on(values, known.select(*scopes, "value"), ["value"], "left_anti", scopes=scopes)
         numbered = number_within(fresh, [*scopes, "type"], ["at"])
         last = known.groupBy(*scopes, "type").agg(F.max("n").alias("last"))
-        offset = join_on(numbered, last, [*scopes, "type"], "left").select(
+        offset = join_on(numbered, last, ["type"], "left", scopes=scopes).select(
             *scopes, "value", "type", (F.col("n") + F.coalesce("last", F.lit(0))).alias("n")
         )
         added = offset.withColumn("token", F.concat(F.lit("«"), "type", F.lit("_"), "n", F.lit("»")))
@@ -68,7 +68,7 @@ def pseudonymize_batches(
         written = spark.read.schema(added.schema).parquet(f"{tokens_path}/batch={batch_id}")
         tokens = known.select(*scopes, "value", "token").unionByName(written.select(*scopes, "value", "token"))
         hits = (
-            join_on(spans, tokens, [*scopes, "value"])
+            join_on(spans, tokens, ["value"], scopes=scopes)
             .groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("hits"))
         )
