@@ -53,9 +53,14 @@ def propagate_spans(text: Sql, spans: Sql) -> Sql:
             ),
         )
 
+    def elsewhere(s: Sql) -> Sql:
+        # an occurrence that starts earlier ends earlier too; this is much faster than locate
+        before = f"contains(left({text}, {s}.end - 1), {s}.text)"
+        return f"({before} or contains(substring({text}, {s}.start + 2), {s}.text))"
+
     def more(texts: Sql) -> Sql:
-        wanted = f"array_distinct({keep(texts, lambda t: f'length({strip(t)}) >= {MIN_PROPAGATED}')})"
-        repeated = keep(wanted, lambda t: f"locate({t}, {text}, locate({t}, {text}) + 1) > 0")
+        worth = keep(spans, lambda s: f"length({strip(f'{s}.text')}) >= {MIN_PROPAGATED} and {elsewhere(s)}")
+        repeated = f"array_distinct({span_texts(worth)})"
         return f"flatten({transform(repeated, lambda t: occurrences(texts, t))})"
 
     return f"concat({spans}, {with_original_text(let(span_texts(spans), more), text)})"
