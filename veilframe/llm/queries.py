@@ -12,10 +12,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collision import nearest
 from .common import documents, fold_of
 from .disclosure import KINDS, find_private
+from .langid import fit_languages, identify_languages
 from .packing import pack_documents
+from .ppm import score_documents
 from .repetition import quality_rules
+from .sentencepieces import verify_pieces
 from .simhash import fingerprint_hex, near_copies
 from .substring import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
@@ -48,6 +52,11 @@ def op2_repetition(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir)).drop("repeats")
 
 
+@query
+def op3_sentencepieces(spark, sf_dir):
+    return verify_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op4_substring(spark, sf_dir):
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -71,6 +80,11 @@ def op5_private(spark, sf_dir):
     )
 
 
+@query
+def op6_neighbours(spark, sf_dir):
+    return nearest(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 @query
 def op7_simhash(spark, sf_dir):
     return near_copies(documents(spark, sf_dir)).select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -79,3 +93,15 @@ def op7_simhash(spark, sf_dir):
 @query
 def op8_packing(spark, sf_dir):
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_ppm(spark, sf_dir):
+    return score_documents(documents(spark, sf_dir))
+
+
+@query
+def op10_language(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = fit_languages(docs, fold_of(4) != 2)
+    return identify_languages(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
