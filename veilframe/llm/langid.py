@@ -75,7 +75,7 @@ class Judge:
         size = len(self.model.languages)
         if len(self.row) > len(self.model.words) + CACHED_WORDS:
             self.clear()
-        found = [words_of(t) if t else [] for t in texts]
+        found = [words_of(t) if t and size else [] for t in texts]
         for word in set().union(*found).difference(self.row):
             self.row[word] = len(self.row)
             self.more.append(self.model.backoff(word))
