@@ -229,7 +229,8 @@ def test_space_class():
     assert re.fullmatch(r"\s+", PY_SPACE)
 
 
-def test_sources_of_one_row_group_are_spread(spark, documents):
+def test_inputs_are_dealt_out_only_where_asked(spark, documents):
     from veilframe.sources.readers import spread
 
-    assert spread(documents.select("doc_id", "text"), "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(documents, None) is documents
+    assert spread(documents, 3, "doc_id").rdd.getNumPartitions() == 3

@@ -13,8 +13,9 @@ from veilframe.functions.python_side import fold_key
 from veilframe.functions.rules import Rules, native_fold, parse_list, parse_patterns, plain_pattern
 from veilframe.functions.sql import expr
 from veilframe.operators.anonymize import anonymize_docs
+from veilframe.operators.tables import anonymize_table
 from veilframe.operators.detect import detect_docs, with_spans
-from veilframe.sources.rules_table import drop_exempt_spans, load_rules, rules_of
+from veilframe.sources.rules_table import drop_exempt_spans, load_rules, rules_of, rules_status
 
 
 def docs(spark, *texts):
@@ -47,16 +48,48 @@ def test_pattern_with_placeholder(spark):
     assert anonymize_docs(docs(spark, "empleado LEG-1234 en el sistema"), rules=rules).first().output == "empleado «ID_1» en el sistema"
 
 
-def test_bad_patterns_are_ignored(spark):
-    rules = {"patterns": [{"regex": "([a-z"}, "x", {"regex": "a" * 201}, {"regex": ""}, {"regex": "x*"}, None]}
+def test_bad_patterns_are_refused_with_a_reason(spark):
+    rules = {"patterns": [{"regex": "([a-z"}, "x", {"regex": ""}, {"regex": "x*"}, {"regex": 5}, None]}
     assert found(spark, rules, "mail juan@acme.com") == [[("EMAIL", "juan@acme.com")]]
-    assert len(Rules.parse({"patterns": [{"regex": f"a{i}"} for i in range(60)]}).patterns) == 50
+    status = {r.regex: (r.accepted, r.reason[:11]) for r in rules_status(spark, rules).collect()}
+    assert status["([a-z"] == (False, "not a regex") and status["x*"] == (True, "")
+    assert {status[k][1] for k in ("x", "None")} == {"no regex"}
+
+
+def test_many_and_long_patterns_all_count(spark):
+    rules = {"patterns": [{"regex": f"key{i:03d}z"} for i in range(70)] + [{"regex": "b" * 300}]}
+    assert found(spark, rules, "key069z " + "b" * 300) == [[("CUSTOM", "key069z"), ("CUSTOM", "b" * 300)]]
+
+
+def test_no_pattern_is_dropped_without_the_timed_engine(monkeypatch):
+    monkeypatch.setattr("veilframe.functions.rules.timed_regex", None)
+    assert len(Rules.parse({"patterns": [{"regex": r"LEG-\d{4}"}]}).patterns) == 1
+    with pytest.raises(RuntimeError):
+        Rules.parse({"patterns": [{"regex": "(a|b)"}]})
+
+
+@pytest.mark.parametrize("regex", ["a?" * 30 + "a" * 30, "a{0,99}" * 6 + "b", "[a-z ]+@"])
+def test_hostile_patterns_end_and_say_so(spark, regex):
+    text = "a" * 200_000
+    start = time.time()
+    done = anonymize_docs(docs(spark, text, "x@y.com"), "mask", rules={"patterns": [{"regex": regex}]}).select("doc_id", "incomplete")
+    rows = {r.doc_id: r.incomplete for r in done.collect()}
+    assert rows[1] == [] and rows[0] in ([], [regex])
+    assert time.time() - start < 30
+
+
+def test_a_pattern_out_of_time_ends_a_job_that_cannot_say_so(spark):
+    df = spark.createDataFrame([(1, "a" * 60 + "!")], "id int, text string")
+    done = anonymize_table(df, "mask", columns=["text"], scope="row", order_by=["id"], rules={"patterns": [{"regex": "(a|a)+$"}]})
+    with pytest.raises(Exception, match="took more than"):
+        done.data.collect()
 
 
 def test_costly_pattern_is_cut_off(spark):
     start = time.time()
     rules = {"patterns": [{"regex": "(a|a)+$"}, {"regex": "(?<=x)b+"}]}
-    assert found(spark, rules, "a" * 60 + "! xbbb") == [[("CUSTOM", "bbb")]]
+    row = anonymize_docs(docs(spark, "a" * 60 + "! xbbb"), rules=rules).first()
+    assert [(s.label, s.text) for s in row.spans] == [("CUSTOM", "bbb")] and row.incomplete == ["(a|a)+$"]
     assert time.time() - start < 20
 
 
@@ -118,17 +151,17 @@ def test_rules_against_plain_python(spark):
             for term in parsed.always:
                 spans += [("CUSTOM", *m.span(), m[0]) for m in re.finditer(re.escape(term), row.text, re.I)]
             for p in parsed.patterns:
-                spans += [(p.label, *m.span(), m[0]) for m in regex.finditer(p.regex, row.text) if m[0]]
+                spans += [(p.name, *m.span(), m[0]) for m in regex.finditer(p.regex, row.text) if m[0]]
             want = plain.finalize(row.text, spans, {**plain.PRIORITY, "CUSTOM": 100})
             assert [tuple(s) for s in row.spans] == want, (row.text, rules)
 
 
-@pytest.mark.parametrize("pattern", [r"LEG-\d{4}", "abc", r"[A-Z]{2}[0-9]+", "a{2,3}b?"])
+@pytest.mark.parametrize("pattern", [r"LEG-\d{4}", "abc", r"[A-Z]{2}[0-9]+", "a{2,3}b?", "a{0,9}b"])
 def test_plain_patterns(pattern):
     assert plain_pattern(pattern) is not None
 
 
-@pytest.mark.parametrize("pattern", ["(a|a)+$", r"\d+\d+", "a|b", r"(\d)\1", "a*?b", r"\bx", "^a", "a{3,1}", "[z-a]", ".", r"\w"])
+@pytest.mark.parametrize("pattern", ["(a|a)+$", "a?a", "a?b?a", "[a-z]+@", r"\d+\d+", "a|b", r"(\d)\1", "a*?b", r"\bx", "^a", "a{3,1}", "[z-a]", ".", r"\w"])
 def test_patterns_that_need_a_time_limit(pattern):
     assert plain_pattern(pattern) is None
 
@@ -152,7 +185,7 @@ def test_rules_from_tables(spark):
     terms = spark.createDataFrame([("Fenix",)], "term string")
     patterns = spark.createDataFrame([(r"L\d", "ID")], "regex string, placeholder string")
     parsed = rules_of(always=terms, never=terms, patterns=patterns)
-    assert parsed.always == ("Fenix",) and parsed.never == ("fenix",) and parsed.patterns[0].label == "ID"
+    assert parsed.always == ("Fenix",) and parsed.never == ("fenix",) and parsed.patterns[0].name == "ID"
 
 
 def test_exempt_table(spark):

@@ -54,10 +54,3 @@ def label_of_placeholder(placeholder: Sql) -> Sql:
     """Null where the placeholder is unknown."""
     return f"try_element_at({literal_map(PLACEHOLDER_LABEL)}, {placeholder})"
 
-
-def type_of_literal(label: str) -> str:
-    """``type_of`` for a value known on the driver (a rule's placeholder)."""
-    for lab, typ, _ in TAXONOMY:
-        if lab == label:
-            return typ
-    return "".join(c for c in label.upper() if "A" <= c <= "Z") or DEFAULT_TYPE

@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-try:  # the engine with a time limit; without it custom patterns are skipped
+try:  # the engine with a time limit; patterns that need it cannot be used without
     import regex as timed_regex
 except ImportError:  # pragma: no cover
     timed_regex = None
@@ -48,9 +48,10 @@ def fold_values(values: pd.Series) -> pd.Series:
     return values.map(fold_key, na_action="ignore")
 
 
-def timed_matches(sources: tuple[tuple[int, str, bool], ...], seconds: float):
-    """UDF: array of texts -> numbered matches per text; a pattern that takes too long on a
-    text has none there. ``sources`` are (number, pattern, is a case-blind literal)."""
+def timed_matches(sources: tuple[tuple[int, str, bool], ...], seconds: float, mark: bool):
+    """UDF: array of texts -> numbered matches per text. ``sources`` are (number, pattern, is a
+    case-blind literal). A pattern that takes too long on a text leaves a match from -1 to -1 there
+    where ``mark`` is set, and else ends the job: what it should hide must not pass unseen."""
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(_MATCH)))
     def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -68,6 +69,9 @@ def timed_matches(sources: tuple[tuple[int, str, bool], ...], seconds: float):
                 try:
                     spans = [m.span() for m in find(text)]
                 except TimeoutError:
+                    if not mark:
+                        raise RuntimeError(f"pattern {n} took more than {seconds} s on one text") from None
+                    found.append({"n": n, "start": -1, "end": -1})
                     continue
                 found += [{"n": n, "start": a, "end": b} for a, b in spans if b > a]
             return found
@@ -78,43 +82,43 @@ def timed_matches(sources: tuple[tuple[int, str, bool], ...], seconds: float):
     return matches
 
 
-def _csv_rows(content: str) -> list[list[str]]:
-    return list(csv.reader(io.StringIO(content)))
-
-
-def _csv_text(content: str, cells: Iterator[str]) -> str:
-    out = io.StringIO()
-    csv.writer(out, lineterminator="\n").writerows([[next(cells) for _ in row] for row in _csv_rows(content)])
-    return out.getvalue()
-
-
-def _strings(node: object) -> Iterator[str]:
-    if isinstance(node, str):
-        yield node
-    elif isinstance(node, (list, dict)):
-        for child in node.values() if isinstance(node, dict) else node:
-            yield from _strings(child)
-
-
-def _with_strings(node: object, texts: Iterator[str]) -> object:
-    if isinstance(node, str):
-        return next(texts)
-    if isinstance(node, list):
-        return [_with_strings(child, texts) for child in node]
-    if isinstance(node, dict):
-        return {key: _with_strings(child, texts) for key, child in node.items()}
-    return node
-
-
-def _json_text(content: str, texts: Iterator[str]) -> str:
-    return json.dumps(_with_strings(json.loads(content), texts), ensure_ascii=False, indent=2)
-
-
-_READ: dict[str, Callable[[str], list[str]]] = {
-    "csv": lambda content: [cell for row in _csv_rows(content) for cell in row],
-    "json": lambda content: list(_strings(json.loads(content))),
-}
-_WRITE = {"csv": _csv_text, "json": _json_text}
+class Tree:
+    """A parsed CSV or JSON file as a list of slots (container, key, text), in reading order.
+
+    Parsing notes where each text stands, so writing only fills the slots and prints the tree.
+    """
+
+    def __init__(self, fmt: str, content: str) -> None:
+        self.fmt = fmt
+        self.slots: list[tuple[list | dict, int | str, str]] = []
+        if fmt == "csv":
+            csv.field_size_limit(sys.maxsize)  # a cell may be as long as its file
+            self.root: list = list(csv.reader(io.StringIO(content)))
+        else:
+            self.root = [json.loads(content)]
+        todo: list[tuple[list | dict, int | str]] = [(self.root, 0)] if fmt == "json" else [(row, i) for row in self.root for i in range(len(row))]
+        todo.reverse()
+        while todo:
+            holder, key = todo.pop()
+            value = holder[key]
+            if isinstance(value, str):
+                self.slots.append((holder, key, value))
+            elif isinstance(value, (list, dict)):
+                keys = list(value) if isinstance(value, dict) else range(len(value))
+                todo += [(value, k) for k in reversed(keys)]
+
+    @property
+    def texts(self) -> list[str]:
+        return [text for _, _, text in self.slots]
+
+    def filled(self, texts: list[str]) -> str:
+        for (holder, key, _), text in zip(self.slots, texts, strict=True):
+            holder[key] = text
+        if self.fmt == "json":
+            return json.dumps(self.root[0], ensure_ascii=False, indent=2)
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows(self.root)
+        return out.getvalue()
 
 
 @F.pandas_udf(_TEXTS)
@@ -123,7 +127,7 @@ def file_leaves(formats: pd.Series, contents: pd.Series) -> pd.Series:
 
     def read(fmt: str, content: str) -> list[str] | None:
         try:
-            return _READ[fmt](content)
+            return Tree(fmt, content).texts
         except (ValueError, csv.Error, RecursionError):
             return None
 
@@ -134,4 +138,4 @@ def file_leaves(formats: pd.Series, contents: pd.Series) -> pd.Series:
 def file_from_leaves(formats: pd.Series, contents: pd.Series, leaves: pd.Series) -> pd.Series:
     """The file again, with its strings replaced one for one."""
     rows = zip(formats, contents, leaves)
-    return pd.Series([None if x is None or c is None else _WRITE[f](c, iter(x)) for f, c, x in rows], dtype=object)
+    return pd.Series([None if x is None or c is None else Tree(f, c).filled(list(x)) for f, c, x in rows], dtype=object)

@@ -72,7 +72,9 @@ def anonymize_docs(
     hash_key: bytes | str | None = None,
     generic: str = GENERIC_TOKEN,
 ) -> DataFrame:
-    """Documents with scanned, spans, engine, mode, output, map, reversible, summary.
+    """Documents with scanned, spans, engine, mode, output, map, reversible, summary, incomplete.
+
+    ``incomplete`` lists the custom patterns that took too long on the text; their findings are missing.
 
     The scope is the document: a value has one token within it. ``scanned`` is the text the
     span offsets refer to (normalized by default). No shuffle unless external spans join in.
@@ -83,6 +85,7 @@ def anonymize_docs(
         return scanned.withColumns(
             {
                 "spans": expr(NO_SPANS),
+                "incomplete": expr("cast(array() as array<string>)"),
                 "engine": F.lit("lite"),
                 "mode": F.lit(mode),
                 "output": F.col(text),
@@ -91,7 +94,7 @@ def anonymize_docs(
                 "summary": expr("cast(map() as map<string,int>)"),
             }
         )
-    found = choose_spans(scanned, engine=engine, external=external, key=key, text="scanned", rules=rules)
+    found = choose_spans(scanned, engine=engine, external=external, key=key, text="scanned", rules=rules, incomplete="incomplete")
     options = {"generic": generic}
     if mode == "hash":
         found = with_pads(found, hash_key)

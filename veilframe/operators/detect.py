@@ -12,7 +12,7 @@ from ..functions.labels import label_of_placeholder
 from ..functions.offsets import NO_SPANS, cut, span
 from ..functions.pii import finalized, raw_pii
 from ..functions.python_side import fold_texts, timed_matches
-from ..functions.rules import CUSTOM_PRIORITY, PATTERN_SECONDS, Rules, ruled_spans
+from ..functions.rules import CUSTOM_PRIORITY, PATTERN_SECONDS, Rules, ruled_spans, timed_out
 from ..functions.spans import finalize_spans, span_texts
 from ..functions.sql import Sql, col, expr, let, transform, transform_indexed, when
 from ..functions.text import is_blank
@@ -29,9 +29,14 @@ def with_leaf_spans(
     rules: Rules | None = None,
     skip_blank: bool = False,
     found: Sql | None = None,
+    incomplete: str | None = None,
+    seconds: float = PATTERN_SECONDS,
 ) -> DataFrame:
     """Add ``into``: the spans of each text in the array expression ``leaves``. No shuffle.
 
+    A pattern that takes more than ``seconds`` on a text ends the job, unless ``incomplete`` names a
+    column for the patterns of each row that did; the row then lacks their findings.
+
     ``found`` are finalized spans from elsewhere, in the same shape; without them the
     built-in detectors run. Only rules that need Python add a step outside the projection.
     """
@@ -52,10 +57,15 @@ def with_leaf_spans(
     else:
         df = df.withColumn(RAW, expr(transform(leaves, lambda t: guard(t, raw_pii(t)))))
         df = hold(df, **{base: close(RAW, PRIORITY)})
+    if incomplete and not (rules and rules.slow_patterns):
+        df = df.withColumn(incomplete, expr("cast(array() as array<string>)"))
     if not rules:
         return df.drop(*HELPERS)
     if rules.slow_patterns:
-        df = df.withColumn(SLOW, timed_matches(rules.slow_patterns, PATTERN_SECONDS)(expr(leaves)))
+        timed = timed_matches(rules.slow_patterns, seconds, incomplete is not None)
+        df = df.withColumn(SLOW, timed(expr(leaves)))
+        if incomplete:
+            df = df.withColumn(incomplete, expr(timed_out(SLOW, rules)))
     if rules.folds_in_python:
         df = df.withColumn(FOLDED, fold_texts(expr(transform(BASE, span_texts))))
 
@@ -75,9 +85,16 @@ def with_spans(
     *,
     rules: Rules | Mapping | str | None = None,
     found: str | None = None,
+    incomplete: str | None = None,
+    seconds: float = PATTERN_SECONDS,
 ) -> DataFrame:
-    """Add the array of disjoint spans of a text column. No shuffle."""
+    """Add the array of disjoint spans of a text column. No shuffle.
+
+    ``incomplete`` names a column for the custom patterns that passed their time limit on the row.
+    """
     parsed = Rules.parse(rules)
+    if incomplete and not parsed:
+        df = df.withColumn(incomplete, expr("cast(array() as array<string>)"))
     if not parsed and found:
         return df.withColumn(into, expr(f"coalesce({col(found)}, {NO_SPANS})"))
     if not parsed:
@@ -85,7 +102,7 @@ def with_spans(
         return hold(raw, **{into: finalized(col(text), RAW)}).drop(RAW)
     wrapped = "__leaf_spans"
     given = f"array(coalesce({col(found)}, {NO_SPANS}))" if found else None
-    df = with_leaf_spans(df, f"array({col(text)})", wrapped, rules=parsed, found=given)
+    df = with_leaf_spans(df, f"array({col(text)})", wrapped, rules=parsed, found=given, incomplete=incomplete, seconds=seconds)
     return df.withColumn(into, expr(f"{wrapped}[0]")).drop(wrapped)
 
 
@@ -134,6 +151,7 @@ def choose_spans(
     text: str = "text",
     rules: Rules | Mapping | str | None = None,
     into: str = "spans",
+    incomplete: str | None = None,
 ) -> DataFrame:
     """Add spans from the chosen engine and the name of the engine used.
 
@@ -146,8 +164,8 @@ def choose_spans(
     if name in ("ml", "auto") and external is not None:
         given = "__given"
         found = ingest_external_spans(docs, external, key, text, given)
-        return with_spans(found, text, into, rules=rules, found=given).drop(given).withColumn("engine", F.lit("ml"))
-    return with_spans(docs, text, into, rules=rules).withColumn("engine", F.lit("lite"))
+        return with_spans(found, text, into, rules=rules, found=given, incomplete=incomplete).drop(given).withColumn("engine", F.lit("ml"))
+    return with_spans(docs, text, into, rules=rules, incomplete=incomplete).withColumn("engine", F.lit("lite"))
 
 
 def detect_docs(

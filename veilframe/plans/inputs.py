@@ -73,6 +73,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions(spark: SparkSession) -> int | None:
+    """Partitions that the user asks for with ``spark.veilframe.inputPartitions``; unset, inputs stay as read."""
+    asked = spark.conf.get("spark.veilframe.inputPartitions", None)
+    return int(asked) if asked else None
+
+
 def derive(spark: SparkSession, sf_dir: str, sql: str, *key: str) -> DataFrame:
     """Run one of the derivations over the tables it names."""
     named = [t for t in TABLES if f"from {t}" in sql]
@@ -82,7 +88,7 @@ def derive(spark: SparkSession, sf_dir: str, sql: str, *key: str) -> DataFrame:
         query = query.replace(f"from {name}", f"from {{{name}}}")
         frames[name] = table(spark, sf_dir, name)
     df = spark.sql(query, **frames)
-    return spread(df, *key) if key else df
+    return spread(df, partitions(spark), *key) if key else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ from ..sources.readers import spread
 from ..sources.rules_table import drop_exempt_spans, load_rules
 from ..streaming.stream import anonymize_stream, pseudonymize_batches
 from . import oracle as o
-from .inputs import CELLS_SQL, EXTERNAL_SQL, SPANS_SQL, TEXTS_SQL, derive, table, texts
+from .inputs import CELLS_SQL, EXTERNAL_SQL, SPANS_SQL, TEXTS_SQL, derive, partitions, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,7 +203,7 @@ _FIRST_WORD = f"""given AS ({_GIVEN}), found AS (SELECT tbl, id, 'PERSON' AS lab
 
 
 def _first_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), partitions(spark), "doc_id")
     word = "split_part(text, ' ', 1)"
     return docs.withColumn("found", expr(f"array({span(chr(39) + 'PERSON' + chr(39), '0', f'length({word})', word)})"))
 
@@ -506,7 +506,7 @@ def _load_rules(spark, sf_dir):
 
 
 def _external(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), partitions(spark), "doc_id")
     return docs, derive(spark, sf_dir, EXTERNAL_SQL).withColumnRenamed("finish", "end")
 
 

@@ -22,7 +22,7 @@ from ..functions.tokens import (
 from ..operators.anonymize import PADS, with_pads
 from ..operators.detect import with_leaf_spans
 from ..operators.durable import hold
-from .formats import MAX_CHARS, TEXT_FORMATS, admit, detect_format
+from .formats import TEXT_FORMATS, admit, detect_format
 
 LEAVES, FOUND, TABLE, OUT, TEXT = "__leaves", "__found", "__values", "__out", "__text"
 
@@ -41,14 +41,14 @@ def anonymize_files(
     mode: str = "pseudo",
     *,
     rules: Rules | Mapping | str | None = None,
-    max_chars: int = MAX_CHARS,
+    max_chars: int | None = None,
     hash_key: bytes | str | None = None,
     generic: str = GENERIC_TOKEN,
 ) -> Files:
     """Rewrite files given as (path, content BINARY).
 
     Text formats are one text; CSV cells (the header too) and JSON string values are texts of
-    their own. A file is a row of limited size, so there is no shuffle. CSV and JSON are taken
+    their own. A file is one row, so there is no shuffle. CSV and JSON are taken
     apart and put together in Python, text files do not leave the JVM.
     """
     check_mode(mode)

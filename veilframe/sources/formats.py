@@ -10,7 +10,6 @@ from ..functions.sql import Sql, array, col, expr, let, lit, when
 # The formats told apart by extension, the rest being text.
 TEXT_FORMATS = ("txt", "md", "log", "srt", "html", "htm")
 FORMATS = (*TEXT_FORMATS, "csv", "json")
-MAX_CHARS = 500_000
 
 
 def detect_format(filename: Sql) -> Sql:
@@ -19,17 +18,17 @@ def detect_format(filename: Sql) -> Sql:
     return let(extension, lambda x: when(f"array_contains({array(map(lit, FORMATS))}, {x})", x, "'txt'"))
 
 
-def admit(df: DataFrame, text: str = "text", *, max_chars: int = MAX_CHARS, into: str = "reason") -> DataFrame:
+def admit(df: DataFrame, text: str = "text", *, max_chars: int | None = None, into: str = "reason") -> DataFrame:
     """Add why a row is not admitted, null where it is.
 
-    ``text`` may be binary (checked for UTF-8) or a string. Neither drops rows: split on
+    ``text`` may be binary (checked for UTF-8) or a string. There is no size limit unless
+    ``max_chars`` sets one. Neither drops rows: split on
     the reason with ``admitted`` and ``rejected``.
     """
     binary = dict(df.dtypes)[text] == "binary"
     decoded = f"try_validate_utf8(cast({col(text)} as string))" if binary else col(text)
-    reason = f"""case when {col(text)} is null then null
-        when {decoded} is null then 'encoding'
-        when length({decoded}) > {int(max_chars)} then 'size' end"""
+    size = "" if max_chars is None else f"when length({decoded}) > {int(max_chars)} then 'size'"
+    reason = f"case when {col(text)} is null then null when {decoded} is null then 'encoding' {size} end"
     return df.withColumn(into, expr(reason))
 
 

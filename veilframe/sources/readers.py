@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SMALL = 4 << 20  # bytes per core below which an input is spread by hand
-
 
 def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
     """One row (path, text) per file; a match may span lines, so files are not split."""
@@ -64,14 +62,10 @@ def json_rejects(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("raw").isNotNull() & F.try_parse_json("raw").isNull())
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Use all cores on a small input.
+def spread(df: DataFrame, partitions: int | None, *key: str) -> DataFrame:
+    """``df`` dealt over so many partitions, unchanged where none are given.
 
-    A file below a few megabytes is one row group, so one task would run every detector.
-    Decided by the size the source reports: inputs of any real size are left as they are.
+    For inputs that arrive as one row group and would run in one task; it moves all rows, so
+    inputs of any size leave it out.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= cores * _SMALL:
-        return df
-    return df.repartition(cores, *key)
+    return df if partitions is None else df.repartition(partitions, *key)

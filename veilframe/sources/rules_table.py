@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.python_side import fold_values
-from ..functions.rules import MAX_PATTERNS, Rules
+from ..functions.rules import Rules
 from ..functions.sql import col, expr, keep, transform, when
 from ..functions.text import is_ascii, strip
 
@@ -51,7 +53,7 @@ def rules_of(always: DataFrame | None = None, never: DataFrame | None = None, pa
     listed = []
     if patterns is not None:
         order = ["ord"] if "ord" in patterns.columns else ["regex"]
-        listed = [r.asDict() for r in patterns.orderBy(*order).limit(MAX_PATTERNS).collect()]
+        listed = [r.asDict() for r in patterns.orderBy(*order).toLocalIterator()]
     return Rules.parse({"always": terms(always), "never": terms(never), "patterns": listed})
 
 
@@ -68,3 +70,10 @@ def drop_exempt_spans(spans: DataFrame, never: DataFrame) -> DataFrame:
     keyed = spans.withColumn("__key", fold_column("text"))
     return keyed.join(listed, "__key", "left_anti").drop("__key")
 
+
+
+def rules_status(spark: SparkSession, rules: Rules | Mapping | str | None) -> DataFrame:
+    """One row (regex, accepted, timed, reason) per custom pattern: what is used, what is not and why."""
+    parsed = Rules.parse(rules)
+    rows = [(p.regex, not p.reason, not p.reason and p.plain is None, p.reason) for p in (*parsed.patterns, *parsed.refused)]
+    return spark.createDataFrame(rows, "regex string, accepted boolean, timed boolean, reason string")
