@@ -23,7 +23,7 @@ from veilframe.operators.reports import (
     summary_rollup,
     used_tokens,
 )
-from veilframe.operators.detect import detect_docs
+from veilframe.operators.detect import detect_docs, ingest_external_spans
 from veilframe.operators.tables import anonymize_nested, anonymize_table, pseudonymize_table
 
 KEY = b"secret"
@@ -278,3 +278,49 @@ def test_filters_on_results_do_not_repeat_the_detectors(spark):
     done = anonymize_docs(docs(spark, FIVE), "pseudo").where("output <> text and size(spans) > 1 and size(map) > 0")
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("KIA[0-9A-Z]") == 2
+
+
+ODD_KEYS = [(None, "c@d.com y a@b.com"), (1, "a@b.com"), (1, "10.0.0.1 y c@d.com"), (1, "a@b.com"), (None, "nada"), (2, "e@f.com")]
+
+
+def _hidden(texts):
+    return not any(v in t for t in texts for v in ("a@b.com", "c@d.com", "e@f.com", "10.0.0.1"))
+
+
+@pytest.mark.parametrize("mode", ["pseudo", "mask", "anon", "typed"])
+def test_null_and_repeated_keys_hide_everything(spark, mode):
+    df = spark.createDataFrame(ODD_KEYS, "id int, t string")
+    done = pseudonymize_table(df, columns=["t"], order_by=["id"]) if mode == "pseudo" else anonymize_table(df, mode, columns=["t"], order_by=["id"])
+    texts = [r.t for r in done.data.collect()]
+    assert len(texts) == len(ODD_KEYS) and _hidden(texts) and "nada" in texts
+    if mode == "pseudo":
+        back = deanonymize(done.data, done.mapping, key=["id"], text=["t"])
+        assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, ODD_KEYS))
+
+
+def test_null_and_repeated_keys_in_a_stream(spark, tmp_path):
+    from veilframe.streaming.stream import pseudonymize_batches
+
+    out = []
+    run = pseudonymize_batches(str(tmp_path / "tokens"), lambda df, _: out.extend(df.collect()), key=["id"], text="t")
+    run(spark.createDataFrame(ODD_KEYS, "id int, t string"), 0)
+    assert len(out) == len(ODD_KEYS) and _hidden([r.output for r in out])
+
+
+def test_tokens_per_row_need_a_key(spark):
+    with pytest.raises(ValueError, match="order_by"):
+        anonymize_table(spark.createDataFrame([("a@b.com",)], "t string"), "pseudo", scope="row")
+
+
+def test_column_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "a@b.com")], "id int, `m.x` string")
+    assert pseudonymize_table(df, order_by=["id"]).data.first()["m.x"] == "«EMAIL_1»"
+    assert anonymize_docs(df, "typed", text="m.x", key=["id"]).first().output == "[EMAIL]"
+
+
+def test_external_text_longer_than_its_slice(spark):
+    docs = spark.createDataFrame([(1, "Juan Perez vive con Ana")], "doc_id int, text string")
+    given = "doc_id int, start int, end int, text string, placeholder string, label string"
+    spans = spark.createDataFrame([(1, 0, 4, "Juan Perez", "<PRIVATE_PERSON>", None)], given)
+    found = ingest_external_spans(docs, spans).first().spans
+    assert [(s.start, s.end) for s in found] == [(0, 10)]

@@ -10,7 +10,7 @@ from veilframe.operators.anonymize import anonymize_docs
 from veilframe.operators.tables import anonymize_nested, anonymize_table, pseudonymize_table
 from veilframe.sources.files import anonymize_files
 from veilframe.sources.formats import admit, admitted, detect_format, rejected
-from veilframe.sources.readers import json_rejects, json_text, read_csv_table, read_files, read_json_docs, read_text_docs
+from veilframe.sources.readers import json_text, read_csv_table, read_files, read_json_docs, read_text_docs
 from veilframe.sources.sinks import write_result
 from veilframe.streaming.stream import anonymize_stream, pseudonymize_batches
 
@@ -98,22 +98,35 @@ def test_files_on_disk(spark, tmp_path):
 
 
 def test_csv_table_on_disk(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('nombre,email\n"Pe, ""P""",juan@acme.com\n,x\nuno\na,b,c\n')
-    table = read_csv_table(spark, str(tmp_path), 2)
-    assert [r._corrupt for r in table.where("_corrupt is not null").collect()][-1] == "a,b,c"
-    rows = [r for r in table.collect() if r._corrupt != "a,b,c"]
-    assert [(r.c0, r.c1) for r in rows] == [("nombre", "email"), ('Pe, "P"', "juan@acme.com"), (None, "x"), ("uno", None)]
-    done = anonymize_table(table, "typed", columns=["c0", "c1"], scope="row").data
-    assert "[EMAIL]" in [r.c1 for r in done.collect()]
+    (tmp_path / "a.csv").write_text('nombre,email\n"Pe, ""P""",juan@acme.com\n,x\nuno\na,b@x.com,c@x.com\n')
+    (tmp_path / "b.csv").write_text("ana,ana@x.com\nJuan,juan@acme.com\n")
+    read = read_csv_table(spark, str(tmp_path), 2)
+    assert [r.raw for r in read.rejected.collect()] == ["a,b@x.com,c@x.com"]
+    rows = read.rows.orderBy("path", "row").collect()
+    assert [(r.c0, r.c1) for r in rows][:4] == [("nombre", "email"), ('Pe, "P"', "juan@acme.com"), (None, "x"), ("uno", None)]
+    assert len({(r.path, r.row) for r in rows}) == len(rows) == 6
+    done = anonymize_table(read.rows, "pseudo", columns=["c0", "c1"], scope=["path"], order_by=["path", "row"])
+    got = [r.c1 for r in done.data.orderBy("path", "row").collect()]
+    assert got == ["email", "«EMAIL_1»", "x", None, "«EMAIL_1»", "«EMAIL_2»"]
 
 
 def test_json_lines_on_disk(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text('{"user":{"email":"a@b.com"},"items":[1,2,3],"n":null}\n{bad\n')
-    docs = read_json_docs(spark, str(tmp_path), "user struct<email:string>, items array<int>, n string")
-    assert [r.raw for r in json_rejects(docs).collect()] == ["{bad"]
-    done = anonymize_nested(docs.where("raw not like '{bad%'"), ["value"], "pseudo", scope="row").data
+    lost = ['{bad', '{"user":{"email":"a@b.com","phone":"1"}}', '{"user":"z@z.com"}', '{"extra":1}', '{"items":["1"]}']
+    (tmp_path / "a.jsonl").write_text('{"user":{"email":"a@b.com"},"items":[1,2,3],"n":null}\n\n' + "\n".join(lost) + "\n")
+    read = read_json_docs(spark, str(tmp_path), "user struct<email:string>, items array<int>, n string")
+    assert sorted(r.raw for r in read.rejected.collect()) == sorted(lost)
+    done = anonymize_nested(read.rows, ["value"], "pseudo", scope="row", order_by=["path"]).data
     text = done.select(json_text("value").alias("j")).first().j
     assert text == '{"user":{"email":"«EMAIL_1»"},"items":[1,2,3],"n":null}'
+    assert done.columns == ["path", "value"]
+
+
+def test_a_long_cell_and_a_long_file(spark):
+    cell = "x" * 200_000 + " a@b.com"
+    files = [("a.csv", bytearray(f"k,{cell}\n".encode())), ("b.txt", bytearray(("word " * 150_000 + "a@b.com").encode()))]
+    done = anonymize_files(spark.createDataFrame(files, "path string, content binary"), "typed")
+    assert done.rejected.count() == 0
+    assert {r.content[-9:].strip() for r in done.accepted.collect()} == {"[EMAIL]", "d [EMAIL]"}
 
 
 def test_results_are_written_apart(spark, tmp_path):
@@ -126,6 +139,9 @@ def test_results_are_written_apart(spark, tmp_path):
     assert spark.read.parquet(where[2]).first().n == 1
     with pytest.raises(ValueError):
         write_result(done, where[0], where[0] + "/map", where[2])
+    with pytest.raises(ValueError):
+        write_result(done, where[1] + "//data", where[1], where[2])
+    write_result(done, where[0] + "2", where[0] + "2_map", where[2] + "2")
 
 
 @pytest.mark.parametrize("mode", ["typed", "pseudo", "hash"])

@@ -139,3 +139,28 @@ def file_from_leaves(formats: pd.Series, contents: pd.Series, leaves: pd.Series)
     """The file again, with its strings replaced one for one."""
     rows = zip(formats, contents, leaves)
     return pd.Series([None if x is None or c is None else Tree(f, c).filled(list(x)) for f, c, x in rows], dtype=object)
+
+
+@F.pandas_udf(T.IntegerType())
+def csv_width(records: pd.Series) -> pd.Series:
+    """Cells of one CSV record."""
+    return records.map(lambda raw: sum(map(len, csv.reader(io.StringIO(raw)))), na_action="ignore")
+
+
+def _without_nulls(node: object) -> object:
+    if isinstance(node, dict):
+        return {k: _without_nulls(v) for k, v in node.items() if v is not None}
+    return [_without_nulls(v) for v in node] if isinstance(node, list) else node
+
+
+@F.pandas_udf(T.BooleanType())
+def same_json(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Whether two JSON texts say the same, apart from the order of keys and null members; false where one is no JSON."""
+
+    def same(a: str | None, b: str | None) -> bool:
+        try:
+            return a is not None and b is not None and _without_nulls(json.loads(a)) == _without_nulls(json.loads(b))
+        except (ValueError, RecursionError):
+            return False
+
+    return pd.Series([same(a, b) for a, b in zip(left, right)], dtype=bool)

@@ -42,7 +42,8 @@ def first_label(spans: Sql, texts: Sql, text: Sql) -> Sql:
 def propagate_spans(text: Sql, spans: Sql) -> Sql:
     """Add a span at every occurrence of every text already marked.
 
-    A text that occurs once has nothing to add: the copy would equal the span it came from.
+    A text that occurs once has nothing to add: the copy would equal the span it came from. That
+    holds only for a span whose text is its slice; others are always looked for.
     """
 
     def occurrences(texts: Sql, value: Sql) -> Sql:
@@ -56,7 +57,8 @@ def propagate_spans(text: Sql, spans: Sql) -> Sql:
     def elsewhere(s: Sql) -> Sql:
         # an occurrence that starts earlier ends earlier too; this is much faster than locate
         before = f"contains(left({text}, {s}.end - 1), {s}.text)"
-        return f"({before} or contains(substring({text}, {s}.start + 2), {s}.text))"
+        foreign = f"{s}.text <> {cut(text, f'{s}.start', f'{s}.end')}"
+        return f"({foreign} or {before} or contains(substring({text}, {s}.start + 2), {s}.text))"
 
     def more(texts: Sql) -> Sql:
         worth = keep(spans, lambda s: f"length({strip(f'{s}.text')}) >= {MIN_PROPAGATED} and {elsewhere(s)}")

@@ -22,7 +22,8 @@ def expr(sql: Sql) -> Column:
 
 
 def col(name: str) -> Sql:
-    return ".".join(f"`{part.replace('`', '``')}`" for part in name.split("."))
+    """A column or field by its whole name, dots included."""
+    return f"`{name.replace('`', '``')}`"
 
 
 def lit(value: str | int | bool) -> Sql:

@@ -151,24 +151,31 @@ def deanonymize(
 ) -> DataFrame:
     """Put originals back from a map table (scope, token, original).
 
-    One text column is restored into a new one, a list of columns in place. Each row asks
-    once per distinct token it holds; only those pairs are shuffled to the map, and the
-    answers come back as one small map per row. The key must be unique and never null.
+    One text column is restored into a new one, a list of columns in place. Only rows that hold a
+    token mark are moved: each asks once per distinct token, the pairs meet the map, and the answers
+    come back as one small map per row. Rows whose key is null or repeated are told apart by their
+    texts. ``mapping`` should be a stored table: whether it is empty is looked at right away.
     """
     if mapping.isEmpty():
         raise ValueError("the reversal map is empty")
-    keys, scopes = list(key), list(scope)
+    scopes = list(scope)
     columns = {text: into} if isinstance(text, str) else {c: c for c in text}
+    mark = "__row"
+    carried = list(dict.fromkeys([*key, *scopes]))
+    texts = f"array({', '.join(map(col, columns))})"
+    holds = " or ".join(f"contains({col(c)}, '«')" for c in columns)
+    marked = df.withColumn(mark, expr(f"named_struct('a', xxhash64({texts}), 'b', xxhash64('b', {texts}))"))
+    some, others = marked.where(f"coalesce({holds}, false)"), marked.where(f"not coalesce({holds}, false)")
     each = [let(col(c), lambda t: transform(token_spans(t), lambda s: f"{s}.text")) for c in columns]
     present = ", ".join(f"coalesce({tokens}, cast(array() as array<string>))" for tokens in each)
-    carried = list(dict.fromkeys([*keys, *scopes]))
-    asked = df.select(*carried, F.explode(expr(f"array_distinct(concat({present}))")).alias("token"))
+    asked = some.select(*carried, mark, F.explode(expr(f"array_distinct(concat({present}))")).alias("token")).distinct()
     answers = (
         join_on(asked, mapping.select(*scopes, "token", "original"), ["token"], scopes=scopes)
-        .groupBy(*keys)
+        .groupBy(*carried, mark)
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("__map"))
     )
-    joined = join_on(df, answers, keys, "left")
+    found = join_on(some, answers, [mark], "left", scopes=carried)
+    joined = found.unionByName(others.withColumn("__map", F.lit(None).cast("map<string,string>"))).drop(mark)
     for source, target in columns.items():
         joined = deanonymize_rows(joined, text=source, mapping="__map", into=target)
     return joined.drop("__map")

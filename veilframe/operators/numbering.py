@@ -14,8 +14,7 @@ def join_on(
     """Equi-join on ``columns``, and on ``scopes`` with null equal to null; each is kept once.
 
     The columns of the right side are renamed first, so both sides may stem from one table.
-    Keys and values are never null: plain equality lets their partitioning be used again. A
-    value found everywhere is split over tasks by adaptive execution, as its right side is
+    ``columns`` must not be null in rows that should meet. A value found everywhere is split over tasks by adaptive execution, as its right side is
     one row.
     """
     renamed = {c: f"__right_{c}" for c in dict.fromkeys([*scopes, *columns])}

@@ -118,7 +118,9 @@ def anonymize_table(
 
     Detection is per cell. ``scope`` says how far "same value, same token" and the numbering
     reach: ``"row"``, a list of columns (a file, a customer), or ``"table"``. Beyond the row,
-    ``order_by`` must be a unique key; "first" means first by that key, then by column.
+    ``order_by`` orders the rows; "first" means first by it, then by column. It should be a unique key,
+    but nothing depends on that except the numbering: rows whose key is null or repeated are told
+    apart by their texts, and rows equal in both are rewritten alike.
     Scope and key columns are left alone unless named in ``columns``.
     """
     check_mode(mode)
@@ -131,9 +133,14 @@ def anonymize_table(
         raise ValueError("no string column to anonymize")
     leaves = f"concat({', '.join(_string_leaves(col(f.name), f.dataType) for f in fields)})"
     if scope == "row":
+        if mode == "pseudo" and not order_by:
+            raise ValueError("tokens per row need order_by, or the map cannot say which row a token is of")
         return _by_row(df, mode, fields, leaves, parsed, list(order_by), hash_key, generic)
     if not order_by:
-        raise ValueError("a scope beyond the row needs order_by, a unique key of the table")
+        raise ValueError("a scope beyond the row needs order_by, a key of the table")
+    if mode == "anon":  # one constant for all values: nothing to agree on beyond the row
+        done = _by_row(df, mode, fields, leaves, parsed, groups, hash_key, generic)
+        return Anonymized(done.data, done.mapping, done.summary.groupBy(*groups, "label").agg(F.sum("n").alias("n")))
     return _by_group(df, mode, fields, leaves, parsed, groups, list(order_by), hash_key, generic)
 
 
@@ -156,7 +163,7 @@ def _by_row(df, mode, fields, leaves, rules, key, hash_key, generic) -> Anonymiz
     tabled = hold(found, **{TABLE: value_table(f"flatten({FOUND})", mode, **options)})
     out = transform_indexed(LEAVES, lambda t, i: replace_values(t, f"get({FOUND}, {i})", TABLE))
     done = hold(tabled, **{OUT: out})
-    data = _rebuild(done, fields).select(*df.columns)
+    data = _rebuild(done, fields).select(*[expr(col(c)) for c in df.columns])
     if mode == "pseudo":
         mapping = tabled.select(*key, F.explode(expr(table_as_map(TABLE))).alias("token", "original"))
     else:
@@ -165,16 +172,28 @@ def _by_row(df, mode, fields, leaves, rules, key, hash_key, generic) -> Anonymiz
     return Anonymized(data, mapping, counts)
 
 
+ROW = "__row"
+
+
+def row_mark(leaves: Sql) -> Sql:
+    """128 bits of a row's texts. With the key it names what findings belong to: they depend on the
+    texts alone, so a null or repeated key cannot hand them to another row or lose them."""
+    return f"named_struct('a', xxhash64({leaves}), 'b', xxhash64('b', {leaves}))"
+
+
 def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic) -> Anonymized:
-    spans = _durable_spans(df.select(*dict.fromkeys([*groups, *key]), expr(leaves).alias(LEAVES)), rules, groups, key)
+    place = list(dict.fromkeys([*groups, *key]))
+    texts = df.select(*place, expr(leaves).alias(LEAVES)).withColumn(ROW, expr(row_mark(LEAVES)))
+    spans = _durable_spans(texts, rules, [*place, ROW])
     tokens = value_tokens(spans, mode, groups, key, hash_key=hash_key, generic=generic)
     hits = (
         join_on(spans, tokens.drop("label"), ["text"], scopes=groups)
-        .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(F.struct("leaf", "start", "end", "token"))).alias(HITS))
+        .groupBy(*place, ROW)
+        .agg(F.sort_array(F.collect_set(F.struct("leaf", "start", "end", "token"))).alias(HITS))
     )
     # only rows with a finding are on the right; adaptive execution broadcasts them when few
-    joined = join_on(df, hits, key, "left")
+    marked = df.withColumn(ROW, expr(row_mark(f"({leaves})")))
+    joined = join_on(marked, hits, [ROW], "left", scopes=place)
     out = transform_indexed(
         LEAVES,
         lambda t, i: when(
@@ -184,13 +203,13 @@ def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic) -
         ),
     )
     done = hold(joined.withColumn(LEAVES, expr(leaves)), **{OUT: out})
-    data = _rebuild(done, fields).select(*df.columns)
+    data = _rebuild(done, fields).select(*[expr(col(c)) for c in df.columns])
     mapping = tokens.where(F.lit(mode == "pseudo")).select(*groups, "token", F.col("text").alias("original"))
     return Anonymized(data, mapping, spans.groupBy(*groups, "label").agg(F.count("*").alias("n")))
 
 
-def _durable_spans(df: DataFrame, rules: Rules, groups: list[str], key: list[str]) -> DataFrame:
-    """One row per span with scope, key, leaf, start, end, label, text.
+def _durable_spans(df: DataFrame, rules: Rules, carried: list[str]) -> DataFrame:
+    """One row per span with the ``carried`` columns, leaf, start, end, label, text.
 
     Used for the tokens and for the rewriting, so it is written once: the detectors are the
     costly part and the spans a small fraction of the text.
@@ -203,7 +222,7 @@ def _durable_spans(df: DataFrame, rules: Rules, groups: list[str], key: list[str
             lambda s: struct(leaf=i, start=f"{s}.start", end=f"{s}.end", label=f"{s}.label", text=f"{s}.text"),
         ),
     )
-    return durable(found.select(*dict.fromkeys([*groups, *key]), F.inline(expr(f"flatten({rows})"))))
+    return durable(found.select(*carried, F.inline(expr(f"flatten({rows})"))))
 
 
 def value_tokens(
@@ -234,7 +253,7 @@ def value_tokens(
     )
     options = {"generic": generic}
     if mode == "pseudo":
-        typed = number_within(typed, [*groups, "type"], at)
+        typed = number_within(typed, [*groups, "type"], [*at, "text"])
         options["number"] = "n"
     elif mode == "hash":
         typed = with_pads(typed, hash_key)

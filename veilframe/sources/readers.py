@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.python_side import csv_width, same_json
+
 
 def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
     """One row (path, text) per file; a match may span lines, so files are not split."""
@@ -22,12 +26,25 @@ def read_files(spark: SparkSession, path: str, *, glob: str | None = None) -> Da
     return reader.load(path).select("path", "content")
 
 
-def read_csv_table(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """A CSV table of strings c0..c{width-1} plus the file name; the header is a row like others.
+@dataclass(frozen=True)
+class Read:
+    """Rows that could be read, and those that could not, in a table of their own.
+
+    ``rejected`` holds raw text: it has to be kept as carefully as the source.
+    """
+
+    rows: DataFrame
+    rejected: DataFrame
+
+
+def read_csv_table(spark: SparkSession, path: str, width: int) -> Read:
+    """A CSV table of strings c0..c{width-1} with ``path`` and ``row``; the header is a row like others.
 
-    Give the width of the widest row: shorter rows are padded with null, and rows that are
-    wider still are kept whole in ``_corrupt``. Empty cells read as null and are written as
-    empty again. Files that must keep ragged rows go through ``anonymize_files``.
+    Give the width of the widest row: shorter rows are padded with null, wider ones are rejected. Empty
+    cells read as null and are written as empty again. ``path`` and ``row`` (the order within the
+    file) are a unique key: a file is read whole by one task, so that its rows can be numbered
+    as they come. ``anonymize_table(..., scope=["path"], order_by=["path", "row"])`` then has one state per
+    file. Files that must keep ragged rows go through ``anonymize_files``.
     """
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(width)]
     schema = T.StructType([*fields, T.StructField("_corrupt", T.StringType())])
@@ -35,22 +52,34 @@ def read_csv_table(spark: SparkSession, path: str, width: int) -> DataFrame:
         path,
         schema=schema,
         header=False,
-        multiLine=True,
+        multiLine=True,  # also: files are not split
         escape='"',
         columnNameOfCorruptRecord="_corrupt",
         mode="PERMISSIVE",
     )
-    return cells.select(F.col("_metadata.file_path").alias("path"), *cells.columns)
+    # ascending within a partition, and a file is in one partition only
+    cells = cells.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row"), *cells.columns)
+    # the reader marks shorter rows as well; only wider ones have cells without a column
+    wide = cells.withColumn("cells", F.when(F.col("_corrupt").isNotNull(), csv_width(F.col("_corrupt"))))
+    # Spark does not read the column of corrupt records alone, so the test names another one
+    lost = F.coalesce((F.col("cells") > width) & (F.col("c0").isNotNull() | (F.length("_corrupt") >= 0)), F.lit(False))
+    rows = wide.where(~lost).drop("_corrupt", "cells")
+    return Read(rows, wide.where(lost).select("path", "row", F.col("_corrupt").alias("raw")))
 
 
-def read_json_docs(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """JSON lines parsed with an explicit schema, which fixes the order of the keys.
+def read_json_docs(spark: SparkSession, path: str, schema: str | T.StructType) -> Read:
+    """JSON lines parsed with an explicit schema, which fixes the order of the keys; the column is ``value``.
 
-    Inference would sort keys and turn mixed arrays into strings. Malformed lines keep their
-    text in ``raw`` with a null ``value``; see ``json_rejects``.
+    Inference would sort keys and turn mixed arrays into strings. A line is rejected if it is no JSON
+    or if the schema does not hold all of it: keys it does not name, values of another type.
     """
-    lines = spark.read.text(path).withColumnRenamed("value", "raw")
-    return lines.select("raw", F.from_json("raw", schema).alias("value"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    parsed = lines.select("path", "raw", F.from_json("raw", schema).alias("value"))
+    parsed = parsed.withColumn("whole", same_json("raw", json_text("value")))
+    return Read(
+        parsed.where("whole").select("path", "value"),
+        parsed.where(~F.col("whole") & (F.trim("raw") != "")).select("path", "raw"),
+    )
 
 
 def json_text(value: str | Column) -> Column:
@@ -58,10 +87,6 @@ def json_text(value: str | Column) -> Column:
     return F.to_json(value, {"ignoreNullFields": "false"})
 
 
-def json_rejects(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("raw").isNotNull() & F.try_parse_json("raw").isNull())
-
-
 def spread(df: DataFrame, partitions: int | None, *key: str) -> DataFrame:
     """``df`` dealt over so many partitions, unchanged where none are given.
 

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame
 from ..operators.tables import Anonymized
 
 
+def _inside(path: str, folder: str) -> bool:
+    """Whether ``path`` is ``folder`` or lies in it, by whole path segments."""
+    mine, theirs = ([part for part in x.split("/") if part not in ("", ".")] for x in (path, folder))
+    return mine[: len(theirs)] == theirs
+
+
 def write_result(
     result: Anonymized,
     data_path: str,
@@ -21,8 +27,8 @@ def write_result(
 ) -> None:
     """Write the three tables of a run. The map re-identifies the data: keep ``map_path``
     somewhere only those allowed to reverse can read."""
-    if map_path.rstrip("/").startswith(data_path.rstrip("/")):
-        raise ValueError("the reversal map must not be stored inside the data")
+    if _inside(map_path, data_path) or _inside(data_path, map_path):
+        raise ValueError("the reversal map and the data must not be stored inside each other")
 
     def write(df: DataFrame, path: str, by: Sequence[str]) -> None:
         writer = df.write.format(format).mode(mode)

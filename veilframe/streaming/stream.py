@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import type_of
 from ..functions.spans import apply_replacements
-from ..functions.sql import expr, struct, transform
+from ..functions.sql import col, expr, struct, transform
 from ..operators.anonymize import anonymize_docs
 from ..operators.detect import with_spans
 from ..operators.durable import durable
 from ..operators.numbering import join_on, number_within
+from ..operators.tables import ROW, row_mark
 
 
 def anonymize_stream(docs: DataFrame, mode: str = "typed", **options) -> DataFrame:
@@ -46,8 +47,9 @@ def pseudonymize_batches(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        carried = list(dict.fromkeys([*scopes, *keys]))
-        found = durable(with_spans(batch, text, "spans", rules=rules).select(*batch.columns, "spans"))
+        carried = [*dict.fromkeys([*scopes, *keys]), ROW]
+        marked = batch.withColumn(ROW, expr(row_mark(f"array({col(text)})")))
+        found = durable(with_spans(marked, text, "spans", rules=rules).select(*batch.columns, ROW, "spans"))
         each = transform(
             "spans", lambda s: struct(start=f"{s}.start", end=f"{s}.end", label=f"{s}.label", value=f"{s}.text")
         )
@@ -58,7 +60,7 @@ def pseudonymize_batches(
         )
         known = _known_tokens(spark, tokens_path, batch_id, values, scopes)
         fresh = join_on(values, known.select(*scopes, "value"), ["value"], "left_anti", scopes=scopes)
-        numbered = number_within(fresh, [*scopes, "type"], ["at"])
+        numbered = number_within(fresh, [*scopes, "type"], ["at", "value"])
         last = known.groupBy(*scopes, "type").agg(F.max("n").alias("last"))
         offset = join_on(numbered, last, ["type"], "left", scopes=scopes).select(
             *scopes, "value", "type", (F.col("n") + F.coalesce("last", F.lit(0))).alias("n")
@@ -69,11 +71,11 @@ def pseudonymize_batches(
         tokens = known.select(*scopes, "value", "token").unionByName(written.select(*scopes, "value", "token"))
         hits = (
             join_on(spans, tokens, ["value"], scopes=scopes)
-            .groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("hits"))
+            .groupBy(*carried)
+            .agg(F.sort_array(F.collect_set(F.struct("start", "end", "token"))).alias("hits"))
         )
-        joined = join_on(found, hits, keys, "left").select(*batch.columns, "hits")
-        output = apply_replacements(f"`{text}`", "coalesce(hits, array())", lambda h, i: f"{h}.token")
+        joined = join_on(found, hits, [ROW], "left", scopes=carried[:-1]).select(*batch.columns, "hits")
+        output = apply_replacements(col(text), "coalesce(hits, array())", lambda h, i: f"{h}.token")
         sink(joined.withColumn("output", expr(output)).drop("hits"), batch_id)
 
     return run
