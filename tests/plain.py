@@ -27,6 +27,7 @@ PATTERNS = [
     ("AR_DNI", r"(?<!\d)\d{1,2}\.\d{3}\.\d{3}(?!\d)"),
     ("AR_DNI", r"(?i)\b(?:dni|d\.n\.i\.?|documento)\b[\s:n°º\-]*(?P<it>(?:\d{1,2}\.?\d{3}\.?\d{3})|\d{7,8})"),
 ]
+# Priority of each label.
 PRIORITY = {
     "AR_CBU": 60,
     "AR_CUIT": 55,

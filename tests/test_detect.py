@@ -1,6 +1,7 @@
 """Detection: hand-written cases, parity with plain Python, guards, plan shape."""
 
 import random
+import time
 import re
 
 import plain
@@ -234,3 +235,11 @@ def test_inputs_are_dealt_out_only_where_asked(spark, documents):
 
     assert spread(documents, None) is documents
     assert spread(documents, 3, "doc_id").rdd.getNumPartitions() == 3
+
+
+def test_long_runs_of_mail_characters(spark):
+    texts = ["a." * 100_000 + "@", "a." * 100_000 + "@ x@y.com", "é" + "a." * 300 + "b@c.org", "x@" + "a." * 50_000, "b" * 300 + "@d.net"]
+    start = time.time()
+    rows = detect_docs(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert sorted((r.doc_id, r.text[-7:]) for r in rows if r.label == "EMAIL") == [(1, "x@y.com"), (2, "b@c.org"), (4, "b@d.net")]
+    assert time.time() - start < 60

@@ -19,6 +19,9 @@ from .validators import cuit_ok, luhn_ok, phone_ok
 _NOT_AFTER_WORD = f"(?<!{WORD})"
 _NOT_BEFORE_WORD = f"(?!{WORD})"
 _BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+_LOCAL = r"[A-Za-z0-9._%+\-]"
+# a leading word character needs a non-word before it, a leading ". % + -" a word one
+_EMAIL_START = rf"(?:[A-Za-z0-9_](?<!{WORD}.)|[.%+\-](?<={WORD}.))"
 
 # Priority of each label when two spans of equal length overlap.
 PRIORITY = {
@@ -68,10 +71,11 @@ def _detectors(d: str) -> tuple[Detector, ...]:
         Detector(
             "email",
             "EMAIL",
-            # a leading word character needs a non-word before it, a leading ". % + -" a word one
-            rf"(?:[A-Za-z0-9_](?<!{WORD}.)|[.%+\-](?<={WORD}.))"
-            rf"[A-Za-z0-9._%+\-]*+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{_NOT_BEFORE_WORD}",
+            # All starts within a run of local characters end at the same place, so they succeed or fail together:
+            # a long run that fails is taken as a whole and dropped again, and is not read once for each start.
+            rf"{_EMAIL_START}{_LOCAL}*+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}{_NOT_BEFORE_WORD}|{_EMAIL_START}{_LOCAL}{{100,}}+",
             _has("@"),
+            valid=lambda x: f"contains({x}, '@')",
         ),
         Detector(
             "url",

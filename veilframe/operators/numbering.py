@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +28,18 @@ def join_on(
     return left.join(other, condition, how).drop(*renamed.values())
 
 
-def number_within(df: DataFrame, group: list[str], order: list[str], into: str = "n") -> DataFrame:
+def number_within(
+    df: DataFrame, group: list[str], order: list[str], into: str = "n", *, keep: Callable[[DataFrame], DataFrame] = durable
+) -> DataFrame:
     """``row_number`` over (group, order) without gathering a group in one task.
 
     The rows are range-partitioned by (group, order), so a partition holds a stretch of
     consecutive rows. Numbers inside the stretch plus the counts of the stretches before it
     give the number. The partition numbers are made durable first: a lost task that sampled
-    other bounds on recomputation would number differently.
+    other bounds on recomputation would number differently. ``keep`` says where.
     """
     part, before, inside = "__part", "__before", "__inside"
-    ranged = durable(df.repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id()))
+    ranged = keep(df.repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id()))
     earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*group, part)

@@ -7,9 +7,39 @@ pattern's matches) and ``spans`` (all detectors, propagation, overlap resolution
 
 from __future__ import annotations
 
-from ..functions.detectors import PRIORITY
-from ..functions.labels import PLACEHOLDER_LABEL, TAXONOMY
-
+# Fixed values, stated here on their own so that a wrong constant of the engine shows: priorities of labels,
+# (label, type in tokens, placeholder), and (placeholder, label).
+PRIORITY = {
+    "AR_CBU": 60, "AR_CUIT": 55, "SECRET": 50, "AR_DNI": 45, "CREDIT_CARD": 40, "EMAIL": 35, "IPV4": 25, "URL": 20, "PHONE": 10,
+}
+CUSTOM_PRIORITY = {**PRIORITY, "CUSTOM": 100}
+TAXONOMY = (
+    ("EMAIL", "EMAIL", "<PRIVATE_EMAIL>"),
+    ("PHONE", "TEL", "<PRIVATE_PHONE>"),
+    ("PERSON", "PERSONA", "<PRIVATE_PERSON>"),
+    ("ADDRESS", "DOMICILIO", "<PRIVATE_ADDRESS>"),
+    ("AR_DNI", "ID", "<ACCOUNT_NUMBER>"),
+    ("AR_CUIT", "ID", "<ACCOUNT_NUMBER>"),
+    ("AR_CBU", "ID", "<ACCOUNT_NUMBER>"),
+    ("CREDIT_CARD", "ID", "<ACCOUNT_NUMBER>"),
+    ("ACCOUNT", "ID", "<ACCOUNT_NUMBER>"),
+    ("URL", "URL", "<PRIVATE_URL>"),
+    ("DATE", "FECHA", "<PRIVATE_DATE>"),
+    ("SECRET", "SECRETO", "<SECRET>"),
+    ("IPV4", "IP", "<REDACTED>"),
+    ("CUSTOM", "DATO", "<REDACTED>"),
+)
+PLACEHOLDER_LABEL = (
+    ("<PRIVATE_PERSON>", "PERSON"),
+    ("<PRIVATE_ADDRESS>", "ADDRESS"),
+    ("<PRIVATE_EMAIL>", "EMAIL"),
+    ("<PRIVATE_PHONE>", "PHONE"),
+    ("<ACCOUNT_NUMBER>", "ACCOUNT"),
+    ("<PRIVATE_DATE>", "DATE"),
+    ("<PRIVATE_URL>", "URL"),
+    ("<SECRET>", "SECRET"),
+    ("<REDACTED>", "CUSTOM"),
+)
 _OPEN, _CLOSE, _MARK, _JOIN, _JOINED = (f"chr({n})" for n in (1, 2, 3, 4, 5))
 
 
@@ -28,7 +58,7 @@ _WORD_RUNS = rf"regexp_replace(t, '[\pL\pN_]+', {_OPEN} || '\0' || {_CLOSE}, 'g'
 # a separator between two digit runs is told apart from one that trails the last run
 _CARD_RUNS = rf"regexp_replace({_DIGIT_RUNS}, '\x02([ \-])\x01', {_JOIN} || '\1' || {_JOINED}, 'g')"
 
-# label, prepared text, what precedes the reported part, the reported part
+# Fixed values, in RE2's terms: label, prepared text, what precedes the reported part, the reported part.
 _DETECTORS = (
     ("EMAIL", "t", "", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
     ("URL", "t", "", r"(?i)\b(?:https?://|www\.)[^\s<>()\[\]{}\x22\x27]+"),

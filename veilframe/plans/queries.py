@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +14,6 @@ from ..functions.detectors import PRIORITY, detect_label
 from ..functions.labels import placeholder_of, type_of
 from ..functions.offsets import span
 from ..functions.pii import raw_pii
-from ..functions.rules import CUSTOM_PRIORITY
 from ..functions.spans import apply_replacements, finalize_spans, propagate_spans
 from ..functions.sql import expr
 from ..functions.text import normalize_text
@@ -24,7 +21,7 @@ from ..functions.tokens import hmac_pads
 from ..functions.validators import cuit_ok, luhn_ok, phone_ok
 from ..operators.anonymize import anonymize_docs, deanonymize, deanonymize_rows, redact_placeholder
 from ..operators.detect import choose_spans, detect_docs, explode_spans, ingest_external_spans
-from ..operators.durable import durable
+from ..operators.durable import durable, shared_folder
 from ..operators.pages import redact_pages
 from ..operators.reports import (
     consistency_check,
@@ -40,8 +37,9 @@ from ..operators.span_tables import resolve_span_table
 from ..operators.tables import anonymize_nested, anonymize_table, pseudonymize_table
 from ..sources.files import anonymize_files
 from ..sources.formats import admit, detect_format
-from ..sources.readers import spread
-from ..sources.rules_table import drop_exempt_spans, load_rules
+from ..sources.readers import read_csv_table, read_json_docs, read_text_docs, spread
+from ..sources.rules_table import drop_exempt_spans, load_rules, rules_status
+from ..sources.sinks import write_result
 from ..streaming.stream import anonymize_stream, pseudonymize_batches
 from . import oracle as o
 from .inputs import CELLS_SQL, EXTERNAL_SQL, SPANS_SQL, TEXTS_SQL, derive, partitions, table, texts
@@ -186,7 +184,7 @@ def _detect_format(spark, sf_dir):
 @query(
     "resolve_overlaps",
     f"""WITH cand AS (SELECT *, CAST(start AS BIGINT) AS s, CAST(finish AS BIGINT) AS e FROM ({SPANS_SQL})),
-    sorted AS (SELECT doc_id, list({{'label': label, 's': s, 'e': e}} ORDER BY e - s DESC, {o.weight('label', PRIORITY)} DESC, s, ord, label) AS l
+    sorted AS (SELECT doc_id, list({{'label': label, 's': s, 'e': e}} ORDER BY e - s DESC, {o.weight('label', o.PRIORITY)} DESC, s, ord, label) AS l
         FROM cand WHERE e > s GROUP BY doc_id),
     kept AS (SELECT doc_id, unnest(list_reduce(l, lambda a, y: CASE WHEN len(list_filter(a, lambda z: z.s < y.e AND z.e > y.s)) > 0
         THEN a ELSE list_append(a, y) END, [])) AS k FROM sorted)
@@ -368,6 +366,86 @@ def _anonymize_table(spark, sf_dir):
     return done.data.select("id", *_CELLS)
 
 
+_MASKED_CELLS = ORACLES["anonymize_table"]
+
+
+def _with_odd_key(df: DataFrame) -> DataFrame:
+    """A key ``k`` that is null in a third of the rows and repeated in the others."""
+    return df.withColumn("k", expr("if(id % 3 = 0, null, id div 4)"))
+
+
+@query("mask_nullable", _MASKED_CELLS)
+def _mask_nullable(spark, sf_dir):
+    done = anonymize_table(_with_odd_key(_cells(spark, sf_dir)), "mask", columns=_CELLS, order_by=["k"])
+    return done.data.select("id", *_CELLS)
+
+
+@query("pseudonymize_nullable", f"SELECT id, contact, memo FROM ({CELLS_SQL})")
+def _pseudonymize_nullable(spark, sf_dir):
+    """There and back again; the numbers of rows with equal keys are not SQL's to tell."""
+    done = pseudonymize_table(_with_odd_key(_cells(spark, sf_dir)), columns=_CELLS, order_by=["k"])
+    hidden = durable(done.data.select("id", "k", *_CELLS))
+    return deanonymize(hidden, done.mapping, key=["k"], text=_CELLS).select("id", *_CELLS)
+
+
+@query("write_table", _scoped_sql("", _BOTH))
+def _write_table(spark, sf_dir):
+    folder = shared_folder(spark, "written")
+    done = pseudonymize_table(_cells(spark, sf_dir), columns=_CELLS, order_by=["id"])
+    write_result(done, f"{folder}/data", f"{folder}/map", f"{folder}/summary")
+    return spark.read.parquet(f"{folder}/data").select("id", *_CELLS)
+
+
+@query("csv_table", _MASKED_CELLS)
+def _csv_table(spark, sf_dir):
+    folder = shared_folder(spark, "csv")
+    _cells(spark, sf_dir).select("id", *_CELLS).write.option("escape", '"').csv(folder)
+    rows = read_csv_table(spark, folder, 3).rows
+    done = anonymize_table(rows, "mask", columns=["c1", "c2"], scope=["path"], order_by=["path", "row"]).data
+    return done.select(F.col("c0").cast("long").alias("id"), F.coalesce("c1", F.lit("")).alias("contact"), F.coalesce("c2", F.lit("")).alias("memo"))
+
+
+@query("json_docs", f"SELECT * FROM ({_MASKED_CELLS}) WHERE id % 7 <> 0")
+def _json_docs(spark, sf_dir):
+    """Every seventh line has a key that the schema does not name, and is rejected."""
+    folder = shared_folder(spark, "json")
+    lines = _cells(spark, sf_dir).select("id", *_CELLS, expr("if(id % 7 = 0, id, null)").alias("more"))
+    lines.select(F.to_json(F.struct("*")).alias("value")).write.text(folder)
+    rows = read_json_docs(spark, folder, "id bigint, contact string, memo string").rows
+    done = anonymize_table(rows, "mask", columns=["value"], scope="row").data
+    return done.select("value.id", "value.contact", "value.memo")
+
+
+_SUPPLIERS = "select s_suppkey as id, concat('mail s', cast(s_suppkey as varchar(20)), '@x.example.com', chr(10), 'fin') as text from supplier"
+
+
+@query("text_docs", "SELECT CAST(id AS BIGINT) AS id, replace(text, 's' || id || '@x.example.com', '[EMAIL]') || chr(10) AS output FROM (" + _SUPPLIERS + ")")
+def _text_docs(spark, sf_dir):
+    """One file per supplier, of two lines."""
+    folder = shared_folder(spark, "text")
+    suppliers = spark.sql(_SUPPLIERS.replace("from supplier", "from {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    suppliers.write.partitionBy("id").text(folder)
+    docs = read_text_docs(spark, f"{folder}/*/*.txt")
+    done = anonymize_docs(docs, "typed", key=["path"], normalize=False)
+    return done.select(F.regexp_extract("path", r"id=(\d+)/", 1).cast("long").alias("id"), "output")
+
+
+_STATUS_SQL = """select s_suppkey as k, case s_suppkey % 4 when 0 then concat('([', cast(s_suppkey as varchar(20)))
+    when 1 then concat('key-', cast(s_suppkey as varchar(20))) when 2 then concat('(x|', cast(s_suppkey as varchar(20)), ')')
+    else concat(repeat('b', 250), cast(s_suppkey as varchar(20))) end as regex from supplier"""
+
+
+@query(
+    "rules_status",
+    f"""SELECT regex, k % 4 <> 0 AS accepted, k % 4 = 2 AS timed, CASE WHEN k % 4 = 0 THEN 'not a regex' ELSE '' END AS reason
+    FROM ({_STATUS_SQL})""",
+)
+def _rules_status(spark, sf_dir):
+    rows = spark.sql(_STATUS_SQL.replace("from supplier", "from {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    patterns = [{"regex": r.regex} for r in rows.toLocalIterator()]  # rules are typed by people and belong to the plan
+    return rules_status(spark, {"patterns": patterns}).withColumn("reason", expr("split_part(reason, ':', 1)"))
+
+
 _NESTED_SQL = f"""WITH {o.spans(_CELL_SRC)},
     labelled AS (SELECT s.*, first_value(label) OVER (PARTITION BY id, x ORDER BY leaf, s) AS first_label,
         min((leaf, s)) OVER (PARTITION BY id, x) AS pos0 FROM spans s JOIN (SELECT tbl, id, leaf FROM src) USING (tbl, id)),
@@ -439,7 +517,7 @@ def _rules_never(spark, sf_dir):
 
 def _rules_sql(never: str, custom: str) -> str:
     kept = f"SELECT tbl, id, label, s, e, x, -1 AS ord FROM spans WHERE {never} UNION ALL SELECT * FROM ({custom})"
-    final = o.finalize("src", "ruled", CUSTOM_PRIORITY, "r_")
+    final = o.finalize("src", "ruled", o.CUSTOM_PRIORITY, "r_")
     return f"WITH {o.spans(_TEXT_CELLS)}, ruled AS ({kept}),{final} SELECT tbl, id, {_ROWS} FROM r_spans"
 
 
@@ -714,14 +792,10 @@ def _anonymize_files(spark, sf_dir):
 _DOCS = f"SELECT 'documents' AS tbl, doc_id AS id, source AS grp, {o.normalized('text')} AS t FROM documents"
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "documents").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    # as a glob, since a stream takes no path of a single file; a folder of part files matches as well
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
 
 
 @query(
@@ -729,7 +803,7 @@ def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {o.spans(_DOCS)} SELECT id AS doc_id, output FROM ({o.replaced('spans', 'src', o.mask('x', o.type_of('label')))})",
 )
 def _stream(spark, sf_dir):
-    folder = _scratch(spark)
+    folder = shared_folder(spark, "stream")
     masked = anonymize_stream(_document_stream(spark, sf_dir), "mask").select("doc_id", "output")
     written = masked.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     written.start(f"{folder}/out", format="parquet", outputMode="append").awaitTermination()
@@ -745,7 +819,7 @@ def _stream(spark, sf_dir):
     SELECT id AS doc_id, output FROM ({o.replaced('tokened', 'src', 'token')})""",
 )
 def _pseudo_stream(spark, sf_dir):
-    folder = _scratch(spark)
+    folder = shared_folder(spark, "stream")
 
     def sink(done: DataFrame, batch_id: int) -> None:
         done.select("doc_id", "output").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")

@@ -12,7 +12,7 @@ from ..functions.spans import apply_replacements
 from ..functions.sql import col, expr, struct, transform
 from ..operators.anonymize import anonymize_docs
 from ..operators.detect import with_spans
-from ..operators.durable import durable
+from ..operators.durable import remove_folder, stored
 from ..operators.numbering import join_on, number_within
 from ..operators.tables import ROW, row_mark
 
@@ -41,15 +41,24 @@ def pseudonymize_batches(
     The tokens table at ``tokens_path`` only grows: a batch joins its distinct values to it,
     numbers the new ones after the highest number of their type and appends them, in a folder
     per batch. A batch that is run again overwrites its own folder and gets the same numbers
-    for the same rows. Numbers follow arrival, so they can differ from a batch job's.
+    for the same rows. Numbers follow arrival, so they can differ from a batch job's. What a batch
+    keeps while it runs lies in ``{tokens_path}_work`` and is removed when its sink is done.
     """
     scopes, keys = list(scope), list(key)
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        work = f"{tokens_path}_work/batch={batch_id}"
+        remove_folder(batch.sparkSession, work)  # of a run that was broken off
+        try:
+            rewrite(batch, batch_id, lambda df: stored(df, work))
+        finally:
+            remove_folder(batch.sparkSession, work)
+
+    def rewrite(batch: DataFrame, batch_id: int, keep: Callable[[DataFrame], DataFrame]) -> None:
         spark = batch.sparkSession
         carried = [*dict.fromkeys([*scopes, *keys]), ROW]
         marked = batch.withColumn(ROW, expr(row_mark(f"array({col(text)})")))
-        found = durable(with_spans(marked, text, "spans", rules=rules).select(*batch.columns, ROW, "spans"))
+        found = keep(with_spans(marked, text, "spans", rules=rules).select(*batch.columns, ROW, "spans"))
         each = transform(
             "spans", lambda s: struct(start=f"{s}.start", end=f"{s}.end", label=f"{s}.label", value=f"{s}.text")
         )
@@ -60,7 +69,7 @@ def pseudonymize_batches(
         )
         known = _known_tokens(spark, tokens_path, batch_id, values, scopes)
         fresh = join_on(values, known.select(*scopes, "value"), ["value"], "left_anti", scopes=scopes)
-        numbered = number_within(fresh, [*scopes, "type"], ["at", "value"])
+        numbered = number_within(fresh, [*scopes, "type"], ["at", "value"], keep=keep)
         last = known.groupBy(*scopes, "type").agg(F.max("n").alias("last"))
         offset = join_on(numbered, last, ["type"], "left", scopes=scopes).select(
             *scopes, "value", "type", (F.col("n") + F.coalesce("last", F.lit(0))).alias("n")
