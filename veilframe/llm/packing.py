@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -94,6 +96,13 @@ def pack(sizes: Iterable[int], capacity: int = LENGTH) -> list[Sequence]:
     return full + shared
 
 
+def _little_endian(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder != "little":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class WordTokenizer:
     """Token ids of whole texts, with the ids of words kept.
 
@@ -110,9 +119,32 @@ class WordTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # by word, as it stands behind a space
 
+        self.marks = {m: self._encode([m])[0] for m in ".,;:!?"}
+        self.model = self.tokenizer.model if self.tokenizer.normalizer is None else None
+        # fixed rule of byte-level models: printable bytes stand for themselves, the others for U+0100 and on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in own]
+        self.signs = {b: 256 + i for i, b in enumerate(others)}
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [_little_endian(x.ids) for x in found]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode words that are not known yet, as they stand behind a space.
+
+        Letters, with a mark behind them or not, need no pattern to be cut: the model gets them directly.
+        """
+        known, marks, rest = self.known, self.marks, []
+        for w in new:
+            core = w[:-1] if w[-1] in marks else w
+            if self.model is None or not core.isalpha() or max(core) >= "\u0250":
+                rest.append(w)
+                continue
+            text = core if core.isascii() else core.encode().decode("latin-1").translate(self.signs)
+            ids = _little_endian([t.id for t in self.model.tokenize("\u0120" + text)])
+            known[w] = ids if core is w else ids + marks[w[-1]]
+        known.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -130,8 +162,7 @@ class WordTokenizer:
         new: set[str] = set()
         for words in cut:
             new.update(words or ())
-        fresh = list(new.difference(self.known))
-        self.known.update(zip(fresh, self._encode([" " + w for w in fresh]), strict=True))
+        self._learn(new.difference(self.known))
         get = self.known.__getitem__
         return [next(alone) if not words else next(alone) + b"".join(map(get, words[1:])) for words in cut]
 
