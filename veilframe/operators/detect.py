@@ -14,11 +14,13 @@ from ..functions.pii import finalized, raw_pii
 from ..functions.python_side import fold_texts, timed_matches
 from ..functions.rules import CUSTOM_PRIORITY, PATTERN_SECONDS, Rules, ruled_spans, timed_out
 from ..functions.spans import finalize_spans, span_texts
-from ..functions.sql import Sql, col, expr, let, transform, transform_indexed, when
+from ..functions.sql import Sql, col, expr, keep, let, transform, transform_indexed, when
 from ..functions.text import is_blank
 from .durable import hold
+from .numbering import join_on
 
 RAW, BASE, SLOW, FOLDED, RULED = HELPERS = ("__raw", "__base", "__slow", "__folded", "__ruled")
+GIVEN = "__given_leaves"
 
 
 def with_leaf_spans(
@@ -125,21 +127,51 @@ def ingest_external_spans(
     a missing text is cut from the document. Finalized without priorities.
     """
     keys = list(key)
+    grouped = external.groupBy(*keys).agg(_collected(external).alias(RAW))
+
+    def close(t: Sql) -> Sql:
+        return when(f"{t} is null or {RAW} is null", NO_SPANS, external_spans(t, RAW))
+
+    return hold(docs.join(grouped, keys, "left"), **{into: let(col(text), close)}).drop(RAW)
+
+
+def _collected(external: DataFrame, *more: str):
     order = ["ord"] if "ord" in external.columns else []
-    cells = F.struct(*order, "start", "end", "text", "placeholder", "label")
-    grouped = external.groupBy(*keys).agg(F.sort_array(F.collect_list(cells)).alias(RAW))
+    return F.sort_array(F.collect_list(F.struct(*order, "start", "end", "text", "placeholder", "label", *more)))
 
-    def labelled(s: Sql, t: Sql) -> Sql:
+
+def external_spans(text: Sql, given: Sql) -> Sql:
+    """Finalized spans of ``text`` from another detector's findings, see ``ingest_external_spans``."""
+
+    def labelled(s: Sql) -> Sql:
         label = f"coalesce({label_of_placeholder(f'{s}.placeholder')}, upper({s}.label), 'PII')"
         start, end = f"int({s}.start)", f"int({s}.end)"
-        return span(label, start, end, f"coalesce({s}.text, {cut(t, start, end)})")
+        return span(label, start, end, f"coalesce({s}.text, {cut(text, start, end)})")
 
-    def close(t: Sql) -> Sql:
-        spans = transform(RAW, lambda s: labelled(s, t))
-        closed = let(spans, lambda s: finalize_spans(t, s, {}))
-        return when(f"{t} is null or {RAW} is null", NO_SPANS, closed)
+    return let(transform(given, labelled), lambda s: finalize_spans(text, s, {}))
 
-    return hold(docs.join(grouped, keys, "left"), **{into: let(col(text), close)}).drop(RAW)
+
+def with_external_leaves(df: DataFrame, external: DataFrame, key: Sequence[str], leaves: Sql, into: str) -> DataFrame:
+    """Add ``into``, the findings of another detector for each text of ``leaves``, for ``with_leaf_spans(found=)``.
+
+    ``external`` has the key, ``leaf`` (which text of the row, from 0), and the columns of
+    ``ingest_external_spans``. Keys are compared with null equal to null.
+    """
+    grouped = external.groupBy(*key).agg(_collected(external, "leaf").alias(GIVEN))
+
+    def close(t: Sql, i: Sql) -> Sql:
+        own = keep(GIVEN, lambda g: f"{g}.leaf = {i}")
+        return when(f"{t} is null or {GIVEN} is null", NO_SPANS, external_spans(t, own))
+
+    return hold(join_on(df, grouped, [], "left", scopes=list(key)), **{into: transform_indexed(leaves, close)}).drop(GIVEN)
+
+
+def check_engine(engine: str | None, external: DataFrame | None) -> str:
+    """``ml`` or ``lite``: what an engine name comes to, given external findings or none."""
+    name = engine or "auto"
+    if name == "ml" and external is None:
+        raise ValueError("engine 'ml' needs a table of external spans")
+    return "ml" if external is not None and name in ("ml", "auto") else "lite"
 
 
 def choose_spans(
@@ -158,10 +190,7 @@ def choose_spans(
     ``ml`` means the external spans and fails without them; ``auto`` takes them where given
     and else the built-in detectors, as any other name does.
     """
-    name = engine or "auto"
-    if name == "ml" and external is None:
-        raise ValueError("engine 'ml' needs a table of external spans")
-    if name in ("ml", "auto") and external is not None:
+    if check_engine(engine, external) == "ml":
         given = "__given"
         found = ingest_external_spans(docs, external, key, text, given)
         return with_spans(found, text, into, rules=rules, found=given, incomplete=incomplete).drop(given).withColumn("engine", F.lit("ml"))

@@ -615,10 +615,9 @@ def _choose(spark, sf_dir):
 # ------------------------------------------------------------------ pages, reports, checks
 
 
-@query(
-    "redact_pages",
-    f"""WITH {o.spans(f'SELECT tbl, id, grp, text AS t FROM ({TEXTS_SQL})')},
-    hit AS (SELECT tbl, id, string_split(t, x) AS p, x FROM (SELECT DISTINCT tbl, id, x FROM spans WHERE trim(x) <> '') JOIN src USING (tbl, id)),
+def _redacted_sql(ctes: str, src: str) -> str:
+    return f"""WITH {ctes},
+    hit AS (SELECT tbl, id, string_split(t, x) AS p, x FROM (SELECT DISTINCT tbl, id, x FROM spans WHERE trim(x) <> '') JOIN {src} USING (tbl, id)),
     pos AS (SELECT tbl, id, CAST(list_sum(list_transform(p[1:j], lambda y: length(y))) + (j - 1) * length(x) AS BIGINT) AS s, length(x) AS n
         FROM (SELECT *, unnest(range(1, len(p))) AS j FROM hit)),
     reach AS (SELECT *, max(s + n) OVER (PARTITION BY tbl, id ORDER BY s, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pos),
@@ -626,13 +625,35 @@ def _choose(spark, sf_dir):
     area AS (SELECT tbl, id, min(s) AS s, max(s + n) AS e FROM isle GROUP BY tbl, id, i),
     total AS (SELECT tbl, id, count(*) AS redactions FROM pos GROUP BY tbl, id)
     SELECT r.tbl, r.id, r.output AS redacted, CAST(coalesce(redactions, 0) AS BIGINT) AS redactions
-    FROM ({o.replaced('area', 'src', "repeat('█', CAST(e - s AS BIGINT))")}) r LEFT JOIN total USING (tbl, id)""",
-)
+    FROM ({o.replaced('area', src, "repeat('█', CAST(e - s AS BIGINT))")}) r LEFT JOIN total USING (tbl, id)"""
+
+
+@query("redact_pages", _redacted_sql(o.spans(f"SELECT tbl, id, grp, text AS t FROM ({TEXTS_SQL})"), "src"))
 def _redact_pages(spark, sf_dir):
     redacted = redact_pages(texts(spark, sf_dir))
     return redacted.select(*KEY, "redacted", F.col("redactions").cast("long").alias("redactions"))
 
 
+@query("pages_external", f"SELECT id AS doc_id, redacted, redactions FROM ({_redacted_sql(_EXTERNAL_CTE, 'given')})")
+def _pages_external(spark, sf_dir):
+    docs, external = _external(spark, sf_dir)
+    redacted = redact_pages(docs, external=external, engine="ml", key=["doc_id"])
+    return redacted.select("doc_id", "redacted", F.col("redactions").cast("long").alias("redactions"))
+
+
+@query(
+    "files_external",
+    f"WITH {_EXTERNAL_CTE} SELECT id AS doc_id, 'ml' AS engine, output AS content FROM ({o.replaced('spans', 'given', o.mask('x', o.type_of('label')))})",
+)
+def _files_external(spark, sf_dir):
+    docs, external = _external(spark, sf_dir)
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = docs.select(path.alias("path"), F.encode("text", "utf-8").alias("content"))
+    given = external.withColumn("path", path).withColumn("leaf", F.lit(0))
+    done = anonymize_files(files, "mask", external=given).accepted
+    return done.select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), "engine", "content")
+
+
 def _escape(text: str) -> str:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
         text = f"replace({text}, '{char}', '{entity}')"

@@ -20,7 +20,7 @@ from ..functions.tokens import (
     value_table,
 )
 from ..operators.anonymize import PADS, with_pads
-from ..operators.detect import with_leaf_spans
+from ..operators.detect import check_engine, with_external_leaves, with_leaf_spans
 from ..operators.durable import hold
 from .formats import TEXT_FORMATS, admit, detect_format
 
@@ -44,15 +44,21 @@ def anonymize_files(
     max_chars: int | None = None,
     hash_key: bytes | str | None = None,
     generic: str = GENERIC_TOKEN,
+    engine: str | None = "auto",
+    external: DataFrame | None = None,
 ) -> Files:
     """Rewrite files given as (path, content BINARY).
 
+    ``external`` has another detector's findings by ``path`` and ``leaf`` (the number of the text in the
+    file, from 0), see ``with_external_leaves``; ``engine`` chooses as in ``choose_spans``.
+
     Text formats are one text; CSV cells (the header too) and JSON string values are texts of
     their own. A file is one row, so there is no shuffle. CSV and JSON are taken
     apart and put together in Python, text files do not leave the JVM.
     """
     check_mode(mode)
     parsed = Rules.parse(rules)
+    used = check_engine(engine, external)
     checked = (
         admit(files.select("path", "content"), "content", max_chars=max_chars)
         .withColumn("format", expr(detect_format("substring_index(path, '/', -1)")))
@@ -65,7 +71,7 @@ def anonymize_files(
     trees = trees.withColumn("reason", expr(f"coalesce(reason, if({TEXT} is not null and {LEAVES} is null, format, null))"))
 
     def rewrite(part: DataFrame) -> DataFrame:
-        return _rewritten(part.where("reason is null"), mode, parsed, hash_key, generic)
+        return _rewritten(part.where("reason is null"), mode, parsed, hash_key, generic, external if used == "ml" else None)
 
     whole = rewrite(texts).withColumn("content", expr(f"{OUT}[0]"))
     rebuilt = rewrite(trees).withColumn("content", file_from_leaves("format", TEXT, OUT))
@@ -75,8 +81,14 @@ def anonymize_files(
     return Files(accepted, refused)
 
 
-def _rewritten(df: DataFrame, mode: str, rules: Rules, hash_key: bytes | str | None, generic: str) -> DataFrame:
-    found = with_leaf_spans(df, LEAVES, FOUND, rules=rules, skip_blank=True)
+def _rewritten(
+    df: DataFrame, mode: str, rules: Rules, hash_key: bytes | str | None, generic: str, external: DataFrame | None
+) -> DataFrame:
+    given = None
+    if external is not None:
+        given = "__external"
+        df = with_external_leaves(df, external, ["path"], LEAVES, given)
+    found = with_leaf_spans(df, LEAVES, FOUND, rules=rules, skip_blank=True, found=given)
     options = {"generic": generic}
     if mode == "hash":
         found = with_pads(found, hash_key)
@@ -86,7 +98,7 @@ def _rewritten(df: DataFrame, mode: str, rules: Rules, hash_key: bytes | str | N
     mapping = table_as_map(TABLE) if mode == "pseudo" else "cast(map() as map<string,string>)"
     return hold(tabled, **{OUT: out}).withColumns(
         {
-            "engine": F.lit("lite"),
+            "engine": F.lit("lite" if external is None else "ml"),
             "mode": F.lit(mode),
             "map": expr(mapping),
             "reversible": F.lit(mode == "pseudo"),
