@@ -48,6 +48,7 @@ RESULT = T.StructType(
         ),
     ]
 )
+_LISTED = -1  # start of a row that lists windows
 _LAST = (1 << 63) - 1  # stands for a null id: such documents come after all others
 
 
@@ -170,7 +171,8 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows with a repeated anchor: each different one of a task once, at its first place, with the others listed."""
+    """Windows with a repeated anchor: each different one of a task once, at its first place; and for each document
+    a row that lists its windows that stand earlier in the same task."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
     unpack = zstandard.ZstdDecompressor().decompress
@@ -182,14 +184,19 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _starts(columns)  # repeated rows of the table stand at the same place
         columns = [c[places] for c in columns]
         new = _starts(columns[:2])
-        first = np.flatnonzero(new)
-        others = np.flatnonzero(~new)
-        bounds = np.append(first - np.arange(len(first)), len(others))
-        listed = pa.StructArray.from_arrays([pa.array(c[others]) for c in columns[2:]], names=["doc", "twin", "start"])
-        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), listed)
-        digests = [_signed(c[first]) for c in columns[:2]]
+        first = [c[new] for c in columns]
+        # the others are later whatever other tasks hold; they go by document, so none of them meets its hot window
+        doc, twin, start = (c[~new] for c in columns[2:])
+        order = np.lexsort((start, twin, doc))
+        doc, twin, start = doc[order], twin[order], start[order]
+        heads = np.flatnonzero(_starts([doc, twin])) if len(doc) else np.zeros(0, np.int64)
+        bounds = np.concatenate((np.zeros(len(first[0]), np.int64), heads, [len(doc)]))
+        spread = _mix(doc[heads].view(np.uint64) + np.uint64(1))
+        rest = [spread, spread, doc[heads], twin[heads], np.full(len(heads), _LISTED, np.int32)]
+        both = [np.concatenate(c) for c in zip(first, rest, strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(start))
         return pa.RecordBatch.from_arrays(
-            [*digests, *[pa.array(c[first]) for c in columns[2:]], lists], names=["d1", "d2", "doc", "twin", "start", "others"]
+            [_signed(both[0]), _signed(both[1]), *map(pa.array, both[2:]), lists], names=["d1", "d2", "doc", "twin", "start", "others"]
         )
 
     for batch in batches:
@@ -222,13 +229,14 @@ def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         leader = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
         open_place = head[2:] if head is not None else (0, 0, 0)
         firsts = [np.where(leader < 0, open_place[i], c[np.maximum(leader, 0)]) for i, c in enumerate(columns[2:])]
-        later = np.logical_or.reduce([c != f for c, f in zip(columns[2:], firsts, strict=True)])
+        later = np.logical_or.reduce([c != f for c, f in zip(columns[2:], firsts, strict=True)]) & (columns[4] != _LISTED)
         if leader[-1] >= 0:
             head = tuple(c[leader[-1]] for c in columns)
-        listed = batch.column("others").flatten()
-        # the listed places come after their row's, so they are later whatever the group's first place is
+        sizes = batch.column("others").value_lengths().to_numpy(zero_copy_only=False)
+        listed = [np.repeat(c, sizes) for c in columns[2:4]]
+        listed.append(batch.column("others").flatten().to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(c[later]), listed.field(i)]) for i, c in enumerate(columns[2:])], names=names
+            [pa.array(np.concatenate((c[later], x))) for c, x in zip(columns[2:], listed, strict=True)], names=names
         )
 
 
@@ -320,7 +328,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
 
     to_look_up = place(packed.join(known, "doc_id").join(repeated, "doc_id")).filter("not copy").select("doc_id", "twin", "z", "anchors")
     windows = in_batches(
-        to_look_up, _window_rows, "d1 long, d2 long, doc long, twin int, start int, others array<struct<doc:long,twin:int,start:int>>"
+        to_look_up, _window_rows, "d1 long, d2 long, doc long, twin int, start int, others array<int>"
     )
     windows = windows.repartition("d1", "d2").sortWithinPartitions("d1", "d2", "doc", "twin", "start")
     later = in_batches(windows, _later_windows, "doc_id long, twin int, start int")
