@@ -10,7 +10,9 @@ of different words before w, and ``k(w)`` the latter over both classes. All leve
 continuations, so copies of a passage count once. The weights ``b`` and ``B`` of the lower levels
 are shared, and each class model is mixed with the model of both classes together (weight
 ``SHARED``, and more for rare expressions): what both say with nearly equal probability, such as the everyday words of a
-language, then cancels out, and only expressions that one class hardly knows move the score. The
+language, then cancels out. Expressions whose two probabilities differ by less than ``MARGIN``, or whose
+counts differ by no more than chance (``SURE``), get the shared estimate in both classes; the mix of
+languages in the sample would otherwise weigh more than the few words that make a text toxic. The
 score is the difference of the two log-likelihoods, divided by a power of the text's length and
 put through a logistic curve fitted on documents that gave no counts.
 
@@ -40,6 +42,8 @@ LENGTH_POWER = 0.9
 DISCOUNT = 0.75
 LOWEST = 0.3  # weight of the lowest, shared level
 RARE = 20  # an expression seen so often is half as sure as a frequent one
+MARGIN = 2.0  # class probabilities closer than this factor are taken as one
+SURE = 3.0  # so many standard deviations must a count lie from the one expected of both classes
 SHARED = 0.98  # weight of the model of both classes in either one
 _WORD = re.compile(r"\w+")
 
@@ -181,14 +185,18 @@ def _tables(totals, word_rows, first_rows, pair_rows) -> ToxicityModel:
         level = np.where(seen[i, v] > 0, weight[v], 1.0)
         q.append((1 - level) * held + level * p[i][w])
 
-    def ratio(n: np.ndarray, zero: np.ndarray, one: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    def ratio(rows, name: str, zero: np.ndarray, one: np.ndarray, all_: np.ndarray, chosen=slice(None)) -> np.ndarray:
+        n, seen_toxic = number(rows, name, "")[chosen], number(rows, name, "1")[chosen]
         own = (1 - SHARED) * n / (n + RARE)
-        return np.log((own * one + (1 - own) * all_) / (own * zero + (1 - own) * all_))
+        logs = np.log((own * one + (1 - own) * all_) / (own * zero + (1 - own) * all_))
+        expected = n * totals[name + "1"] / max(totals[name + "0"] + totals[name + "1"], 1)
+        sure = np.abs(seen_toxic - expected) > SURE * np.sqrt(expected)
+        return np.where(sure & (np.abs(np.log(one / zero)) > np.log(MARGIN)), logs, 0.0)
 
-    word_ratio = np.append(ratio(number(word_rows, "k", ""), *p), 0.0)
+    word_ratio = np.append(ratio(word_rows, "k", *p), 0.0)
     keys = v * (size + 1) + w
     order = np.argsort(keys)
-    return ToxicityModel(words, word_ratio, keys[order], ratio(number(pair_rows, "n", "")[both], *q)[order])
+    return ToxicityModel(words, word_ratio, keys[order], ratio(pair_rows, "n", *q, both)[order])
 
 
 def _calibrate(spark: SparkSession, model: ToxicityModel, known: DataFrame) -> ToxicityModel:
