@@ -132,6 +132,16 @@ def test_terms_in_any_case_and_with_special_characters(spark):
     assert [s[1] for s in found(spark, rules, text)[0]] == ["c++ (X)", "ÑANDÚ", "A\\eB", "IT'S", "tab\x01LE"]
 
 
+def test_many_terms_are_planned_once(spark):
+    terms = [f"term{i:04d}" for i in range(5000)]
+    start = time.time()
+    df = with_spans(docs(spark, "a TERM0007 b term4999x", "é Term0001"), rules={"always": terms})
+    df._jdf.queryExecution().executedPlan()
+    assert time.time() - start < 20
+    rows = df.orderBy("doc_id").collect()
+    assert [[s.text for s in r.spans] for r in rows] == [["TERM0007", "term4999"], ["Term0001"]]
+
+
 def test_rules_against_plain_python(spark):
     """Random rules over random texts; both the native and the timed patterns."""
     rng = random.Random(9)
