@@ -34,6 +34,20 @@ def test_held_out_accuracy(spark):
     assert all(0 <= s <= 1 for s in got.values())
 
 
+def test_repeating_a_toxic_text_does_not_clear_it(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    toxic = [t for i, t, *_ in rows if i % 5 == 0]
+    once = model.scores(toxic)
+    found = once >= 0.5
+    assert found.mean() > 0.95
+    for times in (10, 100):
+        again = model.scores([" ".join([t] * times) for t in toxic])
+        assert (again[found] >= 0.5).all()
+        assert abs(again - once).max() < 0.1
+
+
 def test_sample_is_bounded_and_leaves_out_the_held_out_and_the_contradictory(spark):
     rows = [(i, i % 2) for i in range(200)] + [(3, 0), (None, 1), (4, None)]
     sample = labelled_sample(spark.createDataFrame(rows, "doc_id long, toxic int"), 20).collect()

@@ -13,8 +13,8 @@ are shared, and each class model is mixed with the model of both classes togethe
 language, then cancels out. Expressions whose two probabilities differ by less than ``MARGIN``, or whose
 counts differ by no more than chance (``SURE``), get the shared estimate in both classes; the mix of
 languages in the sample would otherwise weigh more than the few words that make a text toxic. The
-score is the difference of the two log-likelihoods, divided by a power of the text's length and
-put through a logistic curve fitted on documents that gave no counts.
+score is the difference of the two log-likelihoods, divided by a power of the number of different
+word pairs that it was summed over, and put through a logistic curve fitted on documents that gave no counts.
 
 Labels are read from a bounded sample (``per_class`` documents of each class, smallest hash of
 the id first); entries of the model occur in at least ``1 / capacity`` of all positions, so the
@@ -60,13 +60,13 @@ class ToxicityModel:
     offset: float = 0.0
 
     def raw(self, text: str) -> tuple[float, int]:
-        """Log-likelihood ratio of a text's different word pairs, and its number of words.
+        """Log-likelihood ratio of a text's different word pairs, and how many these are.
 
         A pair counts once, as in the counts: a line repeated a hundred times says no more than one.
         """
         found = _WORD.findall(text.lower())
         if not found or not self.words:
-            return 0.0, len(found)
+            return 0.0, 0
         get, size = self.words.get, len(self.words)
         pairs = set(zip(["", *found], found, strict=False))
         ids = np.array([get(w, size) for _, w in pairs], np.int64)
@@ -75,7 +75,7 @@ class ToxicityModel:
             keys = np.array([get(v, size) for v, _ in pairs], np.int64) * (size + 1) + ids
             at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
             total = np.where(self.pair_keys[at] == keys, self.pair_ratio[at], total)
-        return math.fsum(total), len(found)  # fsum: the order of a set must not show
+        return math.fsum(total), len(pairs)  # fsum: the order of a set must not show
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         x = np.array([s / max(n, 1) ** LENGTH_POWER for s, n in (self.raw(t or "") for t in texts)])
