@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from veilframe.llm.collision import nearest
@@ -31,6 +32,23 @@ def test_recall_and_exact_scores(spark):
     assert all(r.score == pairs[r.query_id, r.vec_id] for r in hits)
 
 
+@pytest.mark.parametrize("kind", ["long", "lognormal"])
+def test_recall_of_uneven_norms(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "long":
+        x[[7, 1234]] *= [[3], [5]]
+    else:
+        x *= rng.lognormal(0, 0.5, (4000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id") % 100 == 0, 20).collect()
+    want = {(q, v) for q, _, v, _ in plain(rows, np.arange(4000) % 100 == 0, 20)}
+    assert len(got) == len(want)
+    assert len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)
+
+
 def test_ties_few_vectors_and_unusable_ones(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [0.0, 1.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0])]

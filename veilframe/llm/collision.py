@@ -7,9 +7,11 @@ exact products. Growing a window only adds its two outer parts (virtual rehashin
 built twice. For the largest product, vectors get one more coordinate that makes all of them equally
 long; then the largest product is the smallest distance.
 
-Vectors are dealt into blocks with arrays of their own, and queries into blocks as well. Every
-pair of blocks is one group of bounded size; each query keeps its best of each block, and the best
-of those are the result.
+Vectors are dealt into blocks with arrays of their own, and queries into blocks as well. A block holds
+norms of one range (``RANGES`` to a doubling) and lifts its vectors to the longest of that range only:
+were they lifted to the longest of all, the further coordinate would drown the others. Every pair of
+blocks is one group of bounded size; each query keeps its best of each block, and the best of those
+are the result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ PROJECTIONS = 64
 SHARE = 0.8
 VERIFIED = 0.25  # part of a block that is verified at least, beside the k wanted
 GROWTH = 1.25
+RANGES = 8  # ranges of norms in which vectors are searched apart, for each doubling
 BLOCK = 8192
 QUERY_BLOCK = 1024
 _SEED = 17
@@ -95,19 +98,19 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     counts as a candidate.
     """
     rows = usable(vectors).withColumn("d", F.size("v"))
-    # one row per length of vectors: how many there are, and the longest norm
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    sizes = rows.groupBy("d").agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
-        F.ceil(F.sum(is_query.cast("long")) / QUERY_BLOCK).cast("int").alias("parts"),
-        F.max(norm).alias("longest"),
-    )
-    rows = rows.join(sizes, "d").filter("parts > 0")
+    # unit vectors lie in the middle of a range; a norm too small for its square gets the lowest one
+    rows = rows.withColumn("r", F.coalesce(F.floor(F.log2(norm) * RANGES + 0.5).cast("int"), F.lit(-(1 << 20))))
+    # one row per length of vectors and range of norms: how many there are, and the longest norm
+    ranges = rows.groupBy("d", "r").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max(norm).alias("longest"))
+    parts = rows.groupBy("d").agg(F.ceil(F.sum(is_query.cast("long")) / QUERY_BLOCK).cast("int").alias("parts"))
+    sizes = F.broadcast(ranges.join(parts, "d").filter("parts > 0"))  # a double has no more than some thousand ranges
+    asked = rows.filter(is_query).drop("r").join(sizes, "d")
+    rows = rows.join(sizes, ["d", "r"])
     block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     part = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("parts")).cast("int")
-    candidates = rows.select("d", "longest", block.alias("b"), F.explode(F.expr("sequence(0, parts - 1)")).alias("p"), F.lit(False).alias("q"), "vec_id", "v")
-    queries = rows.filter(is_query)
-    queries = queries.select("d", "longest", F.explode(F.expr("sequence(0, blocks - 1)")).alias("b"), part.alias("p"), F.lit(True).alias("q"), "vec_id", "v")
+    candidates = rows.select("d", "r", "longest", block.alias("b"), F.explode(F.expr("sequence(0, parts - 1)")).alias("p"), F.lit(False).alias("q"), "vec_id", "v")
+    queries = asked.select("d", "r", "longest", F.explode(F.expr("sequence(0, blocks - 1)")).alias("b"), part.alias("p"), F.lit(True).alias("q"), "vec_id", "v")
 
     def group(table: pa.Table) -> pa.Table:
         marks = table.column("q").to_numpy()
@@ -123,6 +126,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
         kinds = (np.int64, np.int64, np.float64)
         return pa.table([pa.array(np.concatenate([np.zeros(0, t), *o])) for o, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = candidates.unionByName(queries).groupBy("d", "b", "p").applyInArrow(group, "query_id long, vec_id long, score double")
+    found = candidates.unionByName(queries).groupBy("d", "r", "b", "p").applyInArrow(group, "query_id long, vec_id long, score double")
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", ranked).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
