@@ -56,6 +56,15 @@ def test_bad_patterns_are_refused_with_a_reason(spark):
     assert {status[k][1] for k in ("x", "None")} == {"no regex"}
 
 
+def test_a_table_of_patterns_is_judged_where_it_lies(spark, monkeypatch):
+    listed = ["([a-z", "x*", "", None, "(x|y)", "x*", "b" * 300]
+    want = [tuple(r) for r in rules_status(spark, {"patterns": [{"regex": x} for x in listed]}).collect()]
+    table = spark.createDataFrame([(x, 1) for x in listed], "regex string, ord int").repartition(3)
+    monkeypatch.setattr("pyspark.sql.DataFrame.toLocalIterator", None)
+    got = [tuple(r) for r in rules_status(spark, table).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_many_and_long_patterns_all_count(spark):
     rules = {"patterns": [{"regex": f"key{i:03d}z"} for i in range(70)] + [{"regex": "b" * 300}]}
     assert found(spark, rules, "key069z " + "b" * 300) == [[("CUSTOM", "key069z"), ("CUSTOM", "b" * 300)]]

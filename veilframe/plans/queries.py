@@ -442,8 +442,7 @@ _STATUS_SQL = """select s_suppkey as k, case s_suppkey % 4 when 0 then concat('(
 )
 def _rules_status(spark, sf_dir):
     rows = spark.sql(_STATUS_SQL.replace("from supplier", "from {supplier}"), supplier=table(spark, sf_dir, "supplier"))
-    patterns = [{"regex": r.regex} for r in rows.toLocalIterator()]  # rules are typed by people and belong to the plan
-    return rules_status(spark, {"patterns": patterns}).withColumn("reason", expr("split_part(reason, ':', 1)"))
+    return rules_status(spark, rows).withColumn("reason", expr("split_part(reason, ':', 1)"))
 
 
 _NESTED_SQL = f"""WITH {o.spans(_CELL_SRC)},

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +73,25 @@ def drop_exempt_spans(spans: DataFrame, never: DataFrame) -> DataFrame:
 
 
 
-def rules_status(spark: SparkSession, rules: Rules | Mapping | str | None) -> DataFrame:
-    """One row (regex, accepted, timed, reason) per custom pattern: what is used, what is not and why."""
+_STATUS = "regex string, accepted boolean, timed boolean, reason string"
+
+
+def _judged(rules: Rules | Mapping | str | None) -> list[tuple[str, bool, bool, str]]:
     parsed = Rules.parse(rules)
-    rows = [(p.regex, not p.reason, not p.reason and p.plain is None, p.reason) for p in (*parsed.patterns, *parsed.refused)]
-    return spark.createDataFrame(rows, "regex string, accepted boolean, timed boolean, reason string")
+    return [(p.regex, not p.reason, not p.reason and p.plain is None, p.reason) for p in (*parsed.patterns, *parsed.refused)]
+
+
+def rules_status(spark: SparkSession, rules: Rules | Mapping | str | DataFrame | None) -> DataFrame:
+    """One row (regex, accepted, timed, reason) per custom pattern: what is used, what is not and why.
+
+    A table of patterns (column ``regex``) is judged where it lies; a list typed by a person on the driver.
+    """
+    if not isinstance(rules, DataFrame):
+        return spark.createDataFrame(_judged(rules), _STATUS)
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [row for x in frame["regex"] for row in _judged({"patterns": [{"regex": x}]})]
+            yield pd.DataFrame(rows, columns=["regex", "accepted", "timed", "reason"])
+
+    return rules.select("regex").mapInPandas(judge, _STATUS)
