@@ -1,10 +1,9 @@
-"""Repeated passages by relative Lempel-Ziv parsing against an index of the whole corpus.
+"""Repeated passages by an index of the windows of the whole corpus, in place of relative Lempel-Ziv parsing.
 
-A document is parsed from left to right into factors that occur earlier in the corpus and words
-that do not. A factor shorter than ``WINDOW`` words does not count, so the index holds windows of
-that many words: every block of documents contributes its windows, and the index is dealt over the
-tasks by digest. A window that finds an earlier one starts or prolongs a factor, and a window over
-the border of two factors is looked up like any other, so greedy choices hide nothing.
+No document is parsed into factors with sources. A word goes if a window of ``WINDOW`` words that holds
+it stands earlier in the corpus: a factor of that length or more is a run of such windows, so these are
+the words that a parse without shorter factors, with windows checked over its borders, would remove.
+Every block of documents contributes its windows, and the index is dealt over the tasks by digest.
 
 Sending every window to the index would move the corpus many times over. So the blocks are indexed
 twice. First come anchors, the smallest hashes of ``ANCHOR`` words among any ``WINDOW - ANCHOR + 1``
