@@ -12,8 +12,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytepairs import BytePairs, decode_ids, encode_texts, read_ranks
 from .collision import nearest
 from .common import documents, fold_of
+from .dialogues import damage, repair
 from .disclosure import KINDS, find_private
 from .langid import fit_languages, identify_languages
 from .packing import pack_documents
@@ -47,6 +49,71 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
     sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB has no crc32: a table of 256 values (``crc_table``, a list ``t``) applied byte by byte."""
+    bits = f"hex(encode({text}))"
+    each = f"list_transform(range(length({bits}) // 2), lambda i: CAST('0x' || substr({bits}, 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({each}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295))"
+
+
+CRC_TABLE = """crc_table AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS v FROM (SELECT unnest(range(256)) AS n)))"""
+
+
+def _edit(state: str, price: str, letter: str, piece: str = "''") -> str:
+    return f"{{'c': {state}.c + {price}, 'a': {state}.a || '{letter}', 'r': {state}.r || {piece}}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+# One row after the other, with the best cost, string and text for each state of the grammar (b: start, s, u, a).
+_NEVER = "{'c': 1000000, 'a': '', 'r': ''}"
+
+
+def _inserted(rows: str) -> str:
+    """``rows`` with u1 and a1: the best after turns that may be inserted here."""
+    user = _least("u", *(_edit(x, "5", "I", "chr(10) || 'user:'") for x in "bsa"))
+    assistant = _least("a", _edit("u1", "5", "I", "chr(10) || 'assistant:'"))
+    return f"SELECT *, {assistant} AS a1 FROM (SELECT *, {user} AS u1 FROM {rows})"
+
+
+_OPEN = _least("b", "s", "a1")
+_MAY = "CASE WHEN f IN ('b', 'd') THEN 1000000 ELSE {0} + CASE WHEN f = 't' THEN 5 ELSE 0 END END"
+_KEEP = "CASE WHEN i = '{0}' THEN " + _MAY.format(0) + " ELSE 1000000 END"
+_OWN = "chr(10) || role || ':' || text"
+ORACLES["op13_dialogues"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations, crc_table),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM keyed),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM damaged),
+turns AS (SELECT conv_id, n, turn, role, text, substr(role, 1, 1) AS i,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS i0,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd'
+         WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE ' ' END AS f FROM numbered),
+ways AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, {{'c': 0, 'a': '', 'r': ''}} AS b, {_NEVER} AS s, {_NEVER} AS u, {_NEVER} AS a FROM conversations
+    UNION ALL
+    SELECT conv_id, n, {_edit("b", "2", "D")}, {_least(_edit("s", "2", "D"), _edit("b", _KEEP.format("s"), "K", _OWN))},
+        {_least(_edit("u1", "2", "D"), _edit("o", _KEEP.format("u"), "K", _OWN), _edit("o", _MAY.format(1), "R", "chr(10) || 'user:' || text"))},
+        {_least(_edit("a1", "2", "D"), _edit("u1", _KEEP.format("a"), "K", _OWN), _edit("u1", _MAY.format(1), "R", "chr(10) || 'assistant:' || text"))}
+    FROM (SELECT *, {_OPEN} AS o FROM ({_inserted(
+        "(SELECT w.conv_id, t.n, w.b, w.s, w.u, w.a, t.role, t.text, t.i, t.f FROM ways w JOIN turns t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND t.n = w.n + 1)")}))),
+best AS (SELECT conv_id, {_least("b", "a1")} AS w FROM ({_inserted(
+    "(SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1)")})),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank,
+    count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated, count(*) FILTER (n > 1 AND i0 || i NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM turns GROUP BY conv_id)
+SELECT best.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(w.c AS BIGINT) AS cost, w.a AS audit, sha256(substr(w.r, 2)) AS repaired_sha256
+FROM best LEFT JOIN counted ON best.conv_id IS NOT DISTINCT FROM counted.conv_id"""
+
+
 def held_out(parts: int, fold: int):
     return F.coalesce(fold_of(parts) == fold, F.lit(False)).alias("held_out")
 
@@ -118,3 +185,15 @@ def op10_language(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = fit_languages(docs, fold_of(4) != 2)
     return identify_languages(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
+
+
+@query
+def op12_bytepairs(spark, sf_dir):
+    codec = BytePairs(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    both = decode_ids(encode_texts(documents(spark, sf_dir), codec), codec)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_dialogues(spark, sf_dir):
+    return repair(damage(documents(spark, sf_dir, "conversations")))
