@@ -17,6 +17,7 @@ from .collision import nearest
 from .common import documents, fold_of
 from .dialogues import damage, repair
 from .disclosure import KINDS, find_private
+from .importance import resample
 from .langid import fit_languages, identify_languages
 from .packing import pack_documents
 from .ppm import score_documents
@@ -68,6 +69,28 @@ def _least(*states: str) -> str:
     return f"list_min([{', '.join(states)}])"
 
 
+def _word_counts(table: str) -> str:
+    """Bucket counts of a table; the checksum is taken once for each word."""
+    return f"""SELECT b, CAST(sum(n) AS DOUBLE) AS n FROM (SELECT {crc32_sql("w")} % 10000 AS b, n FROM
+        (SELECT w, count(*) AS n FROM (SELECT unnest(words) AS w FROM {table}) GROUP BY w), crc_table) GROUP BY b"""
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES["op11_resample"] = f"""
+WITH {CRC_TABLE}, d AS (SELECT doc_id, row_number() OVER () AS k, {_WORDS} AS words FROM documents), m AS (SELECT {_WORDS} AS words FROM benchmark),
+s AS ({_word_counts("d")}), t AS ({_word_counts("m")}),
+gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)
+    / ((s.n + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b)),
+word AS (SELECT w, g FROM (SELECT w, {crc32_sql("w")} % 10000 AS b FROM (SELECT DISTINCT unnest(words) AS w FROM d), crc_table) JOIN gain USING (b)),
+weights AS (SELECT k, CAST(sum(g) AS BIGINT) AS weight FROM (SELECT k, unnest(words) AS w FROM d) JOIN word USING (w) GROUP BY k),
+scored AS (SELECT doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+    FROM d LEFT JOIN weights USING (k)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS n,
+    (SELECT count(*) FROM d WHERE len(words) >= 20) * 10 // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND n <= drawn THEN n END AS rank FROM ranked"""
+
+
 # One row after the other, with the best cost, string and text for each state of the grammar (b: start, s, u, a).
 _NEVER = "{'c': 1000000, 'a': '', 'r': ''}"
 
@@ -187,6 +210,12 @@ def op10_language(spark, sf_dir):
     return identify_languages(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
+@query
+def op11_resample(spark, sf_dir):
+    drawn = resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query
 def op12_bytepairs(spark, sf_dir):
     codec = BytePairs(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
