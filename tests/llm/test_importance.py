@@ -80,7 +80,7 @@ def test_features_of_a_line_are_taken_once(spark, odd):
 def test_crossing_runs_are_apart_from_those_of_lines(spark):
     rows = [(1, "a b\nc\n\nd e f")]
     df = spark.createDataFrame(rows, SCHEMA)
-    found = module._texts(df).select(module.crossing_features(module.F.col("lines"), 3, 1 << 30).alias("f")).first().f
+    found = module.crossing_features(module._texts(df), 3, 1 << 30).first().features
     own = Counter(x for line in "a b,c,d e f".split(",") for x in plain_features(line, 3)[1])
     rest = Counter(plain_features(rows[0][1], 3)[1]) - own
     assert Counter(found) == Counter(zlib.crc32(x.encode()) % (1 << 30) for x in rest.elements())

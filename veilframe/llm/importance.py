@@ -50,24 +50,34 @@ def bucket_of(feature: Column, buckets: int) -> Column:
 
 
 def line_features(line: Column, longest: int, buckets: int) -> Column:
-    """Buckets of all runs inside one line, repeats included."""
-    own = words(line)
-    return F.transform(F.concat(*[runs(own, n) for n in range(1, longest + 1)]), lambda x: bucket_of(x, buckets))
+    """``n_words`` of one line and ``features``, the buckets of all runs inside it, repeats included."""
 
+    def of(own: Column) -> Column:
+        every = F.concat(*[runs(own, n) for n in range(1, longest + 1)])
+        return F.struct(F.size(own).alias("n_words"), F.transform(every, lambda x: bucket_of(x, buckets)).alias("features"))
 
-def crossing_features(lines: Column, longest: int, buckets: int) -> Column:
-    """Buckets of the runs that start in one of a text's lines and end in a later one. ``lines`` hold words each."""
+    # as an argument the words are looked up once, however often they are used
+    return F.transform(F.array(words(line)), of)[0]
+
+
+def crossing_features(texts: DataFrame, longest: int, buckets: int) -> DataFrame:
+    """``texts`` with ``features``: buckets of the runs that start in one of its ``lines`` and end in a later one."""
 
     def at(own: Column, j: Column) -> Column:
         # the last words of the line and the first ones behind it; a line has one word at least
         tail = F.slice(own, F.greatest(F.size(own) - (longest - 2), F.lit(1)), longest - 1)
-        near = F.flatten(F.slice(split, j + 2, longest - 1))
-        joined = F.concat(tail, F.slice(near, 1, longest - 1))
-        border = F.size(tail)
-        return F.concat(*[runs(joined, n, F.greatest(border - (n - 2), F.lit(1)), border) for n in range(2, longest + 1)])
+        near = F.flatten(F.slice("split", j + 2, longest - 1))
+        return F.struct(F.concat(tail, F.slice(near, 1, longest - 1)).alias("words"), F.size(tail).alias("border"))
+
+    def over(border: Column) -> Column:
+        of = lambda n: runs(border["words"], n, F.greatest(border["border"] - (n - 2), F.lit(1)), border["border"])
+        return F.transform(F.concat(*[of(n) for n in range(2, longest + 1)]), lambda x: bucket_of(x, buckets))
 
-    split = F.transform(lines, words)
-    return F.transform(F.flatten(F.transform(split, at)), lambda x: bucket_of(x, buckets))
+    # each step is held in a column of its own, so no line's words are looked up more than once
+    names = texts.columns
+    held = texts.select("*", F.explode_outer(F.array(F.transform("lines", words))).alias("split"))
+    held = held.select("*", F.explode_outer(F.array(F.transform("split", at))).alias("borders"))
+    return held.select(*names, F.flatten(F.transform("borders", over)).alias("features"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -80,8 +90,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 def distinct_lines(texts: DataFrame, longest: int, buckets: int) -> DataFrame:
     """``line`` (digest), its ``occurrences``, ``n_words`` and ``features`` (buckets), one row for each line."""
     counted = texts.select(F.explode("lines").alias("text")).groupBy("text").agg(F.count("*").alias("occurrences"))
-    own = F.col("text")
-    return counted.select(digest(own).alias("line"), "occurrences", line_features(own, longest, buckets).alias("features"), F.size(words(own)).alias("n_words"))
+    held = counted.select("text", "occurrences", F.explode(F.array(line_features(F.col("text"), longest, buckets))).alias("own"))
+    return held.select(digest(F.col("text")).alias("line"), "occurrences", "own.n_words", "own.features")
 
 
 def bucket_counts(lines: DataFrame, crossing: DataFrame | None) -> DataFrame:
@@ -121,7 +131,7 @@ def importance(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: in
     aimed = _texts(target.select("text"))
 
     def crossing(df: DataFrame) -> DataFrame | None:
-        return df.select("doc_id", "lines", crossing_features(F.col("lines"), longest, buckets).alias("features")) if longest > 1 else None
+        return crossing_features(df, longest, buckets) if longest > 1 else None
 
     lines = stored(distinct_lines(texts, longest, buckets), folder)
     wanted = bucket_counts(distinct_lines(aimed, longest, buckets), crossing(aimed))
@@ -144,7 +154,7 @@ def importance(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: in
     copies = F.sum((F.coalesce("place", F.lit(0)) == 0).cast("long")).alias("copies")
     summed = met.groupBy(*row).agg(amount("weight"), amount("n_features"), amount("n_words"), copies)
     if longest > 1:
-        over = keyed.select(*row, F.explode(crossing_features(F.col("lines"), longest, buckets)).alias("bucket")).join(F.broadcast(gain), "bucket")
+        over = crossing_features(keyed, longest, buckets).select(*row, F.explode("features").alias("bucket")).join(F.broadcast(gain), "bucket")
         over = over.groupBy(*row).agg(F.sum("gain").alias("weight"), F.count("*").alias("n_features"))
         zero = lambda df: df.select(*row, "weight", "n_features", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) if c in df.columns else F.lit(0).cast("long").alias(c) for c in ("n_words", "copies")])
         both = zero(summed).unionByName(zero(over)).groupBy(*row)
