@@ -44,3 +44,11 @@ def test_nothing_to_learn_from(spark):
     model = fit_languages(docs, F.lit(True))
     assert identify_languages(docs, model).first().lang_pred == "und"
     assert identify_languages(docs.limit(0), model).count() == 0
+
+
+def test_texts_of_number_signs_have_no_language(spark):
+    rows = [(1, "house garden", "x"), (2, "maison jardin", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_languages(docs, docs.text.isNotNull())
+    odd = spark.createDataFrame([(1, "\u00bd \u00b2"), (2, "\u2167 3"), (3, "\u00bd house")], "doc_id long, text string")
+    assert [r.lang_pred for r in identify_languages(odd, model).orderBy("doc_id").collect()] == ["und", "und", "x"]

@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,6 @@ SMOOTHING = 0.5
 CACHED_WORDS = 400_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def words_of(text: str) -> list[str]:
@@ -84,7 +84,8 @@ class Judge:
             self.more = []
         get = self.row.__getitem__
         for text, words in zip(texts, found, strict=True):
-            if not words or not size or not _LETTER.search(text or ""):
+            # a word of the pattern may be made of number signs alone, as a half or a square
+            if not size or not any(map(str.isalpha, chain.from_iterable(words))):
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue

@@ -33,6 +33,9 @@ BUFFER_TOKENS = 4_000_000
 CACHED_WORDS = 800_000
 _TASK_SEQUENCES = 1 << 36  # numbers set aside for each task
 
+#: White space other than a space and a line end.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -72,30 +75,70 @@ def pack(sizes: Iterable[int], capacity: int = LENGTH) -> list[Sequence]:
     room = [capacity] * count
     if count:
         room[-1] = total - capacity * (count - 1)
-    heap = [(0.0, i) for i in range(count)]  # by cost; each open sequence is in it once
+    open_ = _ByRoom(capacity)
+    for i in range(count):
+        open_.put(room[i], (0.0, i))
     for length, document, start in sorted(rests, key=lambda r: (-r[0], r[1])):
-        aside: list[tuple[float, int]] = []
         while length:
-            # the cheapest sequence with room for all of it; after a few in vain it is cut
-            while heap and room[heap[0][1]] < length and len(aside) < 16:
-                aside.append(heapq.heappop(heap))
-            if heap and room[heap[0][1]] >= length:
-                _, i = heapq.heappop(heap)
-                part = length
-            else:
-                best = max(range(len(aside)), key=lambda k: (room[aside[k][1]], -k)) if aside else None
-                _, i = heapq.heappop(heap) if best is None else aside.pop(best)
-                part = min(length, room[i])
+            # the cheapest sequence with room for all of it; where there is none it is cut
+            found = open_.cheapest(length)
+            at = room[found[1]] if found else open_.most()
+            _, i = open_.take(at)
+            part = min(length, at)
             shared[i].add(document, start, part)
             room[i] -= part
             start, length = start + part, length - part
             if room[i]:
-                aside.append((shared[i].price, i))
-        for item in aside:
-            heapq.heappush(heap, item)
+                open_.put(room[i], (shared[i].price, i))
     return full + shared
 
 
+class _ByRoom:
+    """Open sequences as (price, number), by the room that is left in them.
+
+    Those of equal room form a heap, and a tree over the rooms holds the cheapest of every stretch.
+    """
+
+    def __init__(self, capacity: int) -> None:
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.tree: list[tuple[float, int] | None] = [None] * (2 * self.size)
+
+    def _changed(self, room: int) -> None:
+        heap, at = self.heaps[room], room + self.size
+        self.tree[at] = heap[0] if heap else None
+        while at > 1:
+            at //= 2
+            left, right = self.tree[2 * at], self.tree[2 * at + 1]
+            self.tree[at] = right if left is None else left if right is None else min(left, right)
+
+    def put(self, room: int, item: tuple[float, int]) -> None:
+        heapq.heappush(self.heaps[room], item)
+        self._changed(room)
+
+    def take(self, room: int) -> tuple[float, int]:
+        item = heapq.heappop(self.heaps[room])
+        self._changed(room)
+        return item
+
+    def cheapest(self, room: int) -> tuple[float, int] | None:
+        """Among those with at least this room."""
+        at = room + self.size
+        best = self.tree[at]
+        while at > 1:
+            if at % 2 == 0 and (other := self.tree[at + 1]) is not None and (best is None or other < best):
+                best = other
+            at //= 2
+        return best
+
+    def most(self) -> int:
+        """The most room that any has."""
+        at = 1
+        while at < self.size:
+            at = 2 * at + (self.tree[2 * at + 1] is not None)
+        return at - self.size
+
+
 def _little_endian(ids: list[int]) -> bytes:
     packed = array("I", ids)
     if sys.byteorder != "little":
@@ -118,7 +161,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # by word, as it stands behind a space
-
+        self.bare: dict[str, bytes] = {}  # as it stands behind a line end
+        self.line_end = self._encode(["\n"])[0]
         self.marks = {m: self._encode([m])[0] for m in ".,;:!?"}
         self.model = self.tokenizer.model if self.tokenizer.normalizer is None else None
         # fixed rule of byte-level models: printable bytes stand for themselves, the others for U+0100 and on
@@ -130,41 +174,64 @@ class WordTokenizer:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [_little_endian(x.ids) for x in found]
 
-    def _learn(self, new: set[str]) -> None:
-        """Encode words that are not known yet, as they stand behind a space.
+    def _simple(self, word: str, behind: str = "\u0120") -> bytes | None:
+        """Ids of letters, with a mark behind them or not: they need no pattern, the model gets them directly."""
+        core = word[:-1] if word[-1:] in self.marks else word
+        known = self.known if behind else self.bare
+        if (ids := known.get(core)) is None:
+            if self.model is None or not core.isalpha() or max(core) >= "\u0250":
+                return None
+            text = core if core.isascii() else core.encode().decode("latin-1").translate(self.signs)
+            ids = known[core] = _little_endian([t.id for t in self.model.tokenize(behind + text)])
+        return ids if core is word else ids + self.marks[word[-1]]
 
-        Letters, with a mark behind them or not, need no pattern to be cut: the model gets them directly.
-        """
-        known, marks, rest = self.known, self.marks, []
+    def _learn(self, new: set[str]) -> None:
+        """Encode words that are not known yet, as they stand behind a space."""
+        known, rest = self.known, []
         for w in new:
-            core = w[:-1] if w[-1] in marks else w
-            if self.model is None or not core.isalpha() or max(core) >= "\u0250":
+            if "\n" in w:  # a single line end between words is always cut out
+                first, *others = w.split("\n")
+                parts = [self._simple(first), *(self._simple(x, "") for x in others)]
+                ids = None if None in parts else self.line_end.join(parts)
+            else:
+                ids = self._simple(w)
+            if ids is None:
                 rest.append(w)
-                continue
-            text = core if core.isascii() else core.encode().decode("latin-1").translate(self.signs)
-            ids = _little_endian([t.id for t in self.model.tokenize("\u0120" + text)])
-            known[w] = ids if core is w else ids + marks[w[-1]]
+            else:
+                known[w] = ids
         known.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
 
+    def _words(self, text: str) -> list[str] | None:
+        """The words between single spaces; None where white space stands beside one, or a special token in the text."""
+        words = text.split(" ")
+        if not all(words) or any(s in text for s in self.special):
+            return None
+        if any(c in text for c in _OTHER_SPACE):
+            return None if any(w[0].isspace() or w[-1].isspace() for w in words) else words
+        return None if "\n " in text or " \n" in text or text[0] == "\n" or text[-1] == "\n" else words
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            words = text.split(" ")
-            plain = all(words) and not any(s in text for s in self.special)
-            if plain and len(text.split()) != len(words):  # other white space: fine inside a word, not at its edge
-                plain = not any(w[0].isspace() or w[-1].isspace() for w in words)
-            cut.append(words if plain else None)
+        cut = list(map(self._words, texts))
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
+            self.bare.clear()
         # texts that are not cut, and the first word of the others, which no space precedes
         alone = iter(self._encode([t if words is None else words[0] for t, words in zip(texts, cut, strict=True)]))
+        get = self.known.get
+        found = [list(map(get, words or ())) for words in cut]
         new: set[str] = set()
-        for words in cut:
-            new.update(words or ())
-        self._learn(new.difference(self.known))
-        get = self.known.__getitem__
-        return [next(alone) if not words else next(alone) + b"".join(map(get, words[1:])) for words in cut]
+        for words, ids in zip(cut, found, strict=True):
+            if None in ids:
+                new.update(w for w, own in zip(words, ids, strict=True) if own is None)
+        self._learn(new)
+        done = []
+        for words, ids in zip(cut, found, strict=True):
+            first = next(alone)
+            if words and None in ids:
+                ids = list(map(get, words))
+            done.append(first + b"".join(ids[1:]))
+        return done
 
 
 def _pieces(ids: list, tokens: list[bytes], first: int, capacity: int) -> tuple[pa.RecordBatch, int]:
