@@ -71,3 +71,19 @@ def test_blocks_do_not_show(spark, monkeypatch):
     got = sorted(tuple(r) for r in nearest(df, F.col("vec_id") % 20 == 0, 10).collect())
     want = sorted(plain(rows, np.array([i % 20 == 0 for i, _ in rows]), 10))
     assert got == want
+
+
+def test_repeated_query_ids(spark):
+    """Equal rows have equal whole lists; rows of one id with other vectors have their own."""
+    rows = [(i, [float(i), 1.0, -float(i % 7)]) for i in range(1, 60)] + [(100, [1.0, 0.0, 0.0])] * 2 + [(200, [1.0, 0.0, 0.0]), (200, [0.0, 0.0, 1.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 100, 5).collect()
+
+    def lists(query):
+        return sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == query)
+
+    def best(vector, own):
+        found = sorted((-sum(a * b for a, b in zip(vector, v)), i) for i, v in rows if i != own)[:5]
+        return [(rank, i, -product) for rank, (product, i) in enumerate(found, 1)]
+
+    assert lists(100) == sorted(best([1.0, 0, 0], 100) * 2)
+    assert lists(200) == sorted(best([1.0, 0, 0], 200) + best([0, 0, 1.0], 200))
