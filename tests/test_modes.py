@@ -1,6 +1,7 @@
 """Replacement modes, reversal, scopes, reports."""
 
 import random
+import re
 
 import plain
 import pytest
@@ -324,3 +325,15 @@ def test_external_text_longer_than_its_slice(spark):
     spans = spark.createDataFrame([(1, 0, 4, "Juan Perez", "<PRIVATE_PERSON>", None)], given)
     found = ingest_external_spans(docs, spans).first().spans
     assert [(s.start, s.end) for s in found] == [(0, 10)]
+
+
+def test_rows_without_findings_cross_no_exchange(spark):
+    rows = [(i, f"mail a{i}@x.com", "plain") for i in range(20)] + [(100 + i, "nothing here", None) for i in range(50)]
+    done = pseudonymize_table(spark.createDataFrame(rows, "id long, note string, memo string"), order_by=["id"])
+    plan = done.data._jdf.queryExecution().optimizedPlan()
+    clean, touched = (plan.children().apply(i).toString() for i in range(2))
+    assert plan.nodeName() == "Union" and "Relation" in clean
+    assert not re.search("Join|Aggregate|Window|Repartition|regexp", clean) and "Join" in touched
+    assert done.data.count() == 70
+    kept = {r.id: r.note for r in done.data.where("id >= 100").collect()}
+    assert len(kept) == 50 and set(kept.values()) == {"nothing here"}

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sql import Sql, expr
 
@@ -40,6 +41,23 @@ def stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_apart(df: DataFrame, mark: str) -> tuple[DataFrame, DataFrame]:
+    """Rows where the column ``mark`` is true and all others, as two parts of one table that is written in one pass.
+
+    Neither part needs a shuffle to be told from the other. Like a checkpoint the table lies in the folder the
+    cluster names, and stays as long as its readers may need it.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "apart")
+    df.withColumn(mark, F.coalesce(mark, F.lit(False))).write.partitionBy(mark).parquet(path)
+    columns = [c for c in df.columns if c != mark]
+    schema = T.StructType([df.schema[c] for c in columns])
+    schema = T.StructType([*schema.fields, T.StructField(mark, T.BooleanType())])
+    table = spark.read.schema(schema).parquet(path)
+    part = lambda test: table.where(test).drop(mark)
+    return part(F.col(mark)), part(~F.col(mark))
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.labels import type_of
 from ..functions.rules import Rules
 from ..functions.spans import apply_replacements
-from ..functions.sql import Sql, col, expr, keep, let, lit, struct, transform, transform_indexed, when
+from ..functions.sql import Sql, any_of, col, expr, keep, let, lit, struct, transform, transform_indexed, when
 from ..functions.tokens import (
     GENERIC_TOKEN,
     check_mode,
@@ -25,7 +25,7 @@ from ..functions.tokens import (
 )
 from .anonymize import PADS, with_pads
 from .detect import with_leaf_spans
-from .durable import durable, hold
+from .durable import hold, stored_apart
 from .numbering import join_on, number_within
 
 LEAVES, FOUND, TABLE, OUT, HITS = "__leaves", "__found", "__values", "__out", "__hits"
@@ -172,7 +172,7 @@ def _by_row(df, mode, fields, leaves, rules, key, hash_key, generic) -> Anonymiz
     return Anonymized(data, mapping, counts)
 
 
-ROW = "__row"
+ROW, ANY = "__row", "__any"
 
 
 def row_mark(leaves: Sql) -> Sql:
@@ -183,17 +183,19 @@ def row_mark(leaves: Sql) -> Sql:
 
 def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic) -> Anonymized:
     place = list(dict.fromkeys([*groups, *key]))
-    texts = df.select(*place, expr(leaves).alias(LEAVES)).withColumn(ROW, expr(row_mark(LEAVES)))
-    spans = _durable_spans(texts, rules, [*place, ROW])
+    # the one detection pass deals the rows: those without a finding are ready and meet nothing any more
+    texts = df.withColumn(LEAVES, expr(leaves)).withColumn(ROW, expr(row_mark(LEAVES)))
+    found = with_leaf_spans(texts, LEAVES, FOUND, rules=rules, skip_blank=True)
+    found = found.withColumn(ANY, expr(any_of(FOUND, lambda s: f"size({s}) > 0"))).drop(LEAVES)
+    touched, clean = stored_apart(found, ANY)
+    spans = _span_rows(touched, [*place, ROW])
     tokens = value_tokens(spans, mode, groups, key, hash_key=hash_key, generic=generic)
     hits = (
         join_on(spans, tokens.drop("label"), ["text"], scopes=groups)
         .groupBy(*place, ROW)
         .agg(F.sort_array(F.collect_set(F.struct("leaf", "start", "end", "token"))).alias(HITS))
     )
-    # only rows with a finding are on the right; adaptive execution broadcasts them when few
-    marked = df.withColumn(ROW, expr(row_mark(f"({leaves})")))
-    joined = join_on(marked, hits, [ROW], "left", scopes=place)
+    joined = join_on(touched, hits, [ROW], "left", scopes=place)
     out = transform_indexed(
         LEAVES,
         lambda t, i: when(
@@ -203,18 +205,14 @@ def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic) -
         ),
     )
     done = hold(joined.withColumn(LEAVES, expr(leaves)), **{OUT: out})
-    data = _rebuild(done, fields).select(*[expr(col(c)) for c in df.columns])
+    names = [expr(col(c)) for c in df.columns]
+    data = clean.select(*names).unionByName(_rebuild(done, fields).select(*names))
     mapping = tokens.where(F.lit(mode == "pseudo")).select(*groups, "token", F.col("text").alias("original"))
     return Anonymized(data, mapping, spans.groupBy(*groups, "label").agg(F.count("*").alias("n")))
 
 
-def _durable_spans(df: DataFrame, rules: Rules, carried: list[str]) -> DataFrame:
-    """One row per span with the ``carried`` columns, leaf, start, end, label, text.
-
-    Used for the tokens and for the rewriting, so it is written once: the detectors are the
-    costly part and the spans a small fraction of the text.
-    """
-    found = with_leaf_spans(df, LEAVES, FOUND, rules=rules, skip_blank=True)
+def _span_rows(found: DataFrame, carried: list[str]) -> DataFrame:
+    """One row per span with the ``carried`` columns, leaf, start, end, label, text."""
     rows = transform_indexed(
         FOUND,
         lambda spans, i: transform(
@@ -222,7 +220,7 @@ def _durable_spans(df: DataFrame, rules: Rules, carried: list[str]) -> DataFrame
             lambda s: struct(leaf=i, start=f"{s}.start", end=f"{s}.end", label=f"{s}.label", text=f"{s}.text"),
         ),
     )
-    return durable(found.select(*carried, F.inline(expr(f"flatten({rows})"))))
+    return found.select(*carried, F.inline(expr(f"flatten({rows})")))
 
 
 def value_tokens(
