@@ -11,7 +11,7 @@ from test_detect import FIVE, random_texts
 from veilframe.functions.labels import placeholder_of, type_of
 from veilframe.functions.sql import expr, let
 from veilframe.functions.tokens import MODES, mask_value
-from veilframe.operators.anonymize import anonymize_docs, deanonymize, deanonymize_rows, redact_placeholder
+from veilframe.operators.anonymize import anonymize_docs, deanonymize, deanonymize_rows, redact_placeholder, rewrite_found
 from veilframe.operators.numbering import number_within
 from veilframe.operators.pages import redact_pages
 from veilframe.operators.reports import (
@@ -19,12 +19,13 @@ from veilframe.operators.reports import (
     highlight_docs,
     holds_tokens,
     leak_check,
+    leak_counts,
     leak_check_tables,
     roundtrip_check,
     summary_rollup,
     used_tokens,
 )
-from veilframe.operators.detect import detect_docs, ingest_external_spans
+from veilframe.operators.detect import choose_spans, detect_docs, ingest_external_spans
 from veilframe.operators.tables import anonymize_nested, anonymize_table, pseudonymize_table
 
 KEY = b"secret"
@@ -337,3 +338,16 @@ def test_rows_without_findings_cross_no_exchange(spark):
     assert done.data.count() == 70
     kept = {r.id: r.note for r in done.data.where("id >= 100").collect()}
     assert len(kept) == 50 and set(kept.values()) == {"nothing here"}
+
+
+def test_modes_of_one_detection(spark):
+    docs = spark.createDataFrame([(1, "a@x.com y b@y.org"), (2, None), (3, "nada")], "doc_id long, text string")
+    found = choose_spans(docs, text="text")
+    done = rewrite_found(found, ["mask", "typed", "hash"], text="text", hash_key="k")
+    for mode in ("mask", "typed", "hash"):
+        alone = anonymize_docs(docs, mode, normalize=False, hash_key="k")
+        assert {(r.doc_id, r[f"output_{mode}"]) for r in done.collect()} == {(r.doc_id, r.output) for r in alone.collect()}
+    leaky = done.withColumn("output_typed", F.col("text"))
+    counts = leak_counts(leaky, {m: f"output_{m}" for m in ("mask", "typed")}).collect()
+    assert sorted(map(tuple, counts)) == [("mask", 2, 0), ("typed", 2, 2)]
+    assert leak_counts(done.limit(0), {"mask": "output_mask"}).collect()[0] == ("mask", 0, 0)

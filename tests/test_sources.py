@@ -180,3 +180,18 @@ def test_stream_of_pseudonyms_is_consistent_over_batches(spark, tmp_path):
     values = spark.read.parquet(tokens)
     assert values.count() == values.select("value").distinct().count() == 4
     assert values.select(F.countDistinct("token")).first()[0] == 4
+
+
+def test_row_scope_is_detected_once_for_all_three_outputs(spark, tmp_path):
+    rows = [(1, "mail a@x.com and a@x.com", "b@y.org"), (2, "nothing", None), (None, "c@z.net", "")]
+    df = spark.createDataFrame(rows, "id long, note string, memo string")
+    done = anonymize_table(df, "pseudo", scope="row", order_by=["id"])
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in done.split(spark.createDataFrame([], done.combined.schema))]
+    assert not any("regexp" in p for p in plans) and "regexp" in done.combined._jdf.queryExecution().optimizedPlan().toString()
+    paths = [str(tmp_path / x) for x in ("data", "map", "summary")]
+    write_result(done, *paths)
+    data, mapping, summary = ({tuple(r) for r in spark.read.parquet(p).collect()} for p in paths)
+    assert data == {(1, "mail «EMAIL_1» and «EMAIL_1»", "«EMAIL_2»"), (2, "nothing", None), (None, "«EMAIL_1»", "")}
+    assert mapping == {(1, "«EMAIL_1»", "a@x.com"), (1, "«EMAIL_2»", "b@y.org"), (None, "«EMAIL_1»", "c@z.net")}
+    assert summary == {(1, "EMAIL", 3), (None, "EMAIL", 1)}
+    assert not (tmp_path / "map_work").exists()

@@ -112,6 +112,31 @@ def anonymize_docs(
     ).drop(TABLE, PADS)
 
 
+def rewrite_found(
+    found: DataFrame,
+    modes: Sequence[str],
+    *,
+    text: str = "scanned",
+    spans: str = "spans",
+    hash_key: bytes | str | None = None,
+    generic: str = GENERIC_TOKEN,
+) -> DataFrame:
+    """Documents whose spans are known, in several modes at once: a column ``output_<mode>`` for each.
+
+    Detection is the costly part, so comparing modes should not repeat it.
+    """
+    for mode in modes:
+        check_mode(mode)
+        options = {"generic": generic}
+        if mode == "hash":
+            found = with_pads(found, hash_key)
+            options["pads"] = col(PADS)
+        tabled = hold(found, **{TABLE: value_table(col(spans), mode, **options)})
+        output = expr(replace_values(col(text), col(spans), col(TABLE)))
+        found = tabled.withColumn(f"output_{mode}", output).drop(TABLE, PADS)
+    return found
+
+
 def redact_placeholder(docs: DataFrame, *, text: str = "text", **choice) -> DataFrame:
     """Every span replaced by the placeholder of its label; the text is not normalized."""
     found = choose_spans(docs, text=text, **choice)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +58,17 @@ def leak_check(result: DataFrame, key: Sequence[str], *, spans: str = "spans", o
     return result.select(*key, F.inline(expr(left))).select(*key, "label", "text")
 
 
+def leak_counts(result: DataFrame, outputs: Mapping[str, str], *, spans: str = "spans") -> DataFrame:
+    """``mode``, ``checked`` and ``leaks``: how many spans there are, and how many texts of theirs are still in the
+    output of each mode. ``outputs`` maps modes to columns of one table, which is read once."""
+    left = {m: keep(col(spans), lambda s, c=c: f"instr({col(c)}, {s}.text) > 0") for m, c in outputs.items()}
+    sums = [F.coalesce(F.sum(expr(f"cast(size({a}) as bigint)")), F.lit(0)).alias(f"n{i}") for i, a in enumerate(left.values())]
+    total = F.coalesce(F.sum(F.size(spans).cast("long")), F.lit(0)).alias("checked")
+    counted = result.agg(total, *sums)
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), "checked", F.col(f"n{i}").alias("leaks")) for i, m in enumerate(outputs)])
+    return counted.select(F.inline(rows))
+
+
 def leak_check_tables(spans: DataFrame, outputs: DataFrame, key: Sequence[str], *, output: str = "output") -> DataFrame:
     """``leak_check`` where spans and outputs are stored apart."""
     distinct = spans.select(*key, "label", "text").distinct()

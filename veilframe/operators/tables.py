@@ -41,6 +41,9 @@ class Anonymized:
     data: DataFrame
     mapping: DataFrame
     summary: DataFrame
+    #: Where the three would each run the detectors: the rows that hold all of them, and how to take them apart.
+    combined: DataFrame | None = None
+    split: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]] | None = None
 
 
 def _string_leaves(value: Sql, dtype: T.DataType) -> Sql | None:
@@ -140,7 +143,12 @@ def anonymize_table(
         raise ValueError("a scope beyond the row needs order_by, a key of the table")
     if mode == "anon":  # one constant for all values: nothing to agree on beyond the row
         done = _by_row(df, mode, fields, leaves, parsed, groups, hash_key, generic)
-        return Anonymized(done.data, done.mapping, done.summary.groupBy(*groups, "label").agg(F.sum("n").alias("n")))
+
+        def split(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+            data, mapping, summary = done.split(rows)
+            return data, mapping, summary.groupBy(*groups, "label").agg(F.sum("n").alias("n"))
+
+        return Anonymized(*split(done.combined), done.combined, split)
     return _by_group(df, mode, fields, leaves, parsed, groups, list(order_by), hash_key, generic)
 
 
@@ -163,13 +171,19 @@ def _by_row(df, mode, fields, leaves, rules, key, hash_key, generic) -> Anonymiz
     tabled = hold(found, **{TABLE: value_table(f"flatten({FOUND})", mode, **options)})
     out = transform_indexed(LEAVES, lambda t, i: replace_values(t, f"get({FOUND}, {i})", TABLE))
     done = hold(tabled, **{OUT: out})
-    data = _rebuild(done, fields).select(*[expr(col(c)) for c in df.columns])
-    if mode == "pseudo":
-        mapping = tabled.select(*key, F.explode(expr(table_as_map(TABLE))).alias("token", "original"))
-    else:
-        mapping = tabled.select(*key, F.lit("").alias("token"), F.lit("").alias("original")).limit(0)
-    counts = found.select(*key, F.explode(expr(label_counts(f"flatten({FOUND})"))).alias("label", "n"))
-    return Anonymized(data, mapping, counts)
+    # what data, map and summary are of, in one row; keys apart, as a key column may be rewritten
+    names = [f"__key{i}" for i in range(len(key))]
+    keyed = done.withColumns({n: F.col(col(k)) for n, k in zip(names, key, strict=True)})
+    more = {"__map": expr(table_as_map(TABLE)) if mode == "pseudo" else expr("cast(map() as map<string,string>)")}
+    more["__counts"] = expr(label_counts(f"flatten({FOUND})"))
+    combined = _rebuild(keyed, fields).withColumns(more).select(*[expr(col(c)) for c in df.columns], *names, *more)
+
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        own = [F.col(n).alias(k) for n, k in zip(names, key, strict=True)]
+        mapping = rows.select(*own, F.explode("__map").alias("token", "original"))
+        return rows.select(*[expr(col(c)) for c in df.columns]), mapping, rows.select(*own, F.explode("__counts").alias("label", "n"))
+
+    return Anonymized(*split(combined), combined, split)
 
 
 ROW, ANY = "__row", "__any"

@@ -19,7 +19,7 @@ from ..functions.sql import expr
 from ..functions.text import normalize_text
 from ..functions.tokens import hmac_pads
 from ..functions.validators import cuit_ok, luhn_ok, phone_ok
-from ..operators.anonymize import anonymize_docs, deanonymize, deanonymize_rows, redact_placeholder
+from ..operators.anonymize import anonymize_docs, deanonymize, deanonymize_rows, redact_placeholder, rewrite_found
 from ..operators.detect import choose_spans, detect_docs, explode_spans, ingest_external_spans
 from ..operators.durable import durable, shared_folder
 from ..operators.pages import redact_pages
@@ -27,7 +27,7 @@ from ..operators.reports import (
     consistency_check,
     highlight_docs,
     holds_tokens,
-    leak_check,
+    leak_counts,
     roundtrip_check,
     summary_by_label,
     summary_rollup,
@@ -396,6 +396,15 @@ def _write_table(spark, sf_dir):
     return spark.read.parquet(f"{folder}/data").select("id", *_CELLS)
 
 
+@query("write_rows", f"SELECT * FROM ({_MASKED_CELLS})")
+def _write_rows(spark, sf_dir):
+    """Row scope: data, map and summary are taken from one detection."""
+    folder = shared_folder(spark, "written")
+    done = anonymize_table(_cells(spark, sf_dir).select("id", *_CELLS), "mask", columns=_CELLS, scope="row", order_by=["id"])
+    write_result(done, f"{folder}/data", f"{folder}/map", f"{folder}/summary")
+    return spark.read.parquet(f"{folder}/data")
+
+
 @query("csv_table", _MASKED_CELLS)
 def _csv_table(spark, sf_dir):
     folder = shared_folder(spark, "csv")
@@ -703,16 +712,10 @@ def _leaks_sql(mode: str, token: str) -> str:
     f"{_SPANS}, {_LABELLED}, {_NUMBERED} " + " UNION ALL ".join(_leaks_sql(m, t) for m, t in _MODE_TOKENS.items()),
 )
 def _leak_check(spark, sf_dir):
-    def counts(mode: str) -> DataFrame:
-        done = _anonymized(spark, sf_dir, mode, **({"hash_key": HASH_KEY} if mode == "hash" else {}))
-        checked = done.agg(F.sum(F.size("spans")).cast("long").alias("checked"))
-        leaks = leak_check(done, KEY).agg(F.count("*").alias("leaks"))
-        return leaks.select(F.lit(mode).alias("mode"), checked.scalar().alias("checked"), "leaks")
-
-    first, *rest = map(counts, _MODE_TOKENS)
-    for part in rest:
-        first = first.unionByName(part)
-    return first
+    scanned = texts(spark, sf_dir).withColumn("scanned", expr(normalize_text("text")))
+    found = choose_spans(scanned, key=KEY, text="scanned")
+    done = rewrite_found(found, list(_MODE_TOKENS), hash_key=HASH_KEY)
+    return leak_counts(done, {mode: f"output_{mode}" for mode in _MODE_TOKENS})
 
 
 @query(

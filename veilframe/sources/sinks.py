@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from ..operators.durable import remove_folder, stored
 from ..operators.tables import Anonymized
 
 
@@ -26,7 +27,7 @@ def write_result(
     format: str = "parquet",
 ) -> None:
     """Write the three tables of a run. The map re-identifies the data: keep ``map_path``
-    somewhere only those allowed to reverse can read."""
+    somewhere only those allowed to reverse can read. The detectors run once for all three."""
     if _inside(map_path, data_path) or _inside(data_path, map_path):
         raise ValueError("the reversal map and the data must not be stored inside each other")
 
@@ -34,6 +35,17 @@ def write_result(
         writer = df.write.format(format).mode(mode)
         (writer.partitionBy(*by) if by else writer).save(path)
 
-    write(result.data, data_path, partition_by)
-    write(result.mapping, map_path, ())
-    write(result.summary, summary_path, ())
+    if result.combined is None:
+        write(result.data, data_path, partition_by)
+        write(result.mapping, map_path, ())
+        write(result.summary, summary_path, ())
+        return
+    # the rows as detected once, beside the map, whose secrets they hold; they go when all three are written
+    spark, work = result.data.sparkSession, f"{map_path.rstrip('/')}_work"
+    try:
+        data, mapping, summary = result.split(stored(result.combined, work))
+        write(data, data_path, partition_by)
+        write(mapping, map_path, ())
+        write(summary, summary_path, ())
+    finally:
+        remove_folder(spark, work)
