@@ -119,7 +119,7 @@ def odd():
     return rows + rows[:40] + [(900 + i, t, "user", "Hm.") for i in range(60) for t in range(2)] + [(2000, 0, "user", "long " * 50_000 + ".")]
 
 
-@pytest.mark.parametrize("segment", [2, 128])
+@pytest.mark.parametrize("segment", [2, 32, 500])
 def test_repair_of_odd_rows(spark, odd, segment):
     df = spark.createDataFrame(odd, SCHEMA).selectExpr("*", "1 as cost", "'x' as part", "2 as place")
     assert rows_of(repair(damage(df.repartition(5)), segment)) == plain(odd)

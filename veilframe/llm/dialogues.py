@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-SEGMENT = 128
+SEGMENT = 32
 KEPT_SHAPES = 100_000
 
 # prices and grammar: fixed values
