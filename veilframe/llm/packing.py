@@ -30,7 +30,7 @@ LENGTH = 2048
 LINEAR = 1.0
 QUADRATIC = 1.0 / 2048
 BUFFER_TOKENS = 4_000_000
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_500_000
 _TASK_SEQUENCES = 1 << 36  # numbers set aside for each task
 
 #: White space other than a space and a line end.
@@ -185,21 +185,26 @@ class WordTokenizer:
             ids = known[core] = _little_endian([t.id for t in self.model.tokenize(behind + text)])
         return ids if core is word else ids + self.marks[word[-1]]
 
-    def _learn(self, new: set[str]) -> None:
-        """Encode words that are not known yet, as they stand behind a space."""
-        known, rest = self.known, []
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Encode words that are not known yet, as they stand behind a space.
+
+        Returned, not kept, are those with a line end in them: they seldom come again, their parts do.
+        """
+        known, rest, once = self.known, [], {}
         for w in new:
             if "\n" in w:  # a single line end between words is always cut out
                 first, *others = w.split("\n")
                 parts = [self._simple(first), *(self._simple(x, "") for x in others)]
-                ids = None if None in parts else self.line_end.join(parts)
-            else:
-                ids = self._simple(w)
-            if ids is None:
+                if None in parts:
+                    rest.append(w)
+                else:
+                    once[w] = self.line_end.join(parts)
+            elif (ids := self._simple(w)) is None:
                 rest.append(w)
             else:
                 known[w] = ids
         known.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
+        return once
 
     def _words(self, text: str) -> list[str] | None:
         """The words between single spaces; None where white space stands beside one, or a special token in the text."""
@@ -224,12 +229,12 @@ class WordTokenizer:
         for words, ids in zip(cut, found, strict=True):
             if None in ids:
                 new.update(w for w, own in zip(words, ids, strict=True) if own is None)
-        self._learn(new)
+        once = self._learn(new)
         done = []
         for words, ids in zip(cut, found, strict=True):
             first = next(alone)
             if words and None in ids:
-                ids = list(map(get, words))
+                ids = [once.get(w) or get(w) if own is None else own for w, own in zip(words, ids, strict=True)]
             done.append(first + b"".join(ids[1:]))
         return done
 
