@@ -10,7 +10,7 @@ from veilframe.operators.anonymize import anonymize_docs
 from veilframe.operators.tables import anonymize_nested, anonymize_table, pseudonymize_table
 from veilframe.sources.files import anonymize_files
 from veilframe.sources.formats import admit, admitted, detect_format, rejected
-from veilframe.sources.readers import json_text, read_csv_table, read_files, read_json_docs, read_text_docs
+from veilframe.sources.readers import json_text, read_checked_docs, read_csv_table, read_files, read_json_docs, read_text_docs
 from veilframe.sources.sinks import write_result
 from veilframe.streaming.stream import anonymize_stream, pseudonymize_batches
 
@@ -195,3 +195,14 @@ def test_row_scope_is_detected_once_for_all_three_outputs(spark, tmp_path):
     assert mapping == {(1, "«EMAIL_1»", "a@x.com"), (1, "«EMAIL_2»", "b@y.org"), (None, "«EMAIL_1»", "c@z.net")}
     assert summary == {(1, "EMAIL", 3), (None, "EMAIL", 1)}
     assert not (tmp_path / "map_work").exists()
+
+
+def test_files_that_are_no_text_are_rejected(spark, tmp_path):
+    contents = {"a.txt": "café a@x.com\nb".encode(), "b.txt": b"\xff\xfe\x00\x01", "c.txt": b"x" * 50, "d.txt": "é".encode("latin-1"), "e.txt": b""}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    read = read_checked_docs(spark, str(tmp_path), max_chars=20)
+    assert {r.path[-5:]: r.text for r in read.rows.collect() if r.text} == {"a.txt": "café a@x.com\nb"}
+    bad = {r.path[-5:]: (bytes(r.content), r.reason) for r in read.rejected.collect()}
+    assert bad == {"b.txt": (contents["b.txt"], "encoding"), "c.txt": (contents["c.txt"], "size"), "d.txt": (contents["d.txt"], "encoding")}
+    assert read_checked_docs(spark, str(tmp_path / "c*")).rejected.count() == 0

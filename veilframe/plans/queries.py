@@ -37,7 +37,7 @@ from ..operators.span_tables import resolve_span_table
 from ..operators.tables import anonymize_nested, anonymize_table, pseudonymize_table
 from ..sources.files import anonymize_files
 from ..sources.formats import admit, detect_format
-from ..sources.readers import read_csv_table, read_json_docs, read_text_docs, spread
+from ..sources.readers import read_checked_docs, read_csv_table, read_json_docs, read_text_docs, spread
 from ..sources.rules_table import drop_exempt_spans, load_rules, rules_status
 from ..sources.sinks import write_result
 from ..streaming.stream import anonymize_stream, pseudonymize_batches
@@ -439,6 +439,23 @@ def _text_docs(spark, sf_dir):
     return done.select(F.regexp_extract("path", r"id=(\d+)/", 1).cast("long").alias("id"), "output")
 
 
+@query(
+    "text_docs_checked",
+    f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN id % 5 <> 0 THEN replace(text, 's' || id || '@x.example.com', '[EMAIL]') || chr(10) END AS output,
+    CASE WHEN id % 5 = 0 THEN 'encoding' END AS reason FROM ({_SUPPLIERS})""",
+)
+def _text_docs_checked(spark, sf_dir):
+    """One file per supplier; every fifth has a byte that is no UTF-8, and is rejected."""
+    folder = shared_folder(spark, "text")
+    suppliers = spark.sql(_SUPPLIERS.replace("from supplier", "from {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    broken = F.when(F.col("id") % 5 == 0, F.concat("text", F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("text"))
+    suppliers.withColumn("text", broken).write.partitionBy("id").text(folder)
+    read = read_checked_docs(spark, f"{folder}/*/*.txt")
+    done = anonymize_docs(read.rows, "typed", key=["path"], normalize=False).select("path", "output", F.lit(None).cast("string").alias("reason"))
+    every = done.unionByName(read.rejected.select("path", F.lit(None).cast("string").alias("output"), "reason"))
+    return every.select(F.regexp_extract("path", r"id=(\d+)/", 1).cast("long").alias("id"), "output", "reason")
+
+
 _STATUS_SQL = """select s_suppkey as k, case s_suppkey % 4 when 0 then concat('([', cast(s_suppkey as varchar(20)))
     when 1 then concat('key-', cast(s_suppkey as varchar(20))) when 2 then concat('(x|', cast(s_suppkey as varchar(20)), ')')
     else concat(repeat('b', 250), cast(s_suppkey as varchar(20))) end as regex from supplier"""

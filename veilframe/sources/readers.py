@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.python_side import csv_width, same_json
+from .formats import admit
 
 
 def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
@@ -37,6 +38,18 @@ class Read:
     rejected: DataFrame
 
 
+def read_checked_docs(spark: SparkSession, path: str, *, max_chars: int | None = None) -> Read:
+    """``read_text_docs`` for files that may be no text: those that are not UTF-8, or longer than ``max_chars``, are rejected.
+
+    Rejected rows are (path, content, reason), the bytes as they are. The reader keeps bytes that it cannot
+    decode, so the check sees them; a detector would take them for other characters and could miss what is beside them.
+    """
+    docs = read_text_docs(spark, path)
+    checked = admit(docs.withColumn("content", F.col("text").cast("binary")), "content", max_chars=max_chars)
+    bad = checked.where(F.col("reason").isNotNull())
+    return Read(checked.where(F.col("reason").isNull()).select("path", "text"), bad.select("path", "content", "reason"))
+
+
 def read_csv_table(spark: SparkSession, path: str, width: int) -> Read:
     """A CSV table of strings c0..c{width-1} with ``path`` and ``row``; the header is a row like others.
 
