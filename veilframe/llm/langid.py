@@ -3,9 +3,10 @@
 A known word adds the logarithm of its relative frequency in each language. An unseen word is
 judged by its character n-grams, with marks at its ends: by the longest length of which any is
 known, else one shorter, down to single characters. A word none of whose characters is known says
-nothing. Counts are taken over all labelled documents; words and n-grams that make up ``1 / CAPACITY``
-of all tokens (for n-grams: of all n-grams of different words of a language) are kept, so that at
-most ``CAPACITY`` words and as many n-grams of each length travel to the tasks.
+nothing. Counts are taken over all labelled documents, and every word and n-gram is kept in a table.
+Words that make up ``1 / CAPACITY`` of all tokens also travel to the tasks, at most ``CAPACITY`` of
+them; the others are joined, once per different text. Logarithms are whole numbers (of 2^-30), whose
+sums do not depend on order, so ``capacity`` changes no result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .common import durable, in_batches, texts_of
 CAPACITY = 1 << 18
 LONGEST = 5
 SMOOTHING = 0.5
+UNIT = float(1 << 30)
 CACHED_WORDS = 400_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,56 +46,36 @@ def ngrams(word: str, n: int) -> list[str]:
 @dataclass
 class LanguageModel:
     languages: list[str]  # by number of words, most first: the order that settles ties
-    words: dict[str, int]
-    word_logs: np.ndarray  # a row per word, a column per language
-    grams: list[dict[str, int]]  # by length
-    gram_logs: list[np.ndarray]
+    words: dict[str, int]  # the frequent words
+    word_logs: np.ndarray  # a row per frequent word, a column per language
+    word_table: DataFrame | None  # word, logs: all words
+    gram_table: DataFrame | None  # gram, logs: all n-grams; their lengths are those of the strings
 
-    def backoff(self, word: str) -> np.ndarray:
-        for n in range(LONGEST, 0, -1):
-            known = self.grams[n]
-            rows = [known[g] for g in ngrams(word, n) if g in known]
-            if rows:
-                return self.gram_logs[n][rows].mean(0)
-        return np.zeros(len(self.languages))
 
+class Reader:
+    """Frequent words of texts are added up, the others are counted."""
 
-class Judge:
-    """A model with the judgements of unseen words kept."""
-
-    def __init__(self, model: LanguageModel) -> None:
-        self.model = model
+    def __init__(self, words: dict[str, int], logs: np.ndarray) -> None:
+        self.words, self.size = words, len(words)
+        self.logs = np.concatenate((logs, np.zeros((1, logs.shape[1]), np.int64)))
         self.clear()
 
     def clear(self) -> None:
-        self.row = dict(self.model.words)
-        self.logs = self.model.word_logs
-        self.more: list[np.ndarray] = []
-
-    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        size = len(self.model.languages)
-        if len(self.row) > len(self.model.words) + CACHED_WORDS:
-            self.clear()
-        found = [words_of(t) if t and size else [] for t in texts]
-        for word in set().union(*found).difference(self.row):
-            self.row[word] = len(self.row)
-            self.more.append(self.model.backoff(word))
-        if self.more:
-            self.logs = np.concatenate((self.logs, np.array(self.more).reshape(-1, size)))
-            self.more = []
-        get = self.row.__getitem__
-        for text, words in zip(texts, found, strict=True):
-            # a word of the pattern may be made of number signs alone, as a half or a square
-            if not size or not any(map(str.isalpha, chain.from_iterable(words))):
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            total = self.logs[np.fromiter(map(get, words), np.int64, len(words))].sum(0)
-            best = int(total.argmax())
-            names.append(self.model.languages[best])
-            scores.append(float(1 / np.exp(total - total[best]).sum()))
-        return names, scores
+        self.row = dict(self.words)
+        self.names: list[str] = []
+
+    def read(self, text: str | None) -> tuple[bool, np.ndarray, list[str], np.ndarray]:
+        """Whether there is a letter, the frequent words' sums, and the other words with their counts."""
+        words = words_of(text) if text else []
+        for word in set(words).difference(self.row):
+            self.row[word] = self.size + len(self.names)
+            self.names.append(word)
+        rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        sums = self.logs[np.minimum(rows, self.size)].sum(0)
+        other, counts = np.unique(rows[rows >= self.size], return_counts=True)
+        # a word of the pattern may be made of number signs alone, as a half or a square
+        letters = any(map(str.isalpha, chain.from_iterable(words)))
+        return letters, sums, [self.names[i - self.size] for i in other], counts
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,74 +96,155 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[tuple[str, int], Counter] = {}
+    counts: dict[str, Counter] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        for (lang, n), own in counts.items():
-            columns = [pa.array([lang] * len(own)), pa.array([n] * len(own), pa.int32()), pa.array(list(own)), pa.array(list(own.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "length", "gram", "n"])
+        for lang, own in counts.items():
+            columns = [pa.array([lang] * len(own)), pa.array(list(own)), pa.array(list(own.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
         counts.clear()
 
     for batch in batches:
         for lang, word in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist(), strict=True):
             for n in range(1, LONGEST + 1):
-                counts.setdefault((lang, n), Counter()).update(ngrams(word, n))
+                counts.setdefault(lang, Counter()).update(ngrams(word, n))
         if sum(map(len, counts.values())) > 500_000:
             yield from out()
     yield from out()
 
 
-def _table(rows, languages: list[str], key: str) -> tuple[dict[str, int], np.ndarray]:
-    """Row numbers and logarithms of smoothed relative frequencies from (key, lang, n)."""
-    keys = {k: i for i, k in enumerate(dict.fromkeys(rows[key]))}
-    counts = np.zeros((len(keys), len(languages)))
-    column = {x: i for i, x in enumerate(languages)}
-    np.add.at(counts, (rows[key].map(keys).to_numpy(int), rows["lang"].map(column).to_numpy(int)), rows["n"].to_numpy(float))
-    counts += SMOOTHING
-    return keys, np.log(counts / counts.sum(0)) if len(keys) else counts
+def _grams_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            words, grams, counts = [], [], []
+            for word in batch.column("word").slice(at, 1024).to_pylist():
+                own = Counter(chain.from_iterable(ngrams(word, n) for n in range(1, LONGEST + 1)))
+                words += [word] * len(own)
+                grams += own
+                counts += own.values()
+            columns = [pa.array(words, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "gram", "n"])
+
+
+def _by_language(rows: DataFrame, key: str, languages: list[str]) -> DataFrame:
+    """``key`` and ``counts``, a number per language, from (key, lang, n)."""
+    each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in languages]
+    return rows.groupBy(key).agg(F.array(*each).alias("counts"))
+
+
+def _logs(totals: list[list[float]], at: Column) -> Column:
+    """Logarithms of smoothed relative frequencies of ``counts``; ``at`` (from 1) says which totals hold."""
+    each = []
+    for i in range(len(totals[0])):
+        total = F.element_at(F.array(*[F.lit(float(t[i])) for t in totals]), at)
+        each.append(F.round(F.log((F.col("counts")[i] + SMOOTHING) / total) * UNIT).cast("long"))
+    return F.array(*each)
+
+
+def _totals(table: DataFrame, size: int) -> tuple[list[int], list[float]]:
+    """Each language's sum of ``counts``, and the same smoothed over all different keys."""
+    row = table.agg(F.count("*").alias("keys"), *[F.sum(F.col("counts")[i]).alias(f"s{i}") for i in range(size)]).first()
+    sums = [row[f"s{i}"] or 0 for i in range(size)]
+    return sums, [s + SMOOTHING * row["keys"] for s in sums]
 
 
 def fit_languages(docs: DataFrame, teaches: Column, capacity: int = CAPACITY) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of the rows where ``teaches`` holds and ``lang`` is not null.
 
-    The number of languages is taken to be small (their names are collected).
+    The number of languages is taken to be small (their names are collected). Languages without a word
+    are not learned. ``capacity`` bounds what is sent to the tasks, not what is learned.
     """
-    rows = docs.filter(teaches & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.filter(teaches & F.col("lang").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = durable(in_batches(rows, _count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    sizes = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    if not languages:
-        return LanguageModel([], {}, np.zeros((0, 0)), [{} for _ in range(LONGEST + 1)], [np.zeros((0, 0))] * (LONGEST + 1))
-    least = math.ceil(sum(sizes.values()) / capacity)
-    often = counts.groupBy("word").agg(F.sum("n").alias("all")).filter(F.col("all") >= least).select("word")
-    words, word_logs = _table(counts.join(often, "word").toPandas(), languages, "word")  # at most capacity words
-    grams = in_batches(counts.select("lang", "word"), _count_grams, "lang string, length int, gram string, n long")
-    grams = durable(grams.groupBy("length", "gram", "lang").agg(F.sum("n").alias("n")))
-    totals = {r.length: r.n for r in grams.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    known, logs = [{}], [np.zeros((0, 0))]
-    for n in range(1, LONGEST + 1):
-        own = grams.filter(F.col("length") == n)
-        often = own.groupBy("gram").agg(F.sum("n").alias("all")).filter(F.col("all") >= math.ceil(totals.get(n, 0) / capacity)).select("gram")
-        keys, values = _table(own.join(often, "gram").toPandas(), languages, "gram")
-        known.append(keys)
-        logs.append(values)
-    return LanguageModel(languages, words, word_logs, known, logs)
+    names = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    nothing = LanguageModel([], {}, np.zeros((0, 0), np.int64), None, None)
+    if not names:
+        return nothing
+    counted = in_batches(rows.filter("text is not null"), _count_words, "lang string, word string, n long")
+    words = durable(_by_language(counted, "word", names))
+    sums, _ = _totals(words, len(names))
+    order = sorted((i for i in range(len(names)) if sums[i]), key=lambda i: (-sums[i], names[i]))
+    if not order:
+        return nothing
+    languages = [names[i] for i in order]
+    words = words.select("word", F.array(*[F.col("counts")[i] for i in order]).alias("counts"))
+    sums, smoothed = _totals(words, len(order))
+    all_uses = F.expr("aggregate(counts, 0L, (a, x) -> a + x)")
+    word_table = words.select("word", _logs([smoothed], F.lit(1)).alias("logs"), all_uses.alias("uses"))
+    least = math.ceil(sum(sums) / capacity)
+    frequent = word_table.filter(F.col("uses") >= least).select("word", "logs").toArrow()  # at most capacity words
+    known = {w: i for i, w in enumerate(frequent.column("word").to_pylist())}
+    logs = np.array(frequent.column("logs").to_pylist(), np.int64).reshape(len(known), len(languages))
+
+    held = words.select("word", F.posexplode("counts").alias("lang", "n")).filter("n > 0")
+    held = held.select(F.col("lang").cast("string").alias("lang"), "word")
+    counted = in_batches(held, _count_grams, "lang string, gram string, n long")
+    grams = durable(_by_language(counted, "gram", [str(i) for i in range(len(languages))]))
+    totals = [_totals(grams.filter(F.length("gram") == n), len(languages))[1] for n in range(1, LONGEST + 1)]
+    gram_table = grams.select("gram", _logs(totals, F.length("gram")).alias("logs"))
+    return LanguageModel(languages, known, logs, word_table.select("word", "logs"), gram_table)
+
+
+def _backed_off(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """``word`` and ``logs`` of words never seen: the mean of their known n-grams of the longest length."""
+    size = len(model.languages)
+    grams = in_batches(words, _grams_of_words, "word string, gram string, n long").join(model.gram_table, "gram")
+    each = [F.sum(F.col("n") * F.col("logs")[i]) for i in range(size)]
+    by_length = grams.groupBy("word", F.length("gram").alias("length")).agg(F.sum("n").alias("n"), F.array(*each).alias("sums"))
+    longest = by_length.groupBy("word").agg(F.max_by(F.struct("n", "sums"), "length").alias("m"))
+    return longest.select("word", F.expr("transform(m.sums, s -> s div m.n)").alias("logs"))
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (the likelihood's share among the languages) of every row.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text for a model without languages.
+    Equal texts are judged alike, whatever their ids; a text without a known word or character has equal shares.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most capacity * (LONGEST + 1) rows
+    rows, size = texts_of(docs), len(model.languages)
+    if not size:
+        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.word_logs))  # at most capacity words
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(shared.value)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(*shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                names, scores = judge.judge(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return in_batches(texts_of(docs), rows, "doc_id long, lang_pred string, score double")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                if len(reader.names) > CACHED_WORDS:
+                    reader.clear()
+                found = [reader.read(t) for t in part.column("text").to_pylist()]
+                letters, sums, words, counts = zip(*found, strict=True)
+                ends = pa.array(np.cumsum([0, *map(len, words)]), pa.int32())
+                other = pa.StructArray.from_arrays(
+                    [pa.array(list(chain.from_iterable(words)), pa.string()), pa.array(np.concatenate(counts), pa.int64())],
+                    names=["word", "n"],
+                )
+                parts = pa.array(np.arange(part.num_rows + 1) * size, pa.int32())
+                columns = [
+                    part.column("doc_id"), part.column("a"), part.column("b"), pa.array(letters),
+                    pa.ListArray.from_arrays(parts, pa.array(np.concatenate(sums), pa.int64())),
+                    pa.ListArray.from_arrays(ends, other),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "letters", "sums", "other"])
+
+    marked = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
+    schema = "doc_id long, a long, b long, letters boolean, sums array<long>, other array<struct<word:string,n:long>>"
+    found = durable(in_batches(marked, read, schema))
+    # copies of a text have the same other words: one of them asks for all
+    asked = found.filter("size(other) > 0").groupBy("a", "b").agg(F.first("other").alias("other")).select("a", "b", F.inline("other"))
+    different = asked.select("word").distinct()
+    unseen = _backed_off(different.join(model.word_table, "word", "left_anti"), model)
+    judged = different.join(model.word_table, "word").unionByName(unseen)
+    each = [F.sum(F.col("n") * F.col("logs")[i]) for i in range(size)]
+    rest = asked.join(judged, "word").groupBy("a", "b").agg(F.array(*each).alias("rest"))
+    total = found.select("doc_id", "a", "b", "letters", "sums").join(rest, ["a", "b"], "left")
+    total = total.withColumn("total", F.expr("if(rest is null, sums, zip_with(sums, rest, (x, y) -> x + y))"))
+    total = total.withColumn("best", F.array_max("total"))
+    names = F.array(*[F.lit(x) for x in model.languages])
+    share = F.expr(f"1 / aggregate(total, 0d, (a, x) -> a + exp((x - best) / {UNIT:.1f}D))")
+    return total.select(
+        "doc_id",
+        F.when(F.col("letters"), F.element_at(names, F.array_position("total", F.col("best")).cast("int"))).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("letters"), share).otherwise(0.0).alias("score"),
+    )
