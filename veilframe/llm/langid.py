@@ -5,8 +5,8 @@ judged by its character n-grams, with marks at its ends: by the longest length o
 known, else one shorter, down to single characters. A word none of whose characters is known says
 nothing. Counts are taken over all labelled documents, and every word and n-gram is kept in a table.
 Words that make up ``1 / CAPACITY`` of all tokens also travel to the tasks, at most ``CAPACITY`` of
-them; the others are joined, once per different text. Logarithms are whole numbers (of 2^-30), whose
-sums do not depend on order, so ``capacity`` changes no result.
+them; the others are joined, once per different text of a task. Logarithms are whole numbers (of 2^-30),
+whose sums do not depend on order, so ``capacity`` changes no result.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, in_batches, texts_of
+from ..operators.durable import stored
+from .common import in_batches, shared_folder, texts_of
 
-CAPACITY = 1 << 18
+CAPACITY = 1 << 19
 LONGEST = 5
 SMOOTHING = 0.5
 UNIT = float(1 << 30)
 CACHED_WORDS = 400_000
+CACHED_TEXTS = 400_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,6 +45,11 @@ def ngrams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, as checkpoints are not compressed."""
+    return stored(df, shared_folder(df.sparkSession, "languages"))
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]  # by number of words, most first: the order that settles ties
@@ -161,7 +168,7 @@ def fit_languages(docs: DataFrame, teaches: Column, capacity: int = CAPACITY) ->
     if not names:
         return nothing
     counted = in_batches(rows.filter("text is not null"), _count_words, "lang string, word string, n long")
-    words = durable(_by_language(counted, "word", names))
+    words = _kept(_by_language(counted, "word", names))
     sums, _ = _totals(words, len(names))
     order = sorted((i for i in range(len(names)) if sums[i]), key=lambda i: (-sums[i], names[i]))
     if not order:
@@ -179,7 +186,7 @@ def fit_languages(docs: DataFrame, teaches: Column, capacity: int = CAPACITY) ->
     held = words.select("word", F.posexplode("counts").alias("lang", "n")).filter("n > 0")
     held = held.select(F.col("lang").cast("string").alias("lang"), "word")
     counted = in_batches(held, _count_grams, "lang string, gram string, n long")
-    grams = durable(_by_language(counted, "gram", [str(i) for i in range(len(languages))]))
+    grams = _kept(_by_language(counted, "gram", [str(i) for i in range(len(languages))]))
     totals = [_totals(grams.filter(F.length("gram") == n), len(languages))[1] for n in range(1, LONGEST + 1)]
     gram_table = grams.select("gram", _logs(totals, F.length("gram")).alias("logs"))
     return LanguageModel(languages, known, logs, word_table.select("word", "logs"), gram_table)
@@ -207,14 +214,27 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.words, model.word_logs))  # at most capacity words
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(*shared.value)
+        reader, asked, asks = Reader(*shared.value), set(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 if len(reader.names) > CACHED_WORDS:
                     reader.clear()
+                if len(asked) > CACHED_TEXTS:
+                    asked.clear()
                 found = [reader.read(t) for t in part.column("text").to_pylist()]
-                letters, sums, words, counts = zip(*found, strict=True)
+                letters, sums, words, counts = map(list, zip(*found, strict=True))
+                # copies of a text have the same other words: one of them asks for all
+                numbers: list[int | None] = [None] * len(words)
+                keys = zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)
+                task = part.column("task")[0].as_py() << 33
+                for i, key in enumerate(keys):
+                    if words[i] and key not in asked:
+                        asked.add(key)
+                        numbers[i] = task + asks
+                        asks += 1
+                    else:
+                        words[i], counts[i] = [], counts[i][:0]
                 ends = pa.array(np.cumsum([0, *map(len, words)]), pa.int32())
                 other = pa.StructArray.from_arrays(
                     [pa.array(list(chain.from_iterable(words)), pa.string()), pa.array(np.concatenate(counts), pa.int64())],
@@ -224,20 +244,20 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 columns = [
                     part.column("doc_id"), part.column("a"), part.column("b"), pa.array(letters),
                     pa.ListArray.from_arrays(parts, pa.array(np.concatenate(sums), pa.int64())),
-                    pa.ListArray.from_arrays(ends, other),
+                    pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(ends, other),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "letters", "sums", "other"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "letters", "sums", "ask", "other"])
 
-    marked = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
-    schema = "doc_id long, a long, b long, letters boolean, sums array<long>, other array<struct<word:string,n:long>>"
-    found = durable(in_batches(marked, read, schema))
-    # copies of a text have the same other words: one of them asks for all
-    asked = found.filter("size(other) > 0").groupBy("a", "b").agg(F.first("other").alias("other")).select("a", "b", F.inline("other"))
+    marked = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text"), "task": F.spark_partition_id().cast("long")})
+    schema = "doc_id long, a long, b long, letters boolean, sums array<long>, ask long, other array<struct<word:string,n:long>>"
+    found = _kept(in_batches(marked, read, schema))
+    asked = found.filter("ask is not null").select("ask", "a", "b", F.inline("other"))
     different = asked.select("word").distinct()
     unseen = _backed_off(different.join(model.word_table, "word", "left_anti"), model)
     judged = different.join(model.word_table, "word").unionByName(unseen)
     each = [F.sum(F.col("n") * F.col("logs")[i]) for i in range(size)]
-    rest = asked.join(judged, "word").groupBy("a", "b").agg(F.array(*each).alias("rest"))
+    answers = asked.join(judged, "word").groupBy("ask", "a", "b").agg(F.array(*each).alias("rest"))
+    rest = answers.groupBy("a", "b").agg(F.min("rest").alias("rest"))  # tasks that met the same text have the same answer
     total = found.select("doc_id", "a", "b", "letters", "sums").join(rest, ["a", "b"], "left")
     total = total.withColumn("total", F.expr("if(rest is null, sums, zip_with(sums, rest, (x, y) -> x + y))"))
     total = total.withColumn("best", F.array_max("total"))
