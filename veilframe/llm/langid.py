@@ -55,7 +55,8 @@ class LanguageModel:
     languages: list[str]  # by number of words, most first: the order that settles ties
     words: dict[str, int]  # the frequent words
     word_logs: np.ndarray  # a row per frequent word, a column per language
-    word_table: DataFrame | None  # word, logs: all words
+    word_table: DataFrame | None  # word, counts: all words
+    totals: list[float]  # smoothed sums of the words' counts
     gram_table: DataFrame | None  # gram, logs: all n-grams; their lengths are those of the strings
 
 
@@ -164,7 +165,7 @@ def fit_languages(docs: DataFrame, teaches: Column, capacity: int = CAPACITY) ->
     rows = docs.filter(teaches & F.col("lang").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     names = sorted(r.lang for r in rows.select("lang").distinct().collect())
-    nothing = LanguageModel([], {}, np.zeros((0, 0), np.int64), None, None)
+    nothing = LanguageModel([], {}, np.zeros((0, 0), np.int64), None, [], None)
     if not names:
         return nothing
     counted = in_batches(rows.filter("text is not null"), _count_words, "lang string, word string, n long")
@@ -177,9 +178,9 @@ def fit_languages(docs: DataFrame, teaches: Column, capacity: int = CAPACITY) ->
     words = words.select("word", F.array(*[F.col("counts")[i] for i in order]).alias("counts"))
     sums, smoothed = _totals(words, len(order))
     all_uses = F.expr("aggregate(counts, 0L, (a, x) -> a + x)")
-    word_table = words.select("word", _logs([smoothed], F.lit(1)).alias("logs"), all_uses.alias("uses"))
     least = math.ceil(sum(sums) / capacity)
-    frequent = word_table.filter(F.col("uses") >= least).select("word", "logs").toArrow()  # at most capacity words
+    frequent = words.filter(all_uses >= least)  # at most capacity words
+    frequent = frequent.select("word", _logs([smoothed], F.lit(1)).alias("logs")).toArrow()
     known = {w: i for i, w in enumerate(frequent.column("word").to_pylist())}
     logs = np.array(frequent.column("logs").to_pylist(), np.int64).reshape(len(known), len(languages))
 
@@ -189,7 +190,7 @@ def fit_languages(docs: DataFrame, teaches: Column, capacity: int = CAPACITY) ->
     grams = _kept(_by_language(counted, "gram", [str(i) for i in range(len(languages))]))
     totals = [_totals(grams.filter(F.length("gram") == n), len(languages))[1] for n in range(1, LONGEST + 1)]
     gram_table = grams.select("gram", _logs(totals, F.length("gram")).alias("logs"))
-    return LanguageModel(languages, known, logs, word_table.select("word", "logs"), gram_table)
+    return LanguageModel(languages, known, logs, words, smoothed, gram_table)
 
 
 def _backed_off(words: DataFrame, model: LanguageModel) -> DataFrame:
@@ -251,13 +252,21 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     marked = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text"), "task": F.spark_partition_id().cast("long")})
     schema = "doc_id long, a long, b long, letters boolean, sums array<long>, ask long, other array<struct<word:string,n:long>>"
     found = _kept(in_batches(marked, read, schema))
-    asked = found.filter("ask is not null").select("ask", "a", "b", F.inline("other"))
-    different = asked.select("word").distinct()
-    unseen = _backed_off(different.join(model.word_table, "word", "left_anti"), model)
-    judged = different.join(model.word_table, "word").unionByName(unseen)
+    asks = found.filter("ask is not null").select("ask", "a", "b", "other")
+    asked = asks.select("ask", F.inline("other")).filter("word is not null")
+    # what travels are the small counts of rare words; their logarithms are taken where a text's words meet
+    seen = asked.join(model.word_table, "word").select("ask", "n", "counts").repartition("ask")
+    logs = _logs([model.totals], F.lit(1))
     each = [F.sum(F.col("n") * F.col("logs")[i]) for i in range(size)]
-    answers = asked.join(judged, "word").groupBy("ask", "a", "b").agg(F.array(*each).alias("rest"))
-    rest = answers.groupBy("a", "b").agg(F.min("rest").alias("rest"))  # tasks that met the same text have the same answer
+    answers = seen.select("ask", "n", logs.alias("logs")).groupBy("ask").agg(F.array(*each).alias("rest"))
+    missed = asked.join(model.word_table.select("word"), "word", "left_anti")
+    judged = _backed_off(missed.select("word").distinct(), model)
+    guesses = missed.join(judged, "word").groupBy("ask").agg(F.array(*each).alias("guess"))
+    none = F.array(*[F.lit(0).cast("long")] * size)
+    both = asks.select("ask", "a", "b").join(answers, "ask", "left").join(guesses, "ask", "left")
+    both = both.withColumns({"rest": F.coalesce("rest", none), "guess": F.coalesce("guess", none)})
+    both = both.select("a", "b", F.expr("zip_with(rest, guess, (x, y) -> x + y)").alias("rest"))
+    rest = both.groupBy("a", "b").agg(F.min("rest").alias("rest"))  # tasks that met the same text have the same answer
     total = found.select("doc_id", "a", "b", "letters", "sums").join(rest, ["a", "b"], "left")
     total = total.withColumn("total", F.expr("if(rest is null, sums, zip_with(sums, rest, (x, y) -> x + y))"))
     total = total.withColumn("best", F.array_max("total"))
