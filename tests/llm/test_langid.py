@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.llm import langid
 from veilframe.llm.common import fold_of
 from veilframe.llm.langid import fit_languages, identify_languages, ngrams, words_of
 
@@ -96,8 +97,9 @@ def odd_rows():
     return [(1000 + i, t, None, "") for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("capacity", [1, 40, 1 << 18])
-def test_equals_the_plain_rules_whatever_is_broadcast(spark, capacity):
+@pytest.mark.parametrize(("capacity", "sent"), [(1, 0), (40, 1 << 27), (1 << 18, 0)])
+def test_equals_the_plain_rules_whatever_is_broadcast(spark, monkeypatch, capacity, sent):
+    monkeypatch.setattr(langid, "SENT_BYTES", sent)
     rows = rows_of(60)
     asked = [*rows, *odd_rows()]
     taught = spark.createDataFrame(rows[:30], "doc_id long, text string, lang string, source string")

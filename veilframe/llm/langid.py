@@ -4,14 +4,12 @@ A known word adds the logarithm of its relative frequency in each language. An u
 judged by its character n-grams, with marks at its ends: by the longest length of which any is
 known, else one shorter, down to single characters. A word none of whose characters is known says
 nothing. Counts are taken over all labelled documents, and every word and n-gram is kept in a table.
-Words that make up ``1 / CAPACITY`` of all tokens also travel to the tasks, at most ``CAPACITY`` of
-them; the others are joined, once per different text of a task. Logarithms are whole numbers (of 2^-30),
+The most frequent words, at most ``CAPACITY`` of them, also travel to the tasks; the others are joined, once per different text of a task. Logarithms are whole numbers (of 2^-30),
 whose sums do not depend on order, so ``capacity`` changes no result.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +24,8 @@ from pyspark.sql import functions as F
 from ..operators.durable import stored
 from .common import in_batches, shared_folder, texts_of
 
-CAPACITY = 1 << 19
+CAPACITY = 1 << 18
+SENT_BYTES = 1 << 27  # of n-grams; larger tables are shuffled
 LONGEST = 5
 SMOOTHING = 0.5
 UNIT = float(1 << 30)
@@ -58,6 +57,7 @@ class LanguageModel:
     word_table: DataFrame | None  # word, counts: all words
     totals: list[float]  # smoothed sums of the words' counts
     gram_table: DataFrame | None  # gram, logs: all n-grams; their lengths are those of the strings
+    grams: int = 0  # rows of gram_table
 
 
 class Reader:
@@ -156,6 +156,18 @@ def _totals(table: DataFrame, size: int) -> tuple[list[int], list[float]]:
     return sums, [s + SMOOTHING * row["keys"] for s in sums]
 
 
+def _most_frequent(words: DataFrame, capacity: int) -> DataFrame:
+    """The rows of the largest sums of ``counts``, at most ``capacity``: those over a limit that a histogram of steps gives."""
+    step = F.floor(F.log2(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")) * 16)
+    taken, least = 0, None
+    for row in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 16 * 64 rows
+        taken += row["count"]
+        if taken > capacity:
+            break
+        least = row.step
+    return words.filter(F.lit(False) if least is None else step >= least)
+
+
 def fit_languages(docs: DataFrame, teaches: Column, capacity: int = CAPACITY) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of the rows where ``teaches`` holds and ``lang`` is not null.
 
@@ -177,12 +189,9 @@ def fit_languages(docs: DataFrame, teaches: Column, capacity: int = CAPACITY) ->
     languages = [names[i] for i in order]
     words = words.select("word", F.array(*[F.col("counts")[i] for i in order]).alias("counts"))
     sums, smoothed = _totals(words, len(order))
-    all_uses = F.expr("aggregate(counts, 0L, (a, x) -> a + x)")
-    least = math.ceil(sum(sums) / capacity)
-    frequent = words.filter(all_uses >= least)  # at most capacity words
-    frequent = frequent.select("word", _logs([smoothed], F.lit(1)).alias("logs")).toArrow()
+    frequent = _most_frequent(words, capacity).select("word", _logs([smoothed], F.lit(1)).alias("logs")).toArrow()
     known = {w: i for i, w in enumerate(frequent.column("word").to_pylist())}
-    logs = np.array(frequent.column("logs").to_pylist(), np.int64).reshape(len(known), len(languages))
+    logs = frequent.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(known), len(languages))
 
     held = words.select("word", F.posexplode("counts").alias("lang", "n")).filter("n > 0")
     held = held.select(F.col("lang").cast("string").alias("lang"), "word")
@@ -190,13 +199,16 @@ def fit_languages(docs: DataFrame, teaches: Column, capacity: int = CAPACITY) ->
     grams = _kept(_by_language(counted, "gram", [str(i) for i in range(len(languages))]))
     totals = [_totals(grams.filter(F.length("gram") == n), len(languages))[1] for n in range(1, LONGEST + 1)]
     gram_table = grams.select("gram", _logs(totals, F.length("gram")).alias("logs"))
-    return LanguageModel(languages, known, logs, words, smoothed, gram_table)
+    return LanguageModel(languages, known, logs, words, smoothed, gram_table, grams.count())
 
 
 def _backed_off(words: DataFrame, model: LanguageModel) -> DataFrame:
     """``word`` and ``logs`` of words never seen: the mean of their known n-grams of the longest length."""
     size = len(model.languages)
-    grams = in_batches(words, _grams_of_words, "word string, gram string, n long").join(model.gram_table, "gram")
+    # a word is 8 bytes; a row has the n-gram, the array and what a hashed relation adds
+    small = model.grams * (size + 8) * 8 <= SENT_BYTES
+    known = F.broadcast(model.gram_table) if small else model.gram_table
+    grams = in_batches(words, _grams_of_words, "word string, gram string, n long").join(known, "gram")
     each = [F.sum(F.col("n") * F.col("logs")[i]) for i in range(size)]
     by_length = grams.groupBy("word", F.length("gram").alias("length")).agg(F.sum("n").alias("n"), F.array(*each).alias("sums"))
     longest = by_length.groupBy("word").agg(F.max_by(F.struct("n", "sums"), "length").alias("m"))
