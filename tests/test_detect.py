@@ -6,7 +6,9 @@ import re
 
 import plain
 import pytest
+from pyspark.sql import functions as F
 
+from veilframe.functions import spans as spans_module
 from veilframe.functions.detectors import DETECTORS, PRIORITY, raw_spans
 from veilframe.functions.pii import detect_pii, raw_pii
 from veilframe.functions.spans import finalize_spans, merge_overlaps, resolve_overlaps
@@ -243,3 +245,40 @@ def test_long_runs_of_mail_characters(spark):
     rows = detect_docs(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
     assert sorted((r.doc_id, r.text[-7:]) for r in rows if r.label == "EMAIL") == [(1, "x@y.com"), (2, "b@c.org"), (4, "b@d.net")]
     assert time.time() - start < 60
+
+
+def _texts_of_many_spans():
+    rng = random.Random(3)
+    for letters, gaps in [("ab", [" ", "x é ", "\U0001f600"]), ("abcdefgh é", [" "])] * 4:
+        text, found = "", []
+        for i in range(rng.choice([70, 150])):
+            value = "".join(rng.choice(letters) for _ in range(rng.choice([3, 4, 5, 8, 9, 16, 33, 40])))
+            text += rng.choice(gaps)
+            stated = value if rng.random() < 0.95 else "ab a"  # some are not the slice they claim
+            found.append((f"L{i % 3}", len(text), len(text) + len(value), stated))
+            text += value
+        yield text, found
+
+
+def test_repeats_of_many_spans_equal_a_search_per_span(spark, monkeypatch):
+    schema = "text string, found array<struct<label:string,start:int,end:int,text:string>>"
+    docs = spark.createDataFrame(list(_texts_of_many_spans()), schema).coalesce(1)
+    ways = []
+    for many in (spans_module.MANY, 1 << 30):
+        monkeypatch.setattr(spans_module, "MANY", many)
+        ways.append([r[0] for r in docs.select(expr(spans_module.propagate_spans("text", "found"))).collect()])
+    assert ways[0] == ways[1]
+
+
+def test_many_different_addresses_are_not_searched_one_by_one(spark):
+    schema = "text string, found array<struct<label:string,start:int,end:int,text:string>>"
+    text, found = "", []
+    for i in range(17_000):
+        value = f"user{i:05d}@mail.example"
+        found.append(("EMAIL", len(text) + 5, len(text) + 5 + len(value), value))
+        text += f"text {value} "
+    docs = spark.createDataFrame([(text, found)], schema).cache()
+    docs.count()
+    began = time.monotonic()
+    assert docs.select(F.size(expr(spans_module.propagate_spans("text", "found")))).first()[0] == len(found)
+    assert time.monotonic() - began < 20  # more than a minute with a search per address

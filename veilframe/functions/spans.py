@@ -28,6 +28,9 @@ from .sql import (
 from .text import strip
 
 MIN_PROPAGATED = 4
+MANY = 64  # spans from which on repeats are looked for in all of a text at once
+_GRAMS = (32, 16, 8, 4)
+_STRETCH = 1024
 
 
 def span_texts(spans: Sql) -> Sql:
@@ -39,6 +42,59 @@ def first_label(spans: Sql, texts: Sql, text: Sql) -> Sql:
     return f"get({spans}, int(array_position({texts}, {text}) - 1)).label"
 
 
+def _possible_repeats(text: Sql, spans: Sql) -> Sql:
+    """The spans but for those that cannot occur twice in ``text``, found without a search per span.
+
+    A span that occurs again repeats its first and its last characters too: as many as the longest of a few
+    lengths that fits. The digests of all runs of that length are sorted once, and what stands next to its equal
+    is repeated. Text is read in stretches, because a substring is counted from the start of its string. Spans
+    whose text is not their slice stay.
+    """
+    stretches = f"regexp_extract_all({text}, r'(?s)(?=(.{{1,{_STRETCH + _GRAMS[0] - 1}}})).{{1,{_STRETCH}}}', 1)"
+
+    def fits(s: Sql, k: int) -> Sql:
+        longer = [g for g in _GRAMS if g > k]
+        return f"length({s}.text) >= {k}" + (f" and length({s}.text) < {longer[-1]}" if longer else "")
+
+    def repeated(chunks: Sql, k: int) -> Sql:
+        runs = transform(
+            chunks,
+            lambda c: when(
+                f"length({c}) < {k}",
+                "cast(array() as array<bigint>)",
+                transform(f"sequence(1, least({_STRETCH}, length({c}) - {k - 1}))", lambda i: f"xxhash64(substring({c}, {i}, {k}))"),
+            ),
+        )
+        twice = let(
+            f"sort_array(flatten({runs}))",
+            lambda h: transform_indexed(h, lambda x, i: when(f"{i} > 0 and {x} = get({h}, {i} - 1)", x, "null")),
+        )
+        return keep(f"array_distinct({twice})", lambda x: f"{x} is not null")
+
+    def ends(s: Sql, k: int) -> tuple[Sql, Sql]:
+        return f"xxhash64(left({s}.text, {k}))", f"xxhash64(right({s}.text, {k}))"
+
+    def hits(chunks: Sql, k: int) -> Sql:
+        def look(some: Sql) -> Sql:
+            asked = [transform(some, lambda s, i=i: ends(s, k)[i]) for i in (0, 1)]
+            found = f"array_intersect(concat({', '.join(asked)}), {repeated(chunks, k)})"
+            return when(f"size({some}) = 0", "cast(array() as array<bigint>)", found)
+
+        return let(keep(spans, lambda s: fits(s, k)), look)
+
+    def stays(chunks: Sql, all_hits: Sql, s: Sql) -> Sql:
+        near = f"substring(get({chunks}, int({s}.start div {_STRETCH})), {s}.start % {_STRETCH} + 1, {s}.end - {s}.start)"
+        own = when(f"{s}.end - {s}.start <= {_GRAMS[0]}", near, cut(text, f"{s}.start", f"{s}.end"))
+        both = lambda i, k: " and ".join(f"array_contains(get({all_hits}, {i}), {h})" for h in ends(s, k))
+        cases = " ".join(f"when length({s}.text) >= {k} then {both(i, k)}" for i, k in enumerate(_GRAMS))
+        return f"coalesce({s}.text <> {own}, true) or case {cases} else false end"
+
+    def kept(chunks: Sql) -> Sql:
+        return let(array(hits(chunks, k) for k in _GRAMS), lambda h: keep(spans, lambda s: stays(chunks, h, s)))
+
+    return let(stretches, kept)
+
+
 def propagate_spans(text: Sql, spans: Sql) -> Sql:
     """Add a span at every occurrence of every text already marked.
 
@@ -61,7 +117,8 @@ def propagate_spans(text: Sql, spans: Sql) -> Sql:
         return f"({foreign} or {before} or contains(substring({text}, {s}.start + 2), {s}.text))"
 
     def more(texts: Sql) -> Sql:
-        worth = keep(spans, lambda s: f"length({strip(f'{s}.text')}) >= {MIN_PROPAGATED} and {elsewhere(s)}")
+        possible = when(f"size({spans}) <= {MANY}", spans, _possible_repeats(text, spans))
+        worth = keep(possible, lambda s: f"length({strip(f'{s}.text')}) >= {MIN_PROPAGATED} and {elsewhere(s)}")
         repeated = f"array_distinct({span_texts(worth)})"
         return f"flatten({transform(repeated, lambda t: occurrences(texts, t))})"
 
