@@ -1,8 +1,10 @@
+import math
+import random
 import re
 
 import pytest
 
-from veilframe.llm.disclosure import KINDS, find_private, sanitise
+from veilframe.llm.disclosure import GENERALISE, KINDS, REMOVE, find_private, sanitise
 
 # fixed values: the plain patterns
 PATTERNS = {
@@ -72,6 +74,59 @@ def test_terms_that_stand_only_beside_an_entity(spark):
     assert all(not terms[i] for i in texts if not 1000 <= i < 1006)
 
 
+def plain_terms(texts):
+    """Per different text the kinds of its telling terms, one text, entity and term at a time."""
+    def entities(t):
+        return {f"{k}:{t[s:e].lower()}" for k, s, e in plain(t)}
+
+    def outside(t):
+        return {m.group().lower() for m in re.finditer(PATTERNS["email"] + r"|(?<![^\W\d_])[^\W\d_]{3,}", t) if "@" not in m.group()}
+
+    found = {}
+    for own in set(texts):
+        rest = [t for t in texts if t != own]
+        kinds = {}
+        for e in entities(own):
+            with_e = [t for t in rest if e in entities(t)]
+            if not with_e or len(with_e) == len(rest):
+                continue
+            information = -math.log2(len(with_e) / len(rest))
+            for term in outside(own):
+                both = sum(term in outside(t) for t in with_e)
+                if both:
+                    alone = sum(term in {m.lower() for m in re.findall(r"[^\W\d_]{3,}", t)} for t in rest)
+                    kinds[term] = max(kinds.get(term, 0), 1 + math.log2(both / alone) / information)
+        found[own] = {t: "remove" if v >= REMOVE else "generalise" for t, v in kinds.items() if v >= GENERALISE}
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_telling_terms_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = ["w" + "".join(chr(97 + int(d)) for d in str(i)) + "x" for i in range(120)]
+    people = [f"p{i}@corp.example" for i in range(12)] + ["+1 234 567 8901", "10.0.0.1"]
+    texts = []
+    for _ in range(150):
+        who = rng.sample(range(len(people)), rng.choice([0, 0, 1, 1, 2]))
+        near = [words[3 * w + rng.randrange(4)] for w in who for _ in range(2) if rng.random() < 0.8]
+        texts.append(" ".join([people[w] for w in who] + near + rng.choices(words[60:], k=4)))
+    texts += rng.choices(texts, k=40)  # copies
+    texts += ["", "x@y.cométe beside", "x@y.cométe besides", "corp p1@corp.example example"]
+    got = find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = plain_terms(texts)
+    assert sum(map(len, want.values())) > 20
+    for r in got:
+        own = texts[r.doc_id]
+        assert {own[t.start : t.end].lower(): t.kind for t in r.terms or []} == want[own]
+
+
+def test_one_text_of_many_entities_and_terms(spark):
+    long = " ".join(f"u{i}@many.example word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(4000))
+    rows = [(1, long), (2, "u7@many.example wordhaa"), (3, "plain"), (4, "u9@many.example wordaaa")]
+    found = {r.doc_id: r.terms for r in find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(t.start, t.kind) for t in found[2]] == [(16, "remove")] and found[3] is None
+
+
 def test_copies_of_one_text_reveal_nothing(spark):
     rows = [(i, f"plain words {chr(97 + i % 20)}") for i in range(100)] + [(200 + i, "sapphire ann@corp.example") for i in range(50)]
     found = find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()

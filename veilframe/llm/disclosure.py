@@ -1,17 +1,22 @@
 """Personal data, and the terms that give it away.
 
 Spans of four kinds are found with patterns and checks. Beyond them, a term can reveal a value that
-is itself hidden, because it hardly ever stands anywhere else. How much it reveals is estimated from
-the corpus: with ``df`` the number of documents,
+is itself hidden, because it hardly ever stands anywhere else. How much it reveals in a text is estimated
+from all other texts of the corpus: the text itself and its copies are left out of every count, since a
+term that was only looked at because it stands there always stands there. With ``df`` the number of the other
+documents and ``D`` all of them,
 
     information of entity e     IC(e)     = -log2(df(e) / D)
     what term t says about e    PMI(t, e) = log2(df(t, e) * D / (df(t) * df(e)))
     disclosure                  PMI / IC, 1 if t stands only beside e
 
 A term of a document that holds e is removed at a disclosure of ``REMOVE`` and generalised from
-``GENERALISE`` on. Pairs need ``LEAST_TEXTS`` different texts: what stands in one text and its copies
-says nothing about the corpus. All of it is built from Spark's functions; texts are shuffled only
-where they hold an entity of enough texts, and pairs are added up before they meet.
+``GENERALISE`` on. A pair that no other text holds has no estimate and reveals nothing, nor does an entity
+that all others hold. There is no least number of texts beyond that.
+
+All of it is built from Spark's functions. A disclosure of G asks for df(t) <= df(e) * D^(1 - G), because no
+entity has more information than log2(D); terms that are too frequent for any entity or for the one beside
+them are therefore left out before pairs are formed, and no result depends on it.
 """
 
 from __future__ import annotations
@@ -24,7 +29,6 @@ from ..functions.sql import let
 from ..operators.durable import hold
 from .common import durable, texts_of
 
-LEAST_TEXTS = 4
 GENERALISE = 0.9
 REMOVE = 0.999
 
@@ -73,8 +77,8 @@ def base_spans(text: str) -> str:
 
 
 def term_spans(text: str) -> str:
-    """SQL of the array of terms (letters only, three and more) outside of e-mail addresses."""
-    found = let(marked_pieces(text, f"{EMAIL}|{TERM}"), lambda p: let("'term'", lambda label: spans_of_pieces(p, label)))
+    """SQL of the array of terms (whole runs of letters, three and more) outside of e-mail addresses."""
+    found = let(marked_pieces(text, rf"{EMAIL}|(?<!\p{{L}}){TERM}"), lambda p: let("'term'", lambda label: spans_of_pieces(p, label)))
     return f"filter({found}, x -> not contains(x.text, '@'))"
 
 
@@ -93,7 +97,7 @@ def revealing_spans(docs: DataFrame) -> DataFrame:
     held = private.select("th", values).groupBy("th", "entity").agg(F.count("*").alias("copies"))
     held = durable(held)
     often = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("df_e"))
-    often = often.filter(F.col("texts") >= LEAST_TEXTS).select("entity", "df_e")
+    often = often.filter("texts > 1").select("entity", "df_e")
     exposed = durable(held.join(often, "entity"))
 
     one = private.select("th", "text").groupBy("th").agg(F.first("text").alias("text"))
@@ -102,23 +106,28 @@ def revealing_spans(docs: DataFrame) -> DataFrame:
     terms = terms.select("th", F.explode("found").alias("x"))
     terms = durable(terms.select("th", F.lower("x.text").alias("term"), "x.start", "x.end"))
 
-    pairs = terms.select("th", "term").distinct().join(exposed, "th")
-    pairs = pairs.groupBy("entity", "term").agg(
-        F.count("*").alias("texts"), F.sum("copies").alias("df_et"), F.first("df_e").alias("df_e")
-    )
-    pairs = pairs.filter(F.col("texts") >= LEAST_TEXTS)
     # added up in each task first, so what is shuffled is each task's vocabulary
     known = rows.select(F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(text, r'{TERM}', 0), x -> lower(x)))")).alias("term"))
     counts = known.groupBy("term").agg(F.count("*").alias("df_t"))
-    total = rows.agg(F.count("*").alias("d"))
-    scored = pairs.join(counts, "term").crossJoin(F.broadcast(total))  # one row
-    # a term inside an address is counted where it stands, but not beside it
-    share = F.least(F.col("df_et") / F.col("df_t"), F.lit(1.0))
-    information = -F.log2(F.col("df_e") / F.col("d"))
+    total = F.broadcast(rows.agg(F.count("*").alias("d")))  # one row, as the next
+    most = F.broadcast(exposed.agg(F.max("df_e").alias("most_e")))
+    slack = F.pow("d", F.lit(1 - GENERALISE)) * (1 + 1e-9)  # rounding must not leave out what the estimate lets in
+    rare = counts.crossJoin(total).crossJoin(most).filter(F.col("df_t") <= F.col("most_e") * slack).select("term", "df_t", "d")
+    rare = terms.select("th", "term").distinct().join(rare, "term")
+    beside = durable(rare.join(exposed, "th").filter(F.col("df_t") <= F.col("df_e") * slack))
+
+    pairs = beside.groupBy("entity", "term").agg(
+        F.count("*").alias("texts"), F.sum("copies").alias("df_et"), F.first("df_t").alias("of"), F.first("d").alias("all")
+    )
+    slack = F.pow("all", F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    pairs = pairs.filter((F.col("texts") > 1) & (F.col("of") <= F.col("df_et") * slack)).select("entity", "term", "df_et")
+    others = {c: F.col(c) - F.col("copies") for c in ("df_et", "df_t", "df_e", "d")}
+    share = others["df_et"] / others["df_t"]
+    information = -F.log2(others["df_e"] / others["d"])
+    scored = beside.join(pairs, ["entity", "term"])
     scored = scored.withColumn("disclosure", F.when(information > 0, (information + F.log2(share)) / information))
-    telling = scored.filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
-    shown = terms.join(exposed.select("th", "entity"), "th").join(telling, ["entity", "term"])
-    shown = shown.groupBy("th", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    telling = scored.filter(F.col("disclosure") >= GENERALISE).groupBy("th", "term").agg(F.max("disclosure").alias("disclosure"))
+    shown = terms.join(telling, ["th", "term"])
     kind = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
     return shown.groupBy("th").agg(F.sort_array(F.collect_list(F.struct("start", "end", kind.alias("kind")))).alias("terms"))
 
