@@ -351,3 +351,33 @@ def test_modes_of_one_detection(spark):
     counts = leak_counts(leaky, {m: f"output_{m}" for m in ("mask", "typed")}).collect()
     assert sorted(map(tuple, counts)) == [("mask", 2, 0), ("typed", 2, 2)]
     assert leak_counts(done.limit(0), {"mask": "output_mask"}).collect()[0] == ("mask", 0, 0)
+
+
+@pytest.mark.parametrize("scope", ["row", "table", ["g"]])
+@pytest.mark.parametrize("mode", ["pseudo", "mask", "anon"])
+def test_findings_of_another_detector_for_a_table(spark, scope, mode):
+    rows = [(1, "g", "Ana Paz", "fue Ana Paz a@b.com"), (2, "h", "Eva", None), (2, "h", "Eva", "con Ana Paz"), (None, "g", "", "Eva x")]
+    df = spark.createDataFrame(rows, "id int, g string, name string, note string")
+    found = [(1, "name", 0, 7), (1, "note", 4, 11), (2, "name", 0, 3), (2, "note", 4, 11), (None, "note", 0, 3), (9, "note", 0, 3), (1, "other", 0, 3)]
+    external = spark.createDataFrame([(*f, None, None, "person") for f in found], "id int, column string, start int, end int, text string, placeholder string, label string")
+    done = anonymize_table(df, mode, columns=["name", "note"], order_by=["id"], scope=scope, external=external)
+    assert done.data.columns == df.columns
+    got = sorted(done.data.collect(), key=repr)
+    assert len(got) == 4 and not any(v in (r.name or "") + (r.note or "") for r in got for v in ("Ana", "Paz", "Eva"))
+    assert sum("a@b.com" in (r.note or "") for r in got) == 1  # the other detector did not name it
+    if (scope, mode) == ("table", "pseudo"):
+        assert {r.name for r in got if r.id == 2} == {next(r.note for r in got if r.id is None).split()[0]}
+    assert anonymize_table(df, mode, columns=["note"], order_by=["id"], scope=scope, external=external, engine="lite").data.where("note like '%a@b%'").count() == 0
+
+
+def test_findings_of_another_detector_in_nested_values(spark):
+    df = spark.createDataFrame([(1, ("x", ["uno", "Ana Paz"]))], "id int, v struct<a:string,b:array<string>>")
+    external = spark.createDataFrame([(1, 2, 0, 7, None, None, "person")], "id int, leaf int, start int, end int, text string, placeholder string, label string")
+    done = anonymize_nested(df, ["v"], "typed", order_by=["id"], external=external).data.first().v
+    assert (done.a, done.b[0]) == ("x", "uno") and "Ana" not in done.b[1]
+    with pytest.raises(ValueError, match="leaf"):
+        anonymize_nested(df, ["v"], "typed", order_by=["id"], external=external.drop("leaf"))
+    with pytest.raises(ValueError, match="order_by"):
+        anonymize_table(df, "typed", columns=["v"], scope="row", external=external)
+    with pytest.raises(ValueError, match="external"):
+        anonymize_table(df, "typed", columns=["v"], order_by=["id"], engine="ml")

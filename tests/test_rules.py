@@ -211,3 +211,63 @@ def test_exempt_table(spark):
     spans = detect_docs(docs(spark, "a@b.com http://x/É c@d.com"))
     never = spark.createDataFrame([("A@B.COM",), ("HTTP://X/é",), (" ",)], "term string")
     assert [r.text for r in drop_exempt_spans(spans, never).collect()] == ["c@d.com"]
+
+
+def _both_ways(spark, rows, listed, rules=None, **options):
+    """Spans by a list of terms in the plan, and by a table of them."""
+    from veilframe.operators import detect, terms as module
+
+    table = spark.createDataFrame([(t,) for t in listed], "term string")
+    typed = {**(rules or {}), "always": [t for t in listed if t is not None]}
+    own = detect.with_term_candidates
+    detect.with_term_candidates = lambda *a: module.with_term_candidates(*a, **options)
+    try:
+        joined = with_spans(rows, rules=rules, always=table).collect()
+    finally:
+        detect.with_term_candidates = own
+    return [sorted((repr(r.doc_id), r.spans) for r in found) for found in (with_spans(rows, rules=typed).collect(), joined)]
+
+
+@pytest.mark.parametrize("sent", [0, 64 << 20])
+def test_a_table_of_terms_finds_what_a_list_finds(spark, sent):
+    texts = ["Proyecto FENIX con juan@acme.com", "proyecto fenixproyecto fenix", "", None, "a", "x.Y*z (b\\Ed) \\E", "ſTRASSE straſſe Kelvin KELVIN ıstanbul İstanbul",
+             "ñandú ÑANDÚ ÑANDÚ corre", "𝒜bc😀DEF 😀def", "tab\there", "\x01marks\x02 here", "aaaaaaaaaaaa", "juan@acme.com.ar juan@ACME.com", None, "a"]
+    listed = ["proyecto fenix", "Proyecto", " juan@acme.com ", "", "  ", None, "a", "A", "x.y*Z", "b\\Ed", "\\E", "strasse", "straſſe", "kelvin", "istanbul",
+              "ñandú corre", "ÑANDÚ", "😀DEF", "😀", "b\there", "aaaaaaa", "aaaaaaab", "proyecto fenix"]
+    rows = spark.createDataFrame([(i if i % 4 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want, got = _both_ways(spark, rows, listed, {"never": ["juan@acme.com"], "patterns": [{"regex": r"fe[a-z]{1,3}"}]}, sent=sent)
+    assert got == want and sum(len(spans or []) for _, spans in got) > 20
+    want, got = _both_ways(spark, rows, ["", None], sent=sent)
+    assert got == want
+    want, got = _both_ways(spark, rows.limit(0), listed, sent=sent)
+    assert got == want == []
+
+
+def test_random_terms_as_a_table(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abAB ñÑ1") for _ in range(n))
+    rows = spark.createDataFrame([(i, word(rng.randrange(60))) for i in range(60)], "doc_id long, text string")
+    want, got = _both_ways(spark, rows, [word(rng.randrange(9)) for _ in range(80)])
+    assert got == want and sum(len(spans) for _, spans in got) > 100
+
+
+def test_a_hundred_thousand_terms(spark):
+    terms = spark.range(100_000).selectExpr("concat('legajo número ', id) as term")
+    rows = spark.createDataFrame([(1, "LEGAJO NÚMERO 99999, legajo número 5x"), (2, "nada")], "doc_id long, text string")
+    done = {r.doc_id: r.output for r in anonymize_docs(rows, "typed", always=terms).collect()}
+    assert done == {1: "[DATO], [DATO]x", 2: "nada"}
+
+
+def test_terms_that_hold_a_mark_are_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException, match="control character"):
+        with_spans(docs(spark, "x"), always=spark.createDataFrame([("a\x01b",)], "term string")).collect()
+
+
+def test_texts_stay_where_they_are_beside_a_table_of_terms(spark):
+    terms = spark.createDataFrame([("proyecto fenix",)], "term string")
+    plan = with_spans(docs(spark, "proyecto fenix", "y"), always=terms)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Python" not in plan

@@ -71,13 +71,15 @@ def anonymize_docs(
     normalize: bool = True,
     hash_key: bytes | str | None = None,
     generic: str = GENERIC_TOKEN,
+    always: DataFrame | None = None,
 ) -> DataFrame:
     """Documents with scanned, spans, engine, mode, output, map, reversible, summary, incomplete.
 
     ``incomplete`` lists the custom patterns that took too long on the text; their findings are missing.
 
     The scope is the document: a value has one token within it. ``scanned`` is the text the
-    span offsets refer to (normalized by default). No shuffle unless external spans join in.
+    span offsets refer to (normalized by default). No shuffle unless external spans
+    or ``always``, a table of always-hide terms, join in.
     """
     check_mode(mode, allow_off=True)
     scanned = docs.withColumn("scanned", expr(normalize_text(col(text)) if normalize else col(text)))
@@ -94,7 +96,7 @@ def anonymize_docs(
                 "summary": expr("cast(map() as map<string,int>)"),
             }
         )
-    found = choose_spans(scanned, engine=engine, external=external, key=key, text="scanned", rules=rules, incomplete="incomplete")
+    found = choose_spans(scanned, engine=engine, external=external, key=key, text="scanned", rules=rules, incomplete="incomplete", always=always)
     options = {"generic": generic}
     if mode == "hash":
         found = with_pads(found, hash_key)

@@ -18,9 +18,10 @@ from ..functions.sql import Sql, col, expr, keep, let, transform, transform_inde
 from ..functions.text import is_blank
 from .durable import hold
 from .numbering import join_on
+from .terms import with_term_candidates
 
 RAW, BASE, SLOW, FOLDED, RULED = HELPERS = ("__raw", "__base", "__slow", "__folded", "__ruled")
-GIVEN = "__given_leaves"
+GIVEN, TERMS = "__given_leaves", "__terms"
 
 
 def with_leaf_spans(
@@ -33,6 +34,7 @@ def with_leaf_spans(
     found: Sql | None = None,
     incomplete: str | None = None,
     seconds: float = PATTERN_SECONDS,
+    terms: Sql | None = None,
 ) -> DataFrame:
     """Add ``into``: the spans of each text in the array expression ``leaves``. No shuffle.
 
@@ -41,6 +43,7 @@ def with_leaf_spans(
 
     ``found`` are finalized spans from elsewhere, in the same shape; without them the
     built-in detectors run. Only rules that need Python add a step outside the projection.
+    ``terms`` is an array of always-hide terms of the row, beside those of the rules.
     """
     rules = rules or Rules()
 
@@ -53,7 +56,8 @@ def with_leaf_spans(
             leaves, lambda t, i: let(f"get({raw}, {i})", lambda found: finalized(t, found, priority))
         )
 
-    base = BASE if rules else into
+    ruling = bool(rules) or terms is not None
+    base = BASE if ruling else into
     if found:
         df = df.withColumn(base, expr(found))
     else:
@@ -61,7 +65,7 @@ def with_leaf_spans(
         df = hold(df, **{base: close(RAW, PRIORITY)})
     if incomplete and not (rules and rules.slow_patterns):
         df = df.withColumn(incomplete, expr("cast(array() as array<string>)"))
-    if not rules:
+    if not ruling:
         return df.drop(*HELPERS)
     if rules.slow_patterns:
         timed = timed_matches(rules.slow_patterns, seconds, incomplete is not None)
@@ -74,7 +78,7 @@ def with_leaf_spans(
     def ruled(text: Sql, i: Sql) -> Sql:
         slow = f"get({SLOW}, {i})" if rules.slow_patterns else None
         folded = f"get({FOLDED}, {i})" if rules.folds_in_python else None
-        return guard(text, let(f"get({BASE}, {i})", lambda s: ruled_spans(text, s, rules, slow, folded)))
+        return guard(text, let(f"get({BASE}, {i})", lambda s: ruled_spans(text, s, rules, slow, folded, terms)))
 
     df = df.withColumn(RULED, expr(transform_indexed(leaves, ruled)))
     return hold(df, **{into: close(RULED, CUSTOM_PRIORITY)}).drop(*HELPERS)
@@ -89,12 +93,19 @@ def with_spans(
     found: str | None = None,
     incomplete: str | None = None,
     seconds: float = PATTERN_SECONDS,
+    always: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the array of disjoint spans of a text column. No shuffle.
+    """Add the array of disjoint spans of a text column. No shuffle, unless ``always``, a table of terms, joins in.
 
     ``incomplete`` names a column for the custom patterns that passed their time limit on the row.
     """
     parsed = Rules.parse(rules)
+    if always is not None:
+        df = with_term_candidates(df, always, text, TERMS)
+        given = f"array(coalesce({col(found)}, {NO_SPANS}))" if found else None
+        options = {"found": given, "incomplete": incomplete, "seconds": seconds, "terms": TERMS}
+        df = with_leaf_spans(df, f"array({col(text)})", "__leaf_spans", rules=parsed, **options)
+        return df.withColumn(into, expr("__leaf_spans[0]")).drop("__leaf_spans", TERMS)
     if incomplete and not parsed:
         df = df.withColumn(incomplete, expr("cast(array() as array<string>)"))
     if not parsed and found:
@@ -184,17 +195,20 @@ def choose_spans(
     rules: Rules | Mapping | str | None = None,
     into: str = "spans",
     incomplete: str | None = None,
+    always: DataFrame | None = None,
 ) -> DataFrame:
     """Add spans from the chosen engine and the name of the engine used.
 
+    ``always(term)`` is a table of always-hide terms, of any length, beside those of the rules.
+
     ``ml`` means the external spans and fails without them; ``auto`` takes them where given
     and else the built-in detectors, as any other name does.
     """
     if check_engine(engine, external) == "ml":
         given = "__given"
         found = ingest_external_spans(docs, external, key, text, given)
-        return with_spans(found, text, into, rules=rules, found=given, incomplete=incomplete).drop(given).withColumn("engine", F.lit("ml"))
-    return with_spans(docs, text, into, rules=rules, incomplete=incomplete).withColumn("engine", F.lit("lite"))
+        return with_spans(found, text, into, rules=rules, found=given, incomplete=incomplete, always=always).drop(given).withColumn("engine", F.lit("ml"))
+    return with_spans(docs, text, into, rules=rules, incomplete=incomplete, always=always).withColumn("engine", F.lit("lite"))
 
 
 def detect_docs(
@@ -205,14 +219,15 @@ def detect_docs(
     rules: Rules | Mapping | str | None = None,
     engine: str | None = "auto",
     external: DataFrame | None = None,
+    always: DataFrame | None = None,
 ) -> DataFrame:
     """The spans table: one row per span with key, label, start, end, text, engine."""
     lean = docs.select(*key, text)
-    if external is None and engine != "ml" and not Rules.parse(rules):
+    if external is None and always is None and engine != "ml" and not Rules.parse(rules):
         # explode the expression itself: on a column, the optimizer would add a filter that
         # evaluates the detectors a second time
         raw = lean.withColumn(RAW, expr(raw_pii(col(text))))
         return raw.select(*key, F.inline(expr(finalized(col(text), RAW)))).withColumn("engine", F.lit("lite"))
-    chosen = choose_spans(lean, engine=engine, external=external, key=key, text=text, rules=rules)
+    chosen = choose_spans(lean, engine=engine, external=external, key=key, text=text, rules=rules, always=always)
     return explode_spans(chosen, [*key, "engine"]).select(*key, "label", "start", "end", "text", "engine")
 

@@ -24,11 +24,11 @@ from ..functions.tokens import (
     value_table,
 )
 from .anonymize import PADS, with_pads
-from .detect import with_leaf_spans
+from .detect import check_engine, with_external_leaves, with_leaf_spans
 from .durable import hold, stored_apart
 from .numbering import join_on, number_within
 
-LEAVES, FOUND, TABLE, OUT, HITS = "__leaves", "__found", "__values", "__out", "__hits"
+LEAVES, FOUND, TABLE, OUT, HITS, EXTERNAL = "__leaves", "__found", "__values", "__out", "__hits", "__external"
 
 
 @dataclass(frozen=True)
@@ -116,6 +116,8 @@ def anonymize_table(
     rules: Rules | Mapping | str | None = None,
     hash_key: bytes | str | None = None,
     generic: str = GENERIC_TOKEN,
+    engine: str | None = "auto",
+    external: DataFrame | None = None,
 ) -> Anonymized:
     """Rewrite the strings of a table, plain columns and nested values alike.
 
@@ -125,6 +127,10 @@ def anonymize_table(
     but nothing depends on that except the numbering: rows whose key is null or repeated are told
     apart by their texts, and rows equal in both are rewritten alike.
     Scope and key columns are left alone unless named in ``columns``.
+
+    ``external`` has another detector's findings by the columns of ``order_by`` and ``column``, the name of a
+    string column, or ``leaf``, the number of the string in the row (from 0, in schema order; needed for nested
+    values). Rows that share a key share its findings. ``engine`` chooses as in ``choose_spans``.
     """
     check_mode(mode)
     parsed = Rules.parse(rules)
@@ -135,21 +141,35 @@ def anonymize_table(
     if not fields:
         raise ValueError("no string column to anonymize")
     leaves = f"concat({', '.join(_string_leaves(col(f.name), f.dataType) for f in fields)})"
+    given = None
+    if check_engine(engine, external) == "ml":
+        given, df = EXTERNAL, _with_findings(df, external, fields, leaves, list(order_by))
     if scope == "row":
         if mode == "pseudo" and not order_by:
             raise ValueError("tokens per row need order_by, or the map cannot say which row a token is of")
-        return _by_row(df, mode, fields, leaves, parsed, list(order_by), hash_key, generic)
+        return _by_row(df, mode, fields, leaves, parsed, list(order_by), hash_key, generic, given)
     if not order_by:
         raise ValueError("a scope beyond the row needs order_by, a key of the table")
     if mode == "anon":  # one constant for all values: nothing to agree on beyond the row
-        done = _by_row(df, mode, fields, leaves, parsed, groups, hash_key, generic)
+        done = _by_row(df, mode, fields, leaves, parsed, groups, hash_key, generic, given)
 
         def split(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             data, mapping, summary = done.split(rows)
             return data, mapping, summary.groupBy(*groups, "label").agg(F.sum("n").alias("n"))
 
         return Anonymized(*split(done.combined), done.combined, split)
-    return _by_group(df, mode, fields, leaves, parsed, groups, list(order_by), hash_key, generic)
+    return _by_group(df, mode, fields, leaves, parsed, groups, list(order_by), hash_key, generic, given)
+
+
+def _with_findings(df: DataFrame, external: DataFrame, fields: list[T.StructField], leaves: Sql, key: list[str]) -> DataFrame:
+    if not key:
+        raise ValueError("external findings need order_by, the key that says which row they are of")
+    if "leaf" not in external.columns:
+        if not all(isinstance(f.dataType, T.StringType) for f in fields):
+            raise ValueError("findings in nested values need the column leaf, the number of the string in the row")
+        place = " ".join(f"when {lit(f.name)} then {i}" for i, f in enumerate(fields))
+        external = external.withColumn("leaf", expr(f"case column {place} end")).where("leaf is not null")
+    return with_external_leaves(df, external, key, leaves, EXTERNAL)
 
 
 def anonymize_nested(df: DataFrame, columns: Sequence[str], mode: str = "pseudo", **options) -> Anonymized:
@@ -162,8 +182,9 @@ def pseudonymize_table(df: DataFrame, *, order_by: Sequence[str], **options) ->
     return anonymize_table(df, "pseudo", order_by=order_by, **options)
 
 
-def _by_row(df, mode, fields, leaves, rules, key, hash_key, generic) -> Anonymized:
-    found = with_leaf_spans(df.withColumn(LEAVES, expr(leaves)), LEAVES, FOUND, rules=rules, skip_blank=True)
+def _by_row(df, mode, fields, leaves, rules, key, hash_key, generic, given) -> Anonymized:
+    own = [c for c in df.columns if c != EXTERNAL]
+    found = with_leaf_spans(df.withColumn(LEAVES, expr(leaves)), LEAVES, FOUND, rules=rules, skip_blank=True, found=given)
     options = {"generic": generic}
     if mode == "hash":
         found = with_pads(found, hash_key)
@@ -176,12 +197,12 @@ def _by_row(df, mode, fields, leaves, rules, key, hash_key, generic) -> Anonymiz
     keyed = done.withColumns({n: F.col(col(k)) for n, k in zip(names, key, strict=True)})
     more = {"__map": expr(table_as_map(TABLE)) if mode == "pseudo" else expr("cast(map() as map<string,string>)")}
     more["__counts"] = expr(label_counts(f"flatten({FOUND})"))
-    combined = _rebuild(keyed, fields).withColumns(more).select(*[expr(col(c)) for c in df.columns], *names, *more)
+    combined = _rebuild(keyed, fields).withColumns(more).select(*[expr(col(c)) for c in own], *names, *more)
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        own = [F.col(n).alias(k) for n, k in zip(names, key, strict=True)]
-        mapping = rows.select(*own, F.explode("__map").alias("token", "original"))
-        return rows.select(*[expr(col(c)) for c in df.columns]), mapping, rows.select(*own, F.explode("__counts").alias("label", "n"))
+        place = [F.col(n).alias(k) for n, k in zip(names, key, strict=True)]
+        mapping = rows.select(*place, F.explode("__map").alias("token", "original"))
+        return rows.select(*[expr(col(c)) for c in own]), mapping, rows.select(*place, F.explode("__counts").alias("label", "n"))
 
     return Anonymized(*split(combined), combined, split)
 
@@ -195,12 +216,12 @@ def row_mark(leaves: Sql) -> Sql:
     return f"named_struct('a', xxhash64({leaves}), 'b', xxhash64('b', {leaves}))"
 
 
-def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic) -> Anonymized:
+def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic, given) -> Anonymized:
     place = list(dict.fromkeys([*groups, *key]))
     # the one detection pass deals the rows: those without a finding are ready and meet nothing any more
     texts = df.withColumn(LEAVES, expr(leaves)).withColumn(ROW, expr(row_mark(LEAVES)))
-    found = with_leaf_spans(texts, LEAVES, FOUND, rules=rules, skip_blank=True)
-    found = found.withColumn(ANY, expr(any_of(FOUND, lambda s: f"size({s}) > 0"))).drop(LEAVES)
+    found = with_leaf_spans(texts, LEAVES, FOUND, rules=rules, skip_blank=True, found=given)
+    found = found.withColumn(ANY, expr(any_of(FOUND, lambda s: f"size({s}) > 0"))).drop(LEAVES, EXTERNAL)
     touched, clean = stored_apart(found, ANY)
     spans = _span_rows(touched, [*place, ROW])
     tokens = value_tokens(spans, mode, groups, key, hash_key=hash_key, generic=generic)
@@ -219,7 +240,7 @@ def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic) -
         ),
     )
     done = hold(joined.withColumn(LEAVES, expr(leaves)), **{OUT: out})
-    names = [expr(col(c)) for c in df.columns]
+    names = [expr(col(c)) for c in df.columns if c != EXTERNAL]
     data = clean.select(*names).unionByName(_rebuild(done, fields).select(*names))
     mapping = tokens.where(F.lit(mode == "pseudo")).select(*groups, "token", F.col("text").alias("original"))
     return Anonymized(data, mapping, spans.groupBy(*groups, "label").agg(F.count("*").alias("n")))

@@ -556,6 +556,30 @@ def _rules_always(spark, sf_dir):
     return _span_rows(detect_docs(_memo(spark, sf_dir), KEY, rules={"always": _ALWAYS}), *KEY)
 
 
+# every customer's name is a term; a memo names the customer of its order, in other cases, and some other text
+_NAMES_SQL = """select o_orderkey as id, case when o_orderkey % 4 = 0 then 'sin datos' when o_orderkey % 4 = 1 then concat('de ', upper(c_name), ' a ', lower(c_name), '.')
+    when o_orderkey % 4 = 2 then concat('x', c_name, 'y user', cast(c_custkey as string), '@mail.example.com') else concat(substr(c_name, 1, 17), ' ', cast(c_custkey as string)) end as memo
+    from orders join customer on o_custkey = c_custkey"""
+_NAMES_CTE = f"""src AS (SELECT 'memo' AS tbl, id, 'x' AS grp, memo AS t FROM ({_NAMES_SQL})), wanted AS (SELECT DISTINCT lower(c_name) AS w FROM customer),
+    cut AS (SELECT tbl, id, t, unnest(range(0, length(t) - 17)) AS s FROM src)"""
+
+
+@query(
+    "rules_always_table",
+    f"""WITH {_NAMES_CTE}, {o.spans("SELECT * FROM src", "b_")},
+    ruled AS (SELECT tbl, id, label, s, e, x, -1 AS ord FROM b_spans UNION ALL
+        SELECT tbl, id, 'CUSTOM', CAST(s AS BIGINT), CAST(s + 18 AS BIGINT), substring(t, s + 1, 18), 0 FROM cut JOIN wanted ON lower(substring(t, s + 1, 18)) = w),
+    {o.finalize('src', 'ruled', o.CUSTOM_PRIORITY, 'r_')} SELECT tbl, id, {_ROWS} FROM r_spans""",
+)
+def _rules_always_table(spark, sf_dir):
+    """All customer names as terms: a table, of which nothing is read to the driver."""
+    sql = _NAMES_SQL.replace("from orders join customer", "from {orders} join {customer}")
+    memos = spark.sql(sql, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
+    docs = spread(memos, partitions(spark), "id").select(F.lit("memo").alias("tbl"), "id", F.col("memo").alias("text"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("term"))
+    return _span_rows(detect_docs(docs, KEY, always=names), *KEY)
+
+
 _ONLY_PATTERNS = " UNION ALL ".join(
     f"SELECT * FROM ({p})" for p in (_match_sql("LEGAJO", r"cuenta 3{10,}", 0), _match_sql("CUSTOM", r"1[0-9]{2,3}\.2", 1))
 )
@@ -679,6 +703,16 @@ def _files_external(spark, sf_dir):
     return done.select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), "engine", "content")
 
 
+@query(
+    "table_external",
+    f"WITH {_EXTERNAL_CTE} SELECT id AS doc_id, output AS text FROM ({o.replaced('spans', 'given', o.mask('x', o.type_of('label')))})",
+)
+def _table_external(spark, sf_dir):
+    docs, external = _external(spark, sf_dir)
+    given = external.withColumn("column", F.lit("text"))
+    return anonymize_table(docs, "mask", columns=["text"], order_by=["doc_id"], external=given).data.select("doc_id", "text")
+
+
 def _escape(text: str) -> str:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
         text = f"replace({text}, '{char}', '{entity}')"
