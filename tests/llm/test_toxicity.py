@@ -1,7 +1,12 @@
+import math
 import random
+import re
 import zlib
+from collections import defaultdict
 
-from veilframe.llm.toxicity import fit_toxicity, labelled_sample, score_toxicity
+import pytest
+
+from veilframe.llm.toxicity import DISCOUNT, LEAST, LOWEST, MARGIN, RARE, SHARED, SURE, fit_toxicity, labelled_sample, score_toxicity
 
 BAD = ["vile", "rotten", "scummy", "foul"]
 
@@ -62,3 +67,80 @@ def test_odd_texts_and_no_labels(spark):
     assert {r.toxicity < 0.5 for r in score_toxicity(docs, model).collect()} == {True}
     assert score_toxicity(docs.limit(0), model).count() == 0
     assert score_toxicity(docs, model).count() == 6
+
+
+def plain_ratios(texts, toxic):
+    """The log ratio of any word pair (v, w), from nested counts; one expression at a time."""
+    before = defaultdict(lambda: (set(), set()))  # of a pair, by class: the words before it
+    for text, c in zip(texts, toxic, strict=True):
+        found = re.findall(r"\w+", (text or "").lower())
+        for i, w in enumerate(found):
+            u, v = (found[i - 2] if i > 1 else ""), (found[i - 1] if i else "")
+            before[v, w][c].add(u)
+    n = {pair: [len(x) for x in own] for pair, own in before.items()}
+    n = {pair: [a, b, a + b] for pair, (a, b) in n.items()}
+    lefts, rights = defaultdict(list), defaultdict(list)
+    for (v, w), counts in n.items():
+        rights[v].append(counts)
+        lefts[w].append(counts)
+    often = lambda rows: sum(r[2] for r in rows) >= LEAST
+    different = lambda rows: [sum(r[c] > 0 for r in rows) for c in (0, 1, 2)]
+    all_k, all_n = different(n.values()), [sum(r[c] for r in n.values()) for c in (0, 1, 2)]
+
+    def word(w, c):
+        k = different(lefts[w])
+        return (1 - LOWEST) * max(k[c] - DISCOUNT, 0) / all_k[c] + LOWEST * k[2] / all_k[2]
+
+    def pair(v, w, c):
+        rows = rights[v] if often(rights[v]) else []
+        seen = [sum(r[i] for r in rows) for i in (0, 1, 2)]
+        k = different(rows)
+        left = [DISCOUNT * x for x in (k[0], k[1], k[0] + k[1])]
+        backoff = sum(left) / max(sum(seen), 1) if seen[c] else 1.0
+        held = max(n[v, w][c] - DISCOUNT, 0) / max(seen[c] - left[c], 1 - DISCOUNT)
+        return (1 - backoff) * held + backoff * word(w, c)
+
+    def ratio(p, count, count_toxic, toxic_share):
+        own = (1 - SHARED) * count / (count + RARE)
+        expected = count * toxic_share
+        if abs(count_toxic - expected) <= SURE * math.sqrt(expected) or abs(math.log(p[1] / p[0])) <= math.log(MARGIN):
+            return 0.0
+        return math.log((own * p[1] + (1 - own) * p[2]) / (own * p[0] + (1 - own) * p[2]))
+
+    def of(v, w):
+        if w not in lefts or not often(lefts[w]):
+            return 0.0
+        if (v, w) in n and n[v, w][2] >= LEAST and v in lefts and often(lefts[v]):
+            return ratio([pair(v, w, c) for c in (0, 1, 2)], n[v, w][2], n[v, w][1], all_n[1] / all_n[2])
+        k = different(lefts[w])
+        return ratio([word(w, c) for c in (0, 1, 2)], k[2], k[1], all_k[1] / (all_k[0] + all_k[1]))
+
+    return of
+
+
+def test_ratios_and_curve_equal_brute_force(spark):
+    rows, labels = corpus(500)
+    rows = [(i, t) for i, t, *_ in rows] + [(9001, None), (9002, ""), (9003, "Vile VILE one"), (9003, "vile one two")]
+    labels = [x[::2] for x in labels] + [(9001, 1), (9002, 0), (9003, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fold, marked = (lambda i: zlib.crc32(str(i).encode()) % 5), dict(labels)
+    taught = [(t, marked[i]) for i, t in rows if i in marked and fold(i) > 1]
+    of = plain_ratios(*zip(*taught, strict=True))
+
+    def raw(text):
+        found = re.findall(r"\w+", (text or "").lower())
+        pairs = set(zip(["", *found], found, strict=False))
+        return sum(of(v, w) for v, w in pairs), len(pairs)
+
+    want = {t: raw(t) for _, t in rows}
+    assert sum(abs(x) > 0.1 for x, _ in want.values()) > 50
+    for text, (total, size) in want.items():
+        assert model.raw(text or "") == (pytest.approx(total, abs=1e-9), size)
+    # the curve lies where the likelihood of the documents of fold 1 is greatest
+    curve = [(raw(t), marked[i]) for i, t in rows if i in marked and fold(i) == 1]
+    curve = [(x / max(size, 1) ** 0.9, y) for (x, size), y in curve]
+    likelihood = lambda a, b: sum(-math.log1p(math.exp(-(2 * y - 1) * (a * x + b))) for x, y in curve)
+    best = likelihood(model.slope, model.offset)
+    for a, b in ((1.1, 0), (0.9, 0), (1, 0.5), (1, -0.5)):
+        assert likelihood(model.slope * a, model.offset + b) < best + 1e-2
