@@ -206,3 +206,25 @@ def test_files_that_are_no_text_are_rejected(spark, tmp_path):
     bad = {r.path[-5:]: (bytes(r.content), r.reason) for r in read.rejected.collect()}
     assert bad == {"b.txt": (contents["b.txt"], "encoding"), "c.txt": (contents["c.txt"], "size"), "d.txt": (contents["d.txt"], "encoding")}
     assert read_checked_docs(spark, str(tmp_path / "c*")).rejected.count() == 0
+
+
+def test_files_are_written_with_the_map_apart(spark, tmp_path):
+    from veilframe.sources.sinks import write_files
+
+    raw = [("a.txt", b"de a@b.com y a@b.com"), ("b.json", b'{"x": "c@d.com"}'), ("c.csv", b"k,a@b.com\n"), ("d.json", b"{bad"), ("e.bin", b"x"), ("f.txt", b"nada"), ("g.txt", b"")]
+    files = spark.createDataFrame([(p, bytearray(c)) for p, c in raw], "path string, content binary")
+    done = anonymize_files(files, "pseudo")
+    where = [str(tmp_path / name) for name in ("data", "map", "summary", "rejected")]
+    write_files(done, *where)
+    data, mapping, summary, rejected = (spark.read.parquet(w) for w in where)
+    want = {r.path: r.content for r in done.accepted.collect()}
+    assert {r.path: r.content for r in data.collect()} == want and "map" not in data.columns
+    assert {(r.path, r.token, r.original) for r in mapping.collect()} == {
+        ("a.txt", "«EMAIL_1»", "a@b.com"), ("b.json", "«EMAIL_1»", "c@d.com"), ("c.csv", "«EMAIL_1»", "a@b.com")}
+    assert {(r.path, r.label, r.n) for r in summary.collect()} == {("a.txt", "EMAIL", 2), ("b.json", "EMAIL", 1), ("c.csv", "EMAIL", 1)}
+    assert {r.path for r in rejected.collect()} == {p for p, _ in raw} - set(want)
+    assert not (tmp_path / "map_work").exists()
+    with pytest.raises(ValueError):
+        write_files(done, where[1] + "/data", *where[1:])
+    with pytest.raises(ValueError):
+        write_files(done, *where[:3], where[1] + "/rejected")

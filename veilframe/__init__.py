@@ -15,7 +15,7 @@ from .operators.span_tables import resolve_span_table
 from .operators.tables import Anonymized, anonymize_nested, anonymize_table, pseudonymize_table
 from .sources.files import anonymize_files
 from .sources.formats import admit
-from .sources.sinks import write_result
+from .sources.sinks import write_files, write_result
 from .streaming.stream import anonymize_stream, pseudonymize_batches
 
 __all__ = [
@@ -43,5 +43,6 @@ __all__ = [
     "summary_by_label",
     "summary_rollup",
     "with_spans",
+    "write_files",
     "write_result",
 ]

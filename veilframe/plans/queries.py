@@ -39,7 +39,7 @@ from ..sources.files import anonymize_files
 from ..sources.formats import admit, detect_format
 from ..sources.readers import read_checked_docs, read_csv_table, read_json_docs, read_text_docs, spread
 from ..sources.rules_table import drop_exempt_spans, load_rules, rules_status
-from ..sources.sinks import write_result
+from ..sources.sinks import write_files, write_result
 from ..streaming.stream import anonymize_stream, pseudonymize_batches
 from . import oracle as o
 from .inputs import CELLS_SQL, EXTERNAL_SQL, SPANS_SQL, TEXTS_SQL, derive, partitions, table, texts
@@ -703,6 +703,24 @@ def _files_external(spark, sf_dir):
     return done.select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), "engine", "content")
 
 
+@query(
+    "write_files",
+    f"""WITH {o.spans(_GIVEN)} SELECT d.id AS doc_id, d.output AS content, CAST(coalesce(n, 0) AS BIGINT) AS findings
+    FROM ({o.replaced('spans', 'src', o.mask('x', o.type_of('label')))}) d LEFT JOIN (SELECT id, count(*) AS n FROM spans GROUP BY id) USING (id)""",
+)
+def _write_files(spark, sf_dir):
+    """Contents, map, counts and files not taken, each in a place of its own."""
+    docs, _ = _external(spark, sf_dir)
+    files = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "utf-8").alias("content"))
+    folder = shared_folder(spark, "files")
+    where = [f"{folder}/{name}" for name in ("data", "map", "summary", "rejected")]
+    write_files(anonymize_files(files, "mask"), *where)
+    counts = spark.read.parquet(where[2]).groupBy("path").agg(F.sum("n").cast("long").alias("findings"))
+    done = spark.read.parquet(where[0]).join(counts, "path", "left")
+    number = F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("doc_id")
+    return done.select(number, "content", F.coalesce("findings", F.lit(0).cast("long")).alias("findings"))
+
+
 @query(
     "table_external",
     f"WITH {_EXTERNAL_CTE} SELECT id AS doc_id, output AS text FROM ({o.replaced('spans', 'given', o.mask('x', o.type_of('label')))})",
