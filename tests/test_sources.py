@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.sql import expr
 from veilframe.operators.anonymize import anonymize_docs
 from veilframe.operators.tables import anonymize_nested, anonymize_table, pseudonymize_table
+from veilframe.plans.queries import _write_each
 from veilframe.sources.files import anonymize_files
 from veilframe.sources.formats import admit, admitted, detect_format, rejected
 from veilframe.sources.readers import json_text, read_checked_docs, read_csv_table, read_files, read_json_docs, read_text_docs
@@ -228,3 +229,14 @@ def test_files_are_written_with_the_map_apart(spark, tmp_path):
         write_files(done, where[1] + "/data", *where[1:])
     with pytest.raises(ValueError):
         write_files(done, *where[:3], where[1] + "/rejected")
+
+
+def test_one_file_each_is_written_by_many_tasks(spark, tmp_path):
+    """A table of one partition would have one task write all its files."""
+    rows = spark.range(60).select((F.col("id") % 50).alias("id"), F.concat(F.lit("t"), F.col("id") % 50).alias("text")).coalesce(1)
+    _write_each(rows, str(tmp_path / "each"))
+    files = [p for p in (tmp_path / "each").glob("id=*/*.txt")]
+    assert len(files) == len({p.parent for p in files}) == 50  # rows of one id share a file
+    assert len({p.name.split("-")[1] for p in files}) > 1
+    read = read_text_docs(spark, f"{tmp_path}/each/*/*.txt")
+    assert {(r.text, r.path.split("/")[-2]) for r in read.collect()} == {(f"t{i}\n" * (2 if i < 10 else 1), f"id={i}") for i in range(50)}

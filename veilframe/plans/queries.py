@@ -425,6 +425,19 @@ def _json_docs(spark, sf_dir):
     return done.select("value.id", "value.contact", "value.memo")
 
 
+#: Files that one task writes: a file costs the file system some milliseconds, whatever its size.
+_FILES_A_TASK = 500
+
+
+def _write_each(rows: DataFrame, folder: str) -> None:
+    """One text file for each ``id``, under ``id=...``; rows of one id share a task and so a file.
+
+    A small table arrives in one task, which would write all files, so the rows are dealt by their number.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // _FILES_A_TASK))
+    rows.repartition(tasks, "id").write.partitionBy("id").text(folder)
+
+
 _SUPPLIERS = "select s_suppkey as id, concat('mail s', cast(s_suppkey as varchar(20)), '@x.example.com', chr(10), 'fin') as text from supplier"
 
 
@@ -433,7 +446,7 @@ def _text_docs(spark, sf_dir):
     """One file per supplier, of two lines."""
     folder = shared_folder(spark, "text")
     suppliers = spark.sql(_SUPPLIERS.replace("from supplier", "from {supplier}"), supplier=table(spark, sf_dir, "supplier"))
-    suppliers.write.partitionBy("id").text(folder)
+    _write_each(suppliers, folder)
     docs = read_text_docs(spark, f"{folder}/*/*.txt")
     done = anonymize_docs(docs, "typed", key=["path"], normalize=False)
     return done.select(F.regexp_extract("path", r"id=(\d+)/", 1).cast("long").alias("id"), "output")
@@ -449,7 +462,7 @@ def _text_docs_checked(spark, sf_dir):
     folder = shared_folder(spark, "text")
     suppliers = spark.sql(_SUPPLIERS.replace("from supplier", "from {supplier}"), supplier=table(spark, sf_dir, "supplier"))
     broken = F.when(F.col("id") % 5 == 0, F.concat("text", F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("text"))
-    suppliers.withColumn("text", broken).write.partitionBy("id").text(folder)
+    _write_each(suppliers.withColumn("text", broken), folder)
     read = read_checked_docs(spark, f"{folder}/*/*.txt")
     done = anonymize_docs(read.rows, "typed", key=["path"], normalize=False).select("path", "output", F.lit(None).cast("string").alias("reason"))
     every = done.unionByName(read.rejected.select("path", F.lit(None).cast("string").alias("output"), "reason"))
