@@ -271,3 +271,14 @@ def test_texts_stay_where_they_are_beside_a_table_of_terms(spark):
     terms = spark.createDataFrame([("proyecto fenix",)], "term string")
     plan = with_spans(docs(spark, "proyecto fenix", "y"), always=terms)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Python" not in plan
+
+
+def test_terms_beyond_the_limit_never_pass_through_the_driver(spark):
+    """A table whose packed shuffle files look small was sent all the same."""
+    from veilframe.operators.terms import with_term_candidates
+
+    terms = spark.createDataFrame([(f"proyecto {i}",) for i in range(50)], "term string")
+    rows = spark.createDataFrame([(i, f"de proyecto {i % 7} y") for i in range(40)], "doc_id long, text string")
+    found = with_term_candidates(rows, terms, "text", "terms", sent=0)
+    assert sorted((r.doc_id, "proyecto " + str(r.doc_id % 7) in r.terms) for r in found.collect()) == [(i, True) for i in range(40)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -11,7 +11,8 @@ from ..functions.text import is_ascii, strip
 from .durable import durable, hold
 
 GRAM = 6
-SENT = 64 << 20
+SENT = 8 << 20  # the driver holds what is sent several times over: rows, their hash table, its blocks
+SALTS = 64
 TEXT_MARK, TERM = "__text_mark", "__term"
 # The characters beyond ASCII that match an ASCII letter when case is ignored, and that letter.
 _CASELESS = ("İıſK", "iisk")
@@ -23,10 +24,6 @@ def _caseless(text: Sql) -> Sql:
     return f"lower({when(is_ascii(text), text, wide)})"
 
 
-def row_mark(text: Sql) -> Sql:
-    return f"named_struct('a', xxhash64({text}), 'b', xxhash64('b', {text}))"
-
-
 def _grams(text: Sql, length: int) -> Sql:
     """The different runs of ``length`` characters of a text. Cutting substrings would count characters anew for each."""
 
@@ -46,20 +43,31 @@ def term_anchors(terms: DataFrame, length: int = GRAM) -> DataFrame:
     bad = f"({TERM} like '%{MARK}%' or {TERM} like '%\x02%')"
     own = terms.select(expr(strip(f"cast({col('term')} as string)")).alias(TERM)).where(f"{TERM} <> ''").distinct()
     own = own.select(expr(when(bad, "raise_error('a term holds a control character that marks matches')", TERM)).alias(TERM))
-    folded = hold(own, __folded=_caseless(TERM))
+    folded = hold(durable(own), __folded=_caseless(TERM))  # written once, as its runs are both counted and ranked
     whole = f"length(__folded) < {length}"
     runs = folded.select(TERM, F.explode(expr(when(whole, "array(__folded)", _grams("__folded", length)))).alias("gram"))
-    shared = runs.groupBy("gram").agg(F.count("*").alias("n"))
+    # both sides grow with the terms: packed strings that look small would still fill the driver
+    shared = runs.groupBy("gram").agg(F.count("*").alias("n")).hint("merge")
     first = Window.partitionBy(TERM).orderBy("n", "gram")
     ranked = runs.join(shared, "gram").withColumn("at", F.row_number().over(first))
     return ranked.where("at = 1").select("gram", F.length("gram").alias("size"), TERM)
 
 
 def _sent(df: DataFrame, *strings: Sql, limit: int) -> DataFrame:
-    """``df``, a table that is written already, with the hint to send it to all tasks where it measures ``limit`` bytes at most."""
+    """``df``, a table that is written already, with the hint to send it to all tasks where it measures ``limit`` bytes at most, else to shuffle it.
+
+    Without the second hint adaptive execution would still send it where its shuffle files, which are compressed, are small.
+    """
     size = " + ".join(["64", *strings])
     measured = df.agg(expr(f"coalesce(sum({size}), 0)").alias("bytes")).first()["bytes"]
-    return F.broadcast(df) if measured <= limit else df
+    return F.broadcast(df) if measured <= limit else df.hint("merge")
+
+
+def _text_mark(docs: DataFrame, text: str) -> Sql:
+    """128 bits of the text, and one of ``SALTS`` numbers by the row's other columns: equal texts in many rows do not meet in one task."""
+    others = [col(f.name) for f in docs.schema.fields if f.name != text and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    salt = f"pmod(xxhash64({', '.join(others)}), {SALTS})" if others else "0L"
+    return f"named_struct('a', xxhash64({col(text)}), 'b', xxhash64('b', {col(text)}), 'salt', {salt})"
 
 
 def with_term_candidates(docs: DataFrame, terms: DataFrame, text: str, into: str, *, sent: int = SENT) -> DataFrame:
@@ -67,7 +75,7 @@ def with_term_candidates(docs: DataFrame, terms: DataFrame, text: str, into: str
 
     Each text looks for its different runs of characters among the anchors; what is found joins the text. Runs are
     compared by digests, as detection looks at the candidates again. Tables of ``sent`` measured bytes at most go to
-    all tasks, so texts do not move; larger ones are shuffled. Nothing is read to the driver but those sizes and the
+    all tasks, so texts do not move; larger ones are shuffled, and no join is left to send them through the driver. Nothing is read to the driver but those sizes and the
     lengths of anchors, ``GRAM`` at most. Findings belong to 128 bits of the text, so null and repeated keys are no
     matter. A row holds its own candidates, no more.
     """
@@ -76,7 +84,7 @@ def with_term_candidates(docs: DataFrame, terms: DataFrame, text: str, into: str
     sizes = sorted(r["size"] for r in anchors.select("size").distinct().collect())
     if not sizes:
         return docs.withColumn(into, expr(empty))
-    marked = docs.withColumn(TEXT_MARK, expr(row_mark(col(text))))
+    marked = docs.withColumn(TEXT_MARK, expr(_text_mark(docs, text)))
     folded = hold(marked.where(F.col(col(text)).isNotNull()).select(TEXT_MARK, col(text)), __folded=_caseless(col(text)))
     grams = let("__folded", lambda t: f"concat({', '.join(transform(_grams(t, n), lambda g: f'xxhash64({g})') for n in sizes)})")
     each = folded.select(TEXT_MARK, F.explode(expr(grams)).alias("gram"))

@@ -587,7 +587,7 @@ _NAMES_CTE = f"""src AS (SELECT 'memo' AS tbl, id, 'x' AS grp, memo AS t FROM ({
 def _rules_always_table(spark, sf_dir):
     """All customer names as terms: a table, of which nothing is read to the driver."""
     sql = _NAMES_SQL.replace("from orders join customer", "from {orders} join {customer}")
-    memos = spark.sql(sql, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
+    memos = spark.sql(sql, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer").hint("merge"))
     docs = spread(memos, partitions(spark), "id").select(F.lit("memo").alias("tbl"), "id", F.col("memo").alias("text"))
     names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("term"))
     return _span_rows(detect_docs(docs, KEY, always=names), *KEY)
