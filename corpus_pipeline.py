@@ -15,6 +15,7 @@ from veilframe.llm.common import documents, shared_folder
 from veilframe.llm.disclosure import sanitise
 from veilframe.llm.packing import pack_documents
 from veilframe.llm.shingles import similar_copies
+from veilframe.llm.simhash import DISTANCE
 from veilframe.llm.substring import remove_repeats
 from veilframe.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -35,11 +36,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 and more) the document with the smallest id stays.
+    """Of each group of near copies the document with the smallest id stays.
 
+    Texts are linked by op7's SimHash fingerprints (four or fewer differing bits) and by the verified similarity of their
+    five-word shingles (0.8 and more), which finds the copies whose fingerprints lie further apart.
     Rows that share an id stay or go together; rows without an id stay.
     """
-    marked = similar_copies(docs)
+    marked = similar_copies(docs, DISTANCE)
     gone = marked.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays")).filter("not stays")
     return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

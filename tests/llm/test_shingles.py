@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from veilframe.llm import shingles
+from veilframe.llm.simhash import fingerprint
 
 
 def sets_of(text):
@@ -63,3 +64,14 @@ def test_stage_keeps_what_brute_force_keeps(spark, monkeypatch, block):
     left = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert {r.doc_id for r in left if r.doc_id is not None} == staying(rows)
     assert sum(r.doc_id is None for r in left) == 1 and sum(r.doc_id == 7 for r in left) == 2
+
+
+def test_stage_links_what_op7_links(spark):
+    """Texts that differ in little of their length, though in most of their different shingles."""
+    refrain = "one and two and three go by " * 100
+    rows = [(8, refrain + "here ends the first of them all as it was told"), (3, refrain + "there begins another tale that nobody has heard before now")]
+    rows += [(5, "a text of its own that has nothing to do with them"), (9, None), (2, "")]
+    prints = [fingerprint(t.encode()) for _, t in rows[:2]]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 and jaccard(*(sets_of(t) for _, t in rows[:2])) < 0.5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [2, 3, 5]

@@ -15,6 +15,7 @@ than ``BLOCK`` texts are cut into blocks, and each pair of blocks is a key of it
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, durable, in_batches, texts_of
-from .simhash import _Parts, components
+from .simhash import _Parts, components, fingerprint, linked_fingerprints
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -62,16 +63,21 @@ def band_keys(digests: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch], printed: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, keys = [], []
+        nodes, keys, prints = [], [], []
         for text in as_bytes(batch.column("text")):
             words = text.lower().split()
             nodes.append(node_of(words))
             keys.append(band_keys(shingles(words)) if words else np.zeros(0, np.int64))
+            if printed:
+                prints.append(fingerprint(text))
         offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), lists], names=["doc_id", "node", "bands"])
+        columns = {"doc_id": batch.column("doc_id"), "node": pa.array(nodes, pa.int64()), "bands": lists}
+        if printed:
+            columns["fp"] = pa.array(np.array(prints, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -124,14 +130,30 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(_links(nodes, texts))
 
 
-def similar_copies(docs: DataFrame) -> DataFrame:
+def _close_nodes(nodes: DataFrame, distance: int) -> DataFrame | None:
+    """Links (a, b) of nodes whose SimHash fingerprints ``fp`` differ in ``distance`` bits at most, those of equal ones included."""
+    firsts = durable(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    edges = linked_fingerprints(firsts.select("fp"), distance)
+    if edges is None:
+        return None
+    a, b = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    far = edges.join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    equal = nodes.join(firsts, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return far.union(equal)
+
+
+def similar_copies(docs: DataFrame, distance: int | None = None) -> DataFrame:
     """``doc_id`` and ``component_id``, the smallest id reachable over similar texts, of every row with an id.
 
-    Null texts count as empty, and texts without words as equal.
+    Null texts count as empty, and texts without words as equal. With ``distance``, texts whose SimHash
+    fingerprints (``simhash``) differ in so many bits at most are linked as well.
     """
     rows = texts_of(docs).filter("doc_id is not null")
-    marked = durable(in_batches(rows, _marked, "doc_id long, node long, bands array<long>"))
-    nodes = durable(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
+    printed = distance is not None
+    schema = "doc_id long, node long, bands array<long>" + (", fp long" if printed else "")
+    marked = durable(in_batches(rows, partial(_marked, printed=printed), schema))
+    own = [F.first(c).alias(c) for c in ("bands", "fp")[: 1 + printed]]
+    nodes = durable(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *own))
     keyed = nodes.select("node", "first_id", F.posexplode("bands").alias("band", "value"))
     sizes = keyed.groupBy("band", "value").agg(
         F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(1, node))").alias("y")
@@ -146,6 +168,8 @@ def similar_copies(docs: DataFrame) -> DataFrame:
     pairs = kept.join(texts.withColumnRenamed("doc_id", "first_id"), "first_id").drop("first_id")
     pairs = pairs.repartition("band", "value", "s", "t").sortWithinPartitions("band", "value", "s", "t")
     edges = in_batches(pairs, _verified, "a long, b long").distinct()
+    if distance is not None and (close := _close_nodes(nodes, distance)) is not None:
+        edges = edges.union(close)
     roots = components(edges).select(F.col("node").alias("member"), "root")
     parts = nodes.join(roots, nodes.node == roots.member, "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     firsts = parts.groupBy("root").agg(F.min("first_id").alias("component_id"))

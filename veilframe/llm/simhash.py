@@ -274,6 +274,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
+def linked_fingerprints(fps: DataFrame, distance: int = DISTANCE) -> DataFrame | None:
+    """``close_edges`` of the different ``fp`` of a table, searched as a sample of them suggests; None if there are none."""
+    total = fps.count()
+    if not total:
+        return None
+    rows = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()
+    plan = plan_search(rows["fp"].to_numpy(np.int64).view(np.uint64), total, distance)
+    return close_edges(fps, plan, distance)
+
+
 def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest id reachable over close fingerprints.
 
@@ -282,12 +292,10 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     """
     marked = durable(fingerprints(docs, shingle))
     fps = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    total = fps.count()
-    if not total:
+    edges = linked_fingerprints(fps.select("fp"), distance)
+    if edges is None:
         return marked.select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
-    rows = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()
-    plan = plan_search(rows["fp"].to_numpy(np.int64).view(np.uint64), total, distance)
-    roots = components(close_edges(fps.select("fp"), plan, distance))
+    roots = components(edges)
     parts = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     firsts = parts.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = parts.join(firsts, "root").select("fp", "component_id")
