@@ -381,3 +381,20 @@ def test_findings_of_another_detector_in_nested_values(spark):
         anonymize_table(df, "typed", columns=["v"], scope="row", external=external)
     with pytest.raises(ValueError, match="external"):
         anonymize_table(df, "typed", columns=["v"], order_by=["id"], engine="ml")
+
+
+@pytest.mark.parametrize("mode", ["typed", "mask", "hash"])
+def test_only_values_of_several_types_meet_beyond_the_row(spark, mode):
+    """Text and type make a token, so rows are moved only where a value is found under several types; the first decides."""
+    rows = [(1, "a", "Ana and b@x.com"), (2, "a", "Ana and Eva"), (3, None, "Eva"), (4, None, "Ana"), (5, "a", None), (6, "a", "c@y.com")]
+    docs = spark.createDataFrame(rows, "id long, g string, t string")
+    found = [(1, "t", 0, 3, "Ana", None, "PERSON"), (2, "t", 0, 3, "Ana", None, "EMAIL"), (2, "t", 8, 11, "Eva", None, "PHONE"), (3, "t", 0, 3, "Eva", None, "PERSON"), (4, "t", 0, 3, "Ana", None, "EMAIL")]
+    external = spark.createDataFrame(found, "id long, column string, start int, end int, text string, placeholder string, label string")
+    options = {"columns": ["t"], "order_by": ["id"], "external": external, "hash_key": b"k"}
+    table, groups = (anonymize_table(docs, mode, scope=s, **options).data for s in ("table", ["g"]))
+    whole, own = ({r.id: r.t for r in x.collect()} for x in (table, groups))
+    assert whole[2].split(" and ")[0] == whole[1].split(" and ")[0] == whole[4] and whole[3] == whole[2].split(" and ")[1]
+    assert own[2].split(" and ")[0] == own[1].split(" and ")[0] and whole[5] is None and whole[6] == "c@y.com"
+    if mode != "mask":  # which is alike for both types
+        assert own[4] != own[1].split(" and ")[0] and own[3] != own[2].split(" and ")[1]
+    assert "hashpartitioning" not in table._jdf.queryExecution().executedPlan().toString()

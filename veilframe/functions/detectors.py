@@ -185,7 +185,7 @@ def raw_spans(text: Sql, only: tuple[str, ...] | None = None, guarded: bool = Tr
     """
 
     def pieces(d: Detector, t: Sql, digits: Sql) -> Sql:
-        found = marked_pieces(t, d.pattern, d.marked)
+        found = struct(label=lit(d.label), pieces=marked_pieces(t, d.pattern, d.marked))
         if not guarded:
             return found
         test = f"{digits} and ({d.guard(t)})" if d.numeric else d.guard(t)
@@ -195,7 +195,7 @@ def raw_spans(text: Sql, only: tuple[str, ...] | None = None, guarded: bool = Tr
         chosen = [d for d in detectors if only is None or d.label in only]
 
         def scan(digits: Sql) -> Sql:
-            return array(struct(label=lit(d.label), pieces=pieces(d, t, digits)) for d in chosen)
+            return array(pieces(d, t, digits) for d in chosen)
 
         if not any(d.numeric for d in chosen):
             return scan("true")

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions.sql import Sql, expr
 
+SENT = 8 << 20  # the driver holds what is sent several times over: rows, their hash table, its blocks
+
 
 def hold(df: DataFrame, **columns: Sql) -> DataFrame:
     """Add costly columns in a way that the optimizer does not copy them.
@@ -79,3 +81,13 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="veilframe-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def sent_or_shuffled(df: DataFrame, *strings: Sql, limit: int = SENT) -> DataFrame:
+    """``df``, a table that is written already, with the hint to send it to all tasks where it measures ``limit`` bytes at most, else to shuffle it.
+
+    Without the second hint adaptive execution would still send it where its shuffle files, which are compressed, are small.
+    """
+    size = " + ".join(["64", *strings])
+    measured = df.agg(expr(f"coalesce(sum({size}), 0)").alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if measured <= limit else df.hint("merge")

@@ -25,7 +25,7 @@ from ..functions.tokens import (
 )
 from .anonymize import PADS, with_pads
 from .detect import check_engine, with_external_leaves, with_leaf_spans
-from .durable import hold, stored_apart
+from .durable import durable, hold, sent_or_shuffled, stored_apart
 from .numbering import join_on, number_within
 
 LEAVES, FOUND, TABLE, OUT, HITS, EXTERNAL = "__leaves", "__found", "__values", "__out", "__hits", "__external"
@@ -224,25 +224,42 @@ def _by_group(df, mode, fields, leaves, rules, groups, key, hash_key, generic, g
     found = found.withColumn(ANY, expr(any_of(FOUND, lambda s: f"size({s}) > 0"))).drop(LEAVES, EXTERNAL)
     touched, clean = stored_apart(found, ANY)
     spans = _span_rows(touched, [*place, ROW])
-    tokens = value_tokens(spans, mode, groups, key, hash_key=hash_key, generic=generic)
+    if mode == "pseudo":
+        tokens = value_tokens(spans, mode, groups, key)
+        mapping = tokens.select(*groups, "token", F.col("text").alias("original"))
+    else:  # text and type make the token, so only values that are found under several types need agreement
+        mixed = F.min(expr(type_of("label"))) != F.max(expr(type_of("label")))
+        agreed = spans.groupBy(*groups, "text").agg(mixed.alias("__mixed")).where("__mixed").drop("__mixed")
+        asked = join_on(spans, sent_or_shuffled(durable(agreed), "octet_length(text)"), ["text"], scopes=groups)
+        tokens = value_tokens(asked, mode, groups, key, hash_key=hash_key, generic=generic)
+        mapping = spans.select(*groups, F.lit("").alias("token"), F.col("text").alias("original")).where("false")
+        touched = with_pads(touched, hash_key) if mode == "hash" else touched
     hits = (
         join_on(spans, tokens.drop("label"), ["text"], scopes=groups)
         .groupBy(*place, ROW)
         .agg(F.sort_array(F.collect_set(F.struct("leaf", "start", "end", "token"))).alias(HITS))
     )
-    joined = join_on(touched, hits, [ROW], "left", scopes=place)
-    out = transform_indexed(
-        LEAVES,
-        lambda t, i: when(
-            f"{HITS} is null or {t} is null",
+    if mode == "pseudo":
+        joined = join_on(touched, hits, [ROW], "left", scopes=place)
+        rewrite = lambda t, i: when(
+            f"{HITS} is null",
             t,
             apply_replacements(t, keep(HITS, lambda h: f"{h}.leaf = {i}"), lambda h, _: f"{h}.token"),
-        ),
-    )
+        )
+    else:
+        few = sent_or_shuffled(durable(hits), f"aggregate({HITS}, 0L, (n, h) -> n + 32 + octet_length(h.token))")
+        joined = join_on(touched, few, [ROW], "left", scopes=place)
+
+        def token(s: Sql, i: Sql) -> Sql:
+            agreed = f"get({keep(HITS, lambda h: f'{h}.leaf = {i} and {h}.start = {s}.start')}, 0).token"
+            alone = let(f"{s}.text", lambda t: let(type_of(f"{s}.label"), lambda y: token_of(mode, t, y, generic=generic, pads=PADS)))
+            return when(f"{HITS} is null", alone, f"coalesce({agreed}, {alone})")
+
+        rewrite = lambda t, i: apply_replacements(t, f"get({FOUND}, {i})", lambda s, _: token(s, i))
+    out = transform_indexed(LEAVES, lambda t, i: when(f"{t} is null", t, rewrite(t, i)))
     done = hold(joined.withColumn(LEAVES, expr(leaves)), **{OUT: out})
     names = [expr(col(c)) for c in df.columns if c != EXTERNAL]
     data = clean.select(*names).unionByName(_rebuild(done, fields).select(*names))
-    mapping = tokens.where(F.lit(mode == "pseudo")).select(*groups, "token", F.col("text").alias("original"))
     return Anonymized(data, mapping, spans.groupBy(*groups, "label").agg(F.count("*").alias("n")))
 
 

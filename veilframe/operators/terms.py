@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.offsets import MARK
 from ..functions.sql import Sql, col, expr, let, lit, transform, transform_indexed, when
 from ..functions.text import is_ascii, strip
-from .durable import durable, hold
+from .durable import SENT, durable, hold, sent_or_shuffled
 
 GRAM = 6
-SENT = 8 << 20  # the driver holds what is sent several times over: rows, their hash table, its blocks
 SALTS = 64
 TEXT_MARK, TERM = "__text_mark", "__term"
 # The characters beyond ASCII that match an ASCII letter when case is ignored, and that letter.
@@ -53,16 +52,6 @@ def term_anchors(terms: DataFrame, length: int = GRAM) -> DataFrame:
     return ranked.where("at = 1").select("gram", F.length("gram").alias("size"), TERM)
 
 
-def _sent(df: DataFrame, *strings: Sql, limit: int) -> DataFrame:
-    """``df``, a table that is written already, with the hint to send it to all tasks where it measures ``limit`` bytes at most, else to shuffle it.
-
-    Without the second hint adaptive execution would still send it where its shuffle files, which are compressed, are small.
-    """
-    size = " + ".join(["64", *strings])
-    measured = df.agg(expr(f"coalesce(sum({size}), 0)").alias("bytes")).first()["bytes"]
-    return F.broadcast(df) if measured <= limit else df.hint("merge")
-
-
 def _text_mark(docs: DataFrame, text: str) -> Sql:
     """128 bits of the text, and one of ``SALTS`` numbers by the row's other columns: equal texts in many rows do not meet in one task."""
     others = [col(f.name) for f in docs.schema.fields if f.name != text and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
@@ -88,8 +77,8 @@ def with_term_candidates(docs: DataFrame, terms: DataFrame, text: str, into: str
     folded = hold(marked.where(F.col(col(text)).isNotNull()).select(TEXT_MARK, col(text)), __folded=_caseless(col(text)))
     grams = let("__folded", lambda t: f"concat({', '.join(transform(_grams(t, n), lambda g: f'xxhash64({g})') for n in sizes)})")
     each = folded.select(TEXT_MARK, F.explode(expr(grams)).alias("gram"))
-    known = _sent(anchors.select(F.xxhash64("gram").alias("gram"), TERM), f"octet_length({TERM})", limit=sent)
+    known = sent_or_shuffled(anchors.select(F.xxhash64("gram").alias("gram"), TERM), f"octet_length({TERM})", limit=sent)
     hits = each.join(known, "gram").groupBy(TEXT_MARK).agg(F.sort_array(F.collect_set(TERM)).alias(into))
-    hits = _sent(durable(hits), f"aggregate({col(into)}, 0L, (n, t) -> n + 32 + octet_length(t))", limit=sent)
+    hits = sent_or_shuffled(durable(hits), f"aggregate({col(into)}, 0L, (n, t) -> n + 32 + octet_length(t))", limit=sent)
     joined = marked.join(hits, TEXT_MARK, "left").drop(TEXT_MARK)
     return joined.withColumn(into, expr(f"coalesce({col(into)}, {empty})"))
