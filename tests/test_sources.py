@@ -240,3 +240,19 @@ def test_one_file_each_is_written_by_many_tasks(spark, tmp_path):
     assert len({p.name.split("-")[1] for p in files}) > 1
     read = read_text_docs(spark, f"{tmp_path}/each/*/*.txt")
     assert {(r.text, r.path.split("/")[-2]) for r in read.collect()} == {(f"t{i}\n" * (2 if i < 10 else 1), f"id={i}") for i in range(50)}
+
+
+def test_json_lines_that_read_back_alike_are_not_compared_in_python(spark, tmp_path, monkeypatch):
+    import pandas as pd
+    from veilframe.sources import readers
+
+    @F.pandas_udf("boolean")
+    def only_others(left: pd.Series, right: pd.Series) -> pd.Series:
+        assert not any(a == b for a, b in zip(left, right) if a is not None)
+        return pd.Series([b is not None and "x" not in a for a, b in zip(left, right)])
+
+    monkeypatch.setattr(readers, "same_json", only_others)
+    (tmp_path / "a.json").write_text('{"id":1,"t":"a"}\n{"id":2,"t":null}\n{"t":"b","id":3}\n\n{"id":4,"x":1}\nno json x\n')
+    read = readers.read_json_docs(spark, str(tmp_path), "id bigint, t string")
+    assert sorted(r.value.id for r in read.rows.collect()) == [1, 2, 3]
+    assert sorted(r.raw for r in read.rejected.collect()) == ["no json x", '{"id":4,"x":1}']
