@@ -70,3 +70,12 @@ def test_rows(spark):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_words_behind_line_ends_are_kept_as_others_are():
+    """They were encoded anew in each batch, together with the word before them."""
+    tokenizer = WordTokenizer(PATH)
+    texts = ["one two\nthree four", "five two\nthree", "a)\n(b 12\n13 x", "a\n\nb c\nd", "é\nè it's\n's", "x.\n.y ,\n, z"]
+    want = [np.array(tokenizer.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokenizer.encode(texts) == want == tokenizer.encode(texts)
+    assert "\nthree" in tokenizer.known and "two\nthree" not in tokenizer.known

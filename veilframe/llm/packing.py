@@ -179,9 +179,13 @@ class WordTokenizer:
         core = word[:-1] if word[-1:] in self.marks else word
         known = self.known if behind else self.bare
         if (ids := known.get(core)) is None:
-            if self.model is None or not core.isalpha() or max(core) >= "\u0250":
+            if self.model is None or not core.isalpha():
                 return None
-            text = core if core.isascii() else core.encode().decode("latin-1").translate(self.signs)
+            text = core
+            if not core.isascii():
+                if max(core) >= "\u0250":
+                    return None
+                text = core.encode().decode("latin-1").translate(self.signs)
             ids = known[core] = _little_endian([t.id for t in self.model.tokenize(behind + text)])
         return ids if core is word else ids + self.marks[word[-1]]
 
@@ -192,7 +196,12 @@ class WordTokenizer:
         """
         known, rest, once = self.known, [], {}
         for w in new:
-            if "\n" in w:  # a single line end between words is always cut out
+            if w[0] == "\n":
+                if (ids := self._simple(w[1:], "")) is None:
+                    rest.append(w)
+                else:
+                    known[w] = self.line_end + ids
+            elif "\n" in w:  # a single line end between words is always cut out
                 first, *others = w.split("\n")
                 parts = [self._simple(first), *(self._simple(x, "") for x in others)]
                 if None in parts:
@@ -203,17 +212,23 @@ class WordTokenizer:
                 rest.append(w)
             else:
                 known[w] = ids
-        known.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
+        known.update(zip(rest, self._encode([w if w[0] == "\n" else " " + w for w in rest]), strict=True))
         return once
 
     def _words(self, text: str) -> list[str] | None:
-        """The words between single spaces; None where white space stands beside one, or a special token in the text."""
+        """The words between single spaces, and those behind single line ends with them; None where white space stands
+        beside one, or a special token in the text."""
         words = text.split(" ")
         if not all(words) or any(s in text for s in self.special):
             return None
         if any(c in text for c in _OTHER_SPACE):
             return None if any(w[0].isspace() or w[-1].isspace() for w in words) else words
-        return None if "\n " in text or " \n" in text or text[0] == "\n" or text[-1] == "\n" else words
+        if "\n" in text:
+            if "\n " in text or " \n" in text or text[0] == "\n" or text[-1] == "\n":
+                return None
+            if "\n\n" not in text:  # single line ends are cut out too, and go to the word behind them
+                return text.replace("\n", " \n").split(" ")
+        return words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -223,19 +238,12 @@ class WordTokenizer:
             self.bare.clear()
         # texts that are not cut, and the first word of the others, which no space precedes
         alone = iter(self._encode([t if words is None else words[0] for t, words in zip(texts, cut, strict=True)]))
-        get = self.known.get
-        found = [list(map(get, words or ())) for words in cut]
-        new: set[str] = set()
-        for words, ids in zip(cut, found, strict=True):
-            if None in ids:
-                new.update(w for w, own in zip(words, ids, strict=True) if own is None)
-        once = self._learn(new)
-        done = []
-        for words, ids in zip(cut, found, strict=True):
-            first = next(alone)
-            if words and None in ids:
-                ids = [once.get(w) or get(w) if own is None else own for w, own in zip(words, ids, strict=True)]
-            done.append(first + b"".join(ids[1:]))
+        once = self._learn(set().union(*filter(None, cut)).difference(self.known))
+        self.known.update(once)  # until these texts are done
+        ids = self.known.__getitem__
+        done = [first + b"".join(map(ids, words[1:] if words else ())) for first, words in zip(alone, cut, strict=True)]
+        for word in once:
+            del self.known[word]
         return done
 
 
