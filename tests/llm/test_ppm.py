@@ -98,3 +98,35 @@ def test_lookup_finds_all_and_nothing_else():
     found = Lookup(keys).find(np.arange(0, 50_000, dtype=np.uint64) * np.uint64(2**20))
     assert (found[::7] == np.arange(len(keys))).all()
     assert (np.delete(found, np.arange(0, 50_000, 7)) == -1).all()
+
+
+def test_rare_contexts_count_in_a_large_corpus(spark):
+    # over 2^20 training positions: contexts seen once were dropped from there on
+    rows = [(i, "the cat sat on the mat " * 5_000) for i in range(14)]
+    rows += [(20, "a zebra quartz"), (21, "my zebra quartz jug"), (22, None), (23, "the zebras")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_documents(docs).collect()}
+    assert len(got) == len(rows)
+    few = [r for r in rows if r[0] >= 20]
+    want = plain_scores([*rows[:14], *few], 1 << 60)
+    for (i, _), w in zip(rows, want, strict=True):
+        assert got[i] == pytest.approx(w, rel=1e-9)
+
+
+def test_what_is_sent_changes_no_score(spark, monkeypatch):
+    from veilframe.llm import ppm
+
+    rng = np.random.default_rng(5)
+    words = ["the", "then", "there", "Other", "ünder", "a", "b", "zz", "other,"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 20)))) for i in range(40)]
+    rows += [(4, rows[4][1]), (7, rows[7][1] + " 12"), (None, "quite the other"), (None, "quite the other"), (61, None), (62, "\U0001f600")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ppm, "COMMON", 2)
+    want = sorted(((repr(i), *b, s) for (i, _), b, s in zip(rows, plain_base(rows), plain_scores(rows, 1 << 60), strict=True)))
+    for sent in (0, 40):
+        monkeypatch.setattr(ppm, "SENT", sent)
+        got = sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in score_documents(docs).collect())
+        assert len(got) == len(want)
+        for g, w in zip(got, want, strict=True):
+            assert g[:4] == w[:4]
+            assert g[4:] == pytest.approx(w[4:], rel=1e-9)

@@ -1,21 +1,19 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-The model is a trie of the byte contexts of the training documents, up to ``ORDER`` bytes long. A
+The model is a trie of all byte contexts of the training documents, up to ``ORDER`` bytes long. A
 symbol is looked for under the longest known context; where that has not seen it, an escape is
 paid and the next shorter context is asked, without the symbols that the longer one has already
 ruled out. The probability of an escape is estimated from the number of different symbols of a
-context (method C) and from what pruning took from it. A document's score is the sum of the
-logarithms over its bytes and one end symbol; bytes 0xFF, which UTF-8 never uses, stand before the
-start and at the end.
+context (method C). A document's score is the sum of the logarithms over its bytes and one end
+symbol; bytes 0xFF, which UTF-8 never uses, stand before the start and at the end.
 
-A node stays in the trie if its string makes up ``1 / CAPACITY`` of all training positions at least.
-This rule is the same at every size, keeps all suffixes of a node, and bounds the trie that travels
-to the tasks by ``CAPACITY`` nodes at each depth. Because the trie does not change while it scores,
-what a context excludes from the next shorter one is worked out once.
+The logarithm at a place follows from its context and symbol alone, ``ORDER + 1`` bytes. The strings of
+that length are a table, as are the logarithms of those that training has. The most frequent ones (``SENT``
+of them) travel to the tasks; the others are joined by string, and the escapes of strings that training
+does not have are worked out by joins with the contexts, longest first. Which strings travel changes no result.
 
 Beside it stands a plain word model over the same training documents. Its counts are of all words:
-the frequent ones (``1 / COMMON`` of all tokens, so at most ``COMMON``) travel to the tasks, the
-others are joined.
+the most frequent ones (``COMMON`` of them) travel to the tasks, the others are joined.
 """
 
 from __future__ import annotations
@@ -24,21 +22,29 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, durable, fold_of, in_batches, texts_of
 
 ORDER = 5
-CAPACITY = 1 << 20
+SENT = 1 << 20
 COMMON = 1 << 18
 _OUTSIDE = b"\xff"
 _END = b"\xff"  # as a word
 _BLOCK = 2_000_000
+_PLACE = [("key", "<i8"), ("n", "<i4")]  # a document and how often
+_SCORED = pa.schema(
+    [(c, pa.int64()) for c in ("doc_id", "fold", "key", "n_tokens", "hits")] + [(c, pa.float64()) for c in ("base", "score")]
+    + [("gram", pa.int64()), ("places", pa.binary())]
+)
+_SQL = {pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary"}
 
 
 def normalised(text: bytes) -> list[bytes]:
@@ -163,101 +169,103 @@ class Lookup:
 
 
 @dataclass
-class Level:
-    """Contexts of one length and the symbols under them."""
+class Sent:
+    """The frequent words and strings with their logarithms; as arrays for the driver, as tables in each worker."""
 
-    nodes: Lookup  # context and symbol
-    log_count: np.ndarray
-    contexts: Lookup
-    log_all: np.ndarray  # log10 of a context's total, with its escapes
-    log_escape: np.ndarray  # log10 of its escape probability
-    # the same for the next shorter context, without the symbols of this one
-    log_all_without: np.ndarray
-    log_escape_without: np.ndarray
+    words: pa.Table  # word, log
+    grams: pa.Table  # gram, log
+
+    @cached_property
+    def by_word(self) -> dict[bytes, float]:
+        return dict(zip(self.words["word"].to_pylist(), self.words["log"].to_pylist(), strict=True))
+
+    @cached_property
+    def strings(self) -> Lookup:
+        return Lookup(self.grams["gram"].to_numpy().view(np.uint64))
+
+    @cached_property
+    def string_logs(self) -> np.ndarray:
+        return np.append(self.grams["log"].to_numpy(), 0.0)
+
+
+def _context(length: int) -> Column:
+    """The ``length`` bytes before the last one of ``gram``."""
+    return F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * length) - 1))
 
 
 @dataclass
 class Trie:
-    levels: list[Level]  # by length of the context, from 0
-    log_other: float  # a symbol that no context knows
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text of normalised bytes, with its end."""
-        grams, sizes = _grams(texts)
-        total = np.zeros(len(grams))
-        left = np.arange(len(grams))
-        above = np.full(len(grams), -1, np.int32)  # the longer context just escaped from
-        for length in range(len(self.levels) - 1, -1, -1):
-            level = self.levels[length]
-            longer = self.levels[length + 1] if length + 1 < len(self.levels) else None
-            own = grams[left] & np.uint64((1 << 8 * (length + 1)) - 1)
-            node = level.nodes.find(own)
-            context = level.contexts.find(own >> np.uint64(8))
-            escaped = above >= 0
-            hit = node >= 0
-            whole = level.log_all[context]
-            escape = level.log_escape[context]
-            if longer is not None and escaped.any():
-                whole = np.where(escaped, longer.log_all_without[above], whole)
-                escape = np.where(escaped, longer.log_escape_without[above], escape)
-            step = np.where(hit, level.log_count[node] - whole, np.where(context >= 0, escape, 0.0))
-            total[left] += step
-            left, above = left[~hit], context[~hit]
-        total[left] += self.log_other
-        ends = np.cumsum(sizes)
-        return np.add.reduceat(total, ends - sizes) if len(sizes) else np.zeros(0)
-
-
-def build_trie(depths: list[tuple[np.ndarray, np.ndarray, dict[int, int]]]) -> Trie:
-    """From (grams, counts, total count by context) of each depth, shortest first."""
-    kept = []
-    for grams, counts, totals in depths:
-        order = np.argsort(grams)
-        grams, counts = grams[order], counts[order].astype(float)
-        contexts, owner = np.unique(grams >> np.uint64(8), return_inverse=True)
-        n = np.bincount(owner, weights=counts, minlength=len(contexts))
-        q = np.bincount(owner, minlength=len(contexts)).astype(float)
-        whole = np.array([totals[int(c)] for c in contexts], float) if len(contexts) else np.zeros(0)
-        kept.append((grams, counts, contexts, owner, n, q, whole))
-    levels = []
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for length, (grams, counts, contexts, owner, n, q, whole) in enumerate(kept):
-            every, escape = whole + q, (whole - n + q) / (whole + q)
-            without = np.zeros(len(contexts)), np.zeros(len(contexts))
-            if length and len(contexts):
-                g, c, shorter, _, sn, sq, sw = kept[length - 1]
-                same = np.searchsorted(g, grams & np.uint64((1 << 8 * length) - 1))  # each node's suffix is a node
-                ruled_out = np.bincount(owner, weights=c[same], minlength=len(contexts))
-                at = np.searchsorted(shorter, contexts & np.uint64((1 << 8 * (length - 1)) - 1))
-                all_ = sw[at] - ruled_out + sq[at] - q
-                out = sw[at] - sn[at] + sq[at] - q
-                without = np.log10(np.maximum(all_, 1e-9)), np.log10(np.where(all_ > 0, np.maximum(out, 1e-9) / all_, 1.0))
-            levels.append(
-                Level(
-                    Lookup(grams), np.append(np.log10(counts), 0), Lookup(contexts), np.append(np.log10(every), 0),
-                    np.append(np.log10(escape), 0), np.append(without[0], 0), np.append(without[1], 0),
-                )
+    """Counts of the strings of ``ORDER + 1`` bytes; those of shorter strings are sums of them."""
+
+    grams: DataFrame  # gram, n
+    least: int = 1  # strings seen less often are no nodes, but count in the totals of their contexts
+
+    def logs(self) -> DataFrame:
+        """``gram, n, log`` of the nodes of the longest contexts: symbols that pay no escape."""
+        own = Window.partitionBy("context")
+        rows = self.grams.withColumn("context", _context(ORDER))
+        rows = rows.withColumn("whole", F.sum("n").over(own) + F.count(F.when(F.col("n") >= self.least, 1)).over(own))
+        return rows.filter(F.col("n") >= self.least).select("gram", "n", (F.log10("n") - F.log10("whole")).alias("log"))
+
+    def contexts(self, length: int, asked: DataFrame) -> DataFrame:
+        """``context, whole, counts`` (total, and symbols with their counts) of the contexts of one length that ``asked`` needs."""
+        nodes = self.grams.select(_context(length).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n")
+        nodes = nodes.groupBy("context", "symbol").agg(F.sum("n").alias("n"))  # first, as many strings share a short context
+        if length > 1:
+            nodes = nodes.join(asked.select(_context(length).alias("context")).distinct(), "context", "left_semi")
+        kept = F.collect_list(F.when(F.col("n") >= self.least, F.struct("symbol", "n")))
+        found = nodes.groupBy("context").agg(F.sum("n").alias("whole"), F.map_from_entries(kept).alias("counts"))
+        return found.filter(F.size("counts") > 0)
+
+    def escaped(self, asked: DataFrame) -> DataFrame:
+        """``gram, log`` of strings (distinct) that are no nodes: their escapes, and the symbol under the context that knows it."""
+        none = F.expr("cast(array() as array<bigint>)")
+        rows = asked.select("gram", F.lit(0.0).alias("log"), none.alias("above"), F.lit(False).alias("found"))
+        for length in range(ORDER, -1, -1):
+            # strings that are done have a key no context has, each its own
+            rows = rows.withColumn("context", F.when(F.col("found"), -1 - F.col("gram")).otherwise(_context(length)))
+            own = self.contexts(length, asked)
+            rows = rows.join(F.broadcast(own) if length < 2 else own, "context", "left").select(  # up to 256 contexts of 256 symbols
+                "gram", "log", "above", "found", "counts",
+                F.expr("try_element_at(counts, gram & 255)").alias("n"),
+                F.expr("whole + size(counts) - size(above) - aggregate(above, 0L, (a, x) -> a + counts[x])").alias("all"),
+                F.expr("whole + size(counts) - size(above) - aggregate(map_values(counts), 0L, (a, x) -> a + x)").alias("rest"),
             )
-    known = len(kept[0][0]) if kept else 0
-    return Trie(levels, -math.log10(max(256 - known, 1)))
+            step = F.expr(
+                "case when counts is null then 0 when n is not null then log10(n) - log10(greatest(all, 1e-9))"
+                " when all > 0 then log10(greatest(rest, 1e-9) / all) else 0 end"
+            )
+            if not length:  # a symbol that no context knows
+                other = F.log10(F.greatest(256 - F.coalesce(F.size("counts"), F.lit(0)), F.lit(1)))
+                step = step - F.when(F.col("found") | F.col("n").isNotNull(), 0.0).otherwise(other)
+            rows = rows.select(
+                "gram",
+                (F.col("log") + step).alias("log"),
+                F.when(F.col("n").isNotNull(), none).when(F.col("counts").isNotNull(), F.map_keys("counts")).otherwise(F.col("above")).alias("above"),
+                (F.col("found") | F.col("n").isNotNull()).alias("found"),
+            )
+        return rows.select("gram", "log")
 
 
-def fit_trie(docs: DataFrame, capacity: int = CAPACITY) -> Trie:
-    """Count all contexts of ``docs`` and keep those of at least ``1 / capacity`` of the positions."""
+def fit_trie(docs: DataFrame, capacity: int | None = None) -> Trie:
+    """Count all contexts of ``docs``. With a capacity, only strings of at least ``1 / capacity`` of the positions are nodes."""
     grams = durable(in_batches(docs.select("text"), _count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    if capacity is None:
+        return Trie(grams)
     positions = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-positions // capacity))
-    depths = []
-    for depth in range(1, ORDER + 2):
-        mask = (1 << 8 * depth) - 1
-        own = grams.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n"))
-        by_context = own.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-        nodes = own.filter(F.col("n") >= least).toPandas()  # at most capacity rows
-        totals = by_context.filter(F.col("most") >= least).select("context", "n").toPandas()
-        depths.append(
-            (nodes["gram"].to_numpy(np.int64).view(np.uint64), nodes["n"].to_numpy(np.int64), dict(zip(totals["context"], totals["n"], strict=True)))
-        )
-    return build_trie(depths)
+    return Trie(grams, max(1, -(-positions // capacity)))
+
+
+def _frequent(counts: DataFrame, n: str, limit: int) -> int:
+    """The count from which on rows are among the ``limit`` most frequent ones; counts less than a tenth apart may go together."""
+    steps = counts.groupBy(F.floor(8 * F.log2(n)).alias("step")).agg(F.count("*").alias("rows"), F.min(n).alias("least"))
+    least, rows = 1 << 62, 0
+    for step in sorted(steps.collect(), key=lambda r: -r.step):  # some hundreds at most
+        rows += step.rows
+        if rows > limit:
+            break
+        least = step.least
+    return least
 
 
 # ---------------------------------------------------------------- scoring
@@ -275,31 +283,56 @@ def score_documents(docs: DataFrame, parts: int = 5, fold: int = 1) -> DataFrame
     words = durable(words.groupBy("word").agg(F.sum("c").alias("c")))
     tokens, kinds = words.agg(F.sum("c"), F.count("*")).first()
     tokens = tokens or 0
-    least = max(1, -(-tokens // COMMON))
-    common = {bytes(r.word): r.c for r in words.filter(F.col("c") >= least).toLocalIterator()}  # at most COMMON words
-    trie = fit_trie(training)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((common, trie))
+    least = _frequent(words, "c", COMMON)
     below = 0.5 * (kinds + 1) + tokens
     unseen = math.log10(0.5 / below)
+    word_log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / below)
+    common = words.filter((F.col("c") >= least) | (F.col("word") == F.lit(_END)))  # at most COMMON words, and the end
+    common = common.select("word", word_log.alias("log")).toArrow()
+    trie = fit_trie(training)
+    logs = durable(trie.logs())
+    often = _frequent(logs, "n", SENT)
+    sent = logs.filter(F.col("n") >= often).select("gram", "log").toArrow()  # at most SENT strings
+    shared = docs.sparkSession.sparkContext.broadcast(Sent(common, sent))
 
     def key_of(doc: int | None, text: bytes) -> int:
         return xxhash.xxh64_intdigest(text, (doc or 0) & ((1 << 64) - 1)) - (1 << 63)
 
+    def packed_places(which: np.ndarray, places: np.ndarray, kinds: int) -> pa.Array:
+        """The places of each of ``kinds`` things as one binary value."""
+        bounds = 12 * np.searchsorted(which, np.arange(kinds + 1))
+        return pa.Array.from_buffers(pa.binary(), kinds, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(places.tobytes())])
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = shared.value
-        logs = {w: math.log10((c + 0.5) / below) for w, c in known.items()}
+        """Each document with what the sent tables say, and each other string of a task with the documents it stands in."""
+        by_word, strings, string_logs = shared.value.by_word, shared.value.strings, shared.value.string_logs
+        end = by_word.get(_END)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def others() -> pa.RecordBatch:
+            missed, where = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((where, missed))
+            missed, where = missed[order], where[order]
+            first = np.flatnonzero(np.append(True, (missed[1:] != missed[:-1]) | (where[1:] != where[:-1])))
+            packed = np.zeros(len(first), _PLACE)
+            packed["key"], packed["n"] = where[first], np.diff(np.append(first, len(missed)))
+            grams, which = np.unique(missed[first].view(np.int64), return_inverse=True)
+            lists = packed_places(which, packed, len(grams))
+            nothing = [pa.nulls(len(grams), f.type) for f in _SCORED if f.name not in ("gram", "places")]
+            return pa.RecordBatch.from_arrays([*nothing, pa.array(grams), lists], schema=_SCORED)
+
         for batch in batches:
             docs_, texts = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
             count, hits, base, plain = [], [], [], []
             for text in texts:
                 own = normalised(text)
-                found = [x for x in map(logs.get, own) if x is not None]
-                end = logs.get(_END)
+                found = [x for x in map(by_word.get, own) if x is not None]
                 count.append(len(own) + 1)
                 hits.append(len(found) + (end is not None))
                 base.append(math.fsum(found) + (unseen if end is None else end))
                 plain.append(b" ".join(own))
+            keys = np.array([key_of(d, t) for d, t in zip(docs_, texts, strict=True)], np.int64)
             scores = [np.zeros(0)]
             at = 0
             while at < len(plain):  # some megabytes at a time
@@ -307,32 +340,39 @@ def score_documents(docs: DataFrame, parts: int = 5, fold: int = 1) -> DataFrame
                 while stop < len(plain) and size < 1_000_000:
                     size += len(plain[stop])
                     stop += 1
-                scores.append(model.scores(plain[at:stop]))
+                grams, sizes = _grams(plain[at:stop])
+                found = strings.find(grams)
+                ends = np.cumsum(sizes)
+                scores.append(np.add.reduceat(string_logs[found], ends - sizes))
+                missed = np.flatnonzero(found < 0)
+                if len(missed):
+                    held.append((grams[missed], keys[at:stop][np.searchsorted(ends, missed, side="right")]))
+                if sum(len(x) for x, _ in held) > 500_000:
+                    yield others()
                 at = stop
-            keys = [key_of(d, t) for d, t in zip(docs_, texts, strict=True)]
-            columns = [batch.column("doc_id"), batch.column("fold"), pa.array(keys, pa.int64()), pa.array(count, pa.int64())]
-            columns += [pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fold", "key", "n_tokens", "hits", "base", "score"])
+            columns = [batch.column("doc_id"), batch.column("fold"), pa.array(keys), pa.array(count, pa.int64()), pa.array(hits, pa.int64())]
+            columns += [pa.array(base, pa.float64()), pa.array(np.concatenate(scores))]
+            nothing = [pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *nothing], schema=_SCORED)
+        if held:
+            yield others()
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each rare word of a task with the documents it stands in (key and number, 12 bytes each)."""
-        known = shared.value[0]
+        known = shared.value.by_word
         codes: dict[bytes, int] = {}
         which: list[int] = []
         where: list[int] = []
-        often: list[int] = []
+        often_: list[int] = []
 
         def out() -> pa.RecordBatch:
             code = np.array(which)
             order = np.argsort(code, kind="stable")
-            packed = np.zeros(len(code), [("key", "<i8"), ("n", "<i4")])
-            packed["key"], packed["n"] = np.array(where, np.int64)[order], np.array(often, np.int32)[order]
-            bounds = 12 * np.searchsorted(code[order], np.arange(len(codes) + 1))
-            lists = pa.Array.from_buffers(
-                pa.binary(), len(codes), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())]
-            )
+            packed = np.zeros(len(code), _PLACE)
+            packed["key"], packed["n"] = np.array(where, np.int64)[order], np.array(often_, np.int32)[order]
+            lists = packed_places(code[order], packed, len(codes))
             made = pa.RecordBatch.from_arrays([pa.array(list(codes), pa.binary()), lists], names=["word", "places"])
-            for held in (codes, which, where, often):
+            for held in (codes, which, where, often_):
                 held.clear()
             return made
 
@@ -342,39 +382,58 @@ def score_documents(docs: DataFrame, parts: int = 5, fold: int = 1) -> DataFrame
                 if own:
                     which += [codes.setdefault(w, len(codes)) for w in own]
                     where += [key_of(doc, text)] * len(own)
-                    often += own.values()
-                if len(which) > 1_000_000:
+                    often_ += own.values()
+                if len(which) > 500_000:
                     yield out()
         if which:
             yield out()
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums by document of what the joined words add."""
+        """Sums by document of what the joined words and strings add."""
         for batch in batches:
             places = batch.column("places")
-            packed = [np.frombuffer(x, [("key", "<i8"), ("n", "<i4")]) for x in places.to_pylist()]
-            sizes = [len(x) for x in packed]
-            flat = np.concatenate([np.zeros(0, [("key", "<i8"), ("n", "<i4")]), *packed])
-            c = np.repeat(batch.column("c").fill_null(0).to_numpy(zero_copy_only=False), sizes)
+            flat = np.frombuffer(b"".join(places.to_pylist()), _PLACE)
+            sizes = pc.binary_length(places).to_numpy(zero_copy_only=False) // 12
             keys, at = np.unique(flat["key"], return_inverse=True)
-            gain = np.bincount(at, weights=flat["n"] * np.log10((c + 0.5) / below), minlength=len(keys))
-            hits = np.bincount(at, weights=flat["n"] * (c > 0), minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hits), pa.array(gain)], names=["key", "more_hits", "more"])
+            sums = []
+            for name in ("hit", "base", "score"):
+                each = np.repeat(batch.column(name).to_numpy(zero_copy_only=False), sizes)
+                sums.append(np.bincount(at, weights=flat["n"] * each, minlength=len(keys)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+                names=["key", "more_hits", "more_base", "more_score"],
+            )
 
+    done = durable(in_batches(rows, scored, ", ".join(f"{f.name} {_SQL[f.type]}" for f in _SCORED)))
+    main, asked = done.filter("places is null").drop("gram", "places"), done.filter("places is not null").select("gram", "places")
+    # strings that were not sent: those that training has, and all others
+    known = logs.filter(F.col("n") < often).select("gram", "log")
+    unknown = durable(asked.select("gram").distinct().join(known, "gram", "left_anti"))
+    strings = asked.join(known.unionByName(trie.escaped(unknown)), "gram").select(
+        "places", F.lit(0).alias("hit"), F.lit(0.0).alias("base"), F.col("log").alias("score")
+    )
     uncommon = in_batches(rows.select("doc_id", "text"), rare, "word binary, places binary")
-    joined = uncommon.join(words.filter(F.col("c") < least), "word", "left").select("places", "c")
-    more = in_batches(joined, added, "key long, more_hits long, more double")
-    more = more.groupBy("key").agg(F.sum("more_hits").alias("more_hits"), F.sum("more").alias("more"))
-    main = durable(in_batches(rows, scored, "doc_id long, fold long, key long, n_tokens long, hits long, base double, score double"))
+    uncommon = uncommon.join(words.filter(F.col("c") < least), "word", "left").select(
+        "places",
+        F.when(F.col("c") > 0, 1).otherwise(0).alias("hit"),
+        word_log.alias("base"),
+        F.lit(0.0).alias("score"),
+    )
+    more = in_batches(uncommon.unionByName(strings), added, "key long, more_hits long, more_base double, more_score double")
+    more = more.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("more_hits", "more_base", "more_score")])
     # repeated rows have one key and were added up together
     alike = main.groupBy("key").agg(F.count("*").alias("rows"))
-    extra = more.join(alike, "key").select("key", (F.col("more_hits") / F.col("rows")).cast("long").alias("more_hits"), (F.col("more") / F.col("rows")).alias("more"))
+    extra = more.join(alike, "key").select(
+        "key",
+        (F.col("more_hits") / F.col("rows")).cast("long").alias("more_hits"),
+        *[(F.col(c) / F.col("rows")).alias(c) for c in ("more_base", "more_score")],
+    )
     return main.join(extra, "key", "left").select(
         "doc_id",
         F.coalesce(F.col("fold") == fold, F.lit(False)).alias("held_out"),
         "n_tokens",
         (F.col("hits") + F.coalesce("more_hits", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
