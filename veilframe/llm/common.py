@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.durable import durable, shared_folder
 
-__all__ = ["shared_folder", "as_bytes", "concat_words", "documents", "durable", "fold_of", "in_batches", "texts_of"]
+__all__ = ["shared_folder", "as_bytes", "concat_words", "documents", "durable", "fold_of", "give_back", "in_batches", "texts_of"]
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -34,10 +37,22 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def in_batches(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType
 ) -> DataFrame:
-    """``mapInArrow`` over whole texts. A task holds one Arrow batch at a time."""
-    return df.mapInArrow(function, schema)
+    """``mapInArrow`` over whole texts. A task holds one Arrow batch at a time, and gives back its memory as it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: a worker outlives its task and would hold it beside the stages after it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def concat_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:

@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     rows, full = docs.select(*own), docs.select(*own, *handed)
     extra = T.StructType([f for f in full.schema if f.name.startswith(_CARRIED)])
     shape = T.StructType([T.StructField(c, t) for c, t in zip(("doc_id", "h", "g", "z"), _SHAPE, strict=True)] + extra.fields)
-    packed = full.mapInArrow(_digest_rows, shape)
+    packed = in_batches(full, _digest_rows, shape)
     # copies of whole texts need no look at their words
     marked = packed.select("doc_id", "h", "g").distinct()
     first = marked.groupBy("h", "g").agg(F.min("doc_id").alias("first"))
@@ -335,5 +335,5 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     ready = place(packed.join(known, "doc_id").join(later, "doc_id", "left"))
     starts = F.expr("transform(filter(found, x -> x.twin = twin), x -> x.start)").alias("starts")
     ready = ready.select("doc_id", "copy", "z", starts, *extra.names)
-    result = ready.mapInArrow(_cut_rows, T.StructType(RESULT.fields + extra.fields))
+    result = in_batches(ready, _cut_rows, T.StructType(RESULT.fields + extra.fields))
     return result.select("*", *[F.col(f"{_CARRIED}{i}").alias(c) for i, c in enumerate(carry or [])]).drop(*extra.names)

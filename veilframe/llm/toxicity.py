@@ -241,4 +241,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             scores = shared.value.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity"])
 
-    return kept.mapInArrow(run, schema)
+    return in_batches(kept, run, schema)
