@@ -353,6 +353,19 @@ def test_modes_of_one_detection(spark):
     assert leak_counts(done.limit(0), {"mask": "output_mask"}).collect()[0] == ("mask", 0, 0)
 
 
+def test_modes_share_values_and_gaps(spark):
+    texts = ["a@x.com, b@y.org 10.1.2.3 a@x.com", "ñ 4111 1111 1111 1111 y +54 11 4123-4567 d@z.net", "https://a.b/c", None, "", "nada"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    done = rewrite_found(choose_spans(df, text="text"), MODES, text="text", hash_key="k")
+    # one step for the spans and one for all modes
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 2
+    rows = {r.doc_id: r for r in done.collect()}
+    assert rows[0].output_pseudo == "«EMAIL_1», «EMAIL_2» «IP_1» «EMAIL_1»"
+    for mode in MODES:
+        alone = anonymize_docs(df, mode, normalize=False, hash_key="k").collect()
+        assert [rows[r.doc_id][f"output_{mode}"] for r in alone] == [r.output for r in alone]
+
+
 @pytest.mark.parametrize("scope", ["row", "table", ["g"]])
 @pytest.mark.parametrize("mode", ["pseudo", "mask", "anon"])
 def test_findings_of_another_detector_for_a_table(spark, scope, mode):

@@ -12,6 +12,8 @@ from .sql import Sql, let, lit, running_sum, struct, transform, when
 MARK = "\u0001"
 _STAND_IN = "\u0002"  # neither is a letter, digit, space or separator to any pattern
 
+_FEW = 17  # pieces up to which each offset is counted from the start of the text
+
 SPAN_SCHEMA = "label string, start int, end int, text string"
 NO_SPANS = "cast(array() as array<struct<label:string,start:int,end:int,text:string>>)"
 
@@ -40,6 +42,15 @@ def spans_of_pieces(pieces: Sql, label: Sql) -> Sql:
         f"length(get({pieces}, 0))",
         lambda start: f"array({span(label, start, f'{start} + length(get({pieces}, 1))', f'get({pieces}, 1)')})",
     )
+    few = transform(
+        f"sequence(1, size({pieces}) div 2)",
+        lambda j: let(
+            f"length(array_join(slice({pieces}, 1, int(2 * {j} - 1)), ''))",
+            lambda start: let(
+                f"get({pieces}, int(2 * {j} - 1))", lambda t: span(label, start, f"{start} + length({t})", t)
+            ),
+        ),
+    )
     several = let(
         let(transform(pieces, lambda p: f"length({p})"), running_sum),
         lambda ends: transform(
@@ -50,7 +61,7 @@ def spans_of_pieces(pieces: Sql, label: Sql) -> Sql:
             ),
         ),
     )
-    return f"case size({pieces}) when 1 then {NO_SPANS} when 3 then {one} else {several} end"
+    return f"case size({pieces}) when 1 then {NO_SPANS} when 3 then {one} else {when(f'size({pieces}) <= {_FEW}', few, several)} end"
 
 
 def marker_free(text: Sql) -> Sql:

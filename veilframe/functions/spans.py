@@ -16,6 +16,7 @@ from .sql import (
     array,
     fold,
     keep,
+    keep_indexed,
     let,
     lit,
     literal_map,
@@ -28,6 +29,7 @@ from .sql import (
 from .text import strip
 
 MIN_PROPAGATED = 4
+FEW = 8  # spans up to which all are resolved as one island
 MANY = 64  # spans from which on repeats are looked for in all of a text at once
 _GRAMS = (32, 16, 8, 4)
 _STRETCH = 1024
@@ -116,13 +118,17 @@ def propagate_spans(text: Sql, spans: Sql) -> Sql:
         foreign = f"{s}.text <> {cut(text, f'{s}.start', f'{s}.end')}"
         return f"({foreign} or {before} or contains(substring({text}, {s}.start + 2), {s}.text))"
 
-    def more(texts: Sql) -> Sql:
-        possible = when(f"size({spans}) <= {MANY}", spans, _possible_repeats(text, spans))
-        worth = keep(possible, lambda s: f"length({strip(f'{s}.text')}) >= {MIN_PROPAGATED} and {elsewhere(s)}")
+    def more(worth: Sql) -> Sql:
         repeated = f"array_distinct({span_texts(worth)})"
-        return f"flatten({transform(repeated, lambda t: occurrences(texts, t))})"
+        return let(span_texts(spans), lambda texts: f"flatten({transform(repeated, lambda t: occurrences(texts, t))})")
 
-    return f"concat({spans}, {with_original_text(let(span_texts(spans), more), text)})"
+    possible = when(f"size({spans}) <= {MANY}", spans, _possible_repeats(text, spans))
+    # most texts fail on a cheap test, and rows without a repeated one are done
+    long = lambda s: f"length({s}.text) >= {MIN_PROPAGATED} and {elsewhere(s)} and length({strip(f'{s}.text')}) >= {MIN_PROPAGATED}"
+    return let(
+        keep(possible, long),
+        lambda worth: when(f"size({worth}) = 0", spans, f"concat({spans}, {with_original_text(more(worth), text)})"),
+    )
 
 
 def _ranked(spans: Sql, priority: Mapping[str, int]) -> Sql:
@@ -181,21 +187,25 @@ def resolve_overlaps(spans: Sql, priority: Mapping[str, int]) -> Sql:
     """Disjoint spans in text order.
 
     Sorted spans fall into islands, runs that overlap each other but nothing outside, and
-    the greedy choice is made inside each island.
+    the greedy choice is made inside each island. A few spans are one island: what does not overlap does not
+    change the choice. Spans that are in order and apart stay as they are.
     """
 
     def choose(s: Sql) -> Sql:
         parts = let(let(transform(s, lambda r: f"{r}.end"), running_max), lambda reach: _islands(s, reach))
         return f"flatten({transform(parts, lambda p: when(f'size({p}) = 1', _by_start(p), _greedy(p)))})"
 
-    several = transform(
-        let(f"sort_array({_ranked(spans, priority)})", choose),
-        lambda r: span(f"{r}.label", f"{r}.start", f"{r}.end", f"{r}.text"),
+    def as_spans(s: Sql) -> Sql:
+        return transform(s, lambda r: span(f"{r}.label", f"{r}.start", f"{r}.end", f"{r}.text"))
+
+    overlapping = let(
+        _ranked(spans, priority),
+        lambda r: when(f"size({r}) <= {FEW}", _greedy(r), let(f"sort_array({r})", choose)),
     )
-    single = transform(
-        keep(spans, lambda s: f"{s}.end > {s}.start"), lambda s: span(f"{s}.label", f"{s}.start", f"{s}.end", f"{s}.text")
+    apart = keep_indexed(
+        spans, lambda s, i: f"{s}.end > {s}.start and ({i} = 0 or {s}.start >= get({spans}, {i} - 1).end)"
     )
-    return when(f"size({spans}) <= 1", single, several)
+    return let(apart, lambda a: when(f"size({spans}) <= 1 or size({a}) = size({spans})", as_spans(a), as_spans(overlapping)))
 
 
 def merge_overlaps(spans: Sql) -> Sql:

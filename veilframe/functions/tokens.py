@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from .labels import NUMERIC_TYPES, type_of
-from .offsets import NO_SPANS, marked_pieces, marker_free, spans_of_pieces
+from .offsets import NO_SPANS, cut, marked_pieces, marker_free, spans_of_pieces
 from .spans import apply_replacements, first_label, span_texts
 from .sql import Sql, keep, let, lit, struct, transform, transform_indexed, when
 from .text import SPACE, only_digits, strip
@@ -62,13 +63,13 @@ def mask_value(text: Sql, typ: Sql) -> Sql:
         )
         return f"array_join({each}, ' ')"
 
-    numeric = ", ".join(map(lit, NUMERIC_TYPES))
+    numeric = " or ".join(f"{typ} = {lit(t)}" for t in NUMERIC_TYPES)  # IN collects its list anew for each value
     return let(
         strip(text),
         lambda s: f"""case when {s} = '' then {text}
             when {typ} = 'EMAIL' and contains({s}, '@') then {mail(s)}
             when {typ} = 'URL' then '{DOT * 3}'
-            when {typ} in ({numeric}) or length({only_digits(s)}) >= 6 then {number(s)}
+            when {numeric} or length({only_digits(s)}) >= 6 then {number(s)}
             else {words(s)} end""",
     )
 
@@ -131,6 +132,67 @@ def replace_values(text: Sql, spans: Sql, table: Sql) -> Sql:
     return let(transform(table, lambda e: f"{e}.text"), with_keys)
 
 
+def replacement_parts(text: Sql, spans: Sql, modes: Sequence[str], **options) -> Sql:
+    """The text before each span and the span's token in each mode: an array of structs with ``gap`` and the modes.
+
+    The tokens are those of ``value_table``. What modes share, the distinct values, their types, numbers and the
+    gaps, is found once; ``joined_parts`` makes the text of a mode.
+    """
+
+    def parts(s: Sql, texts: Sql, distinct: Sql) -> Sql:
+        alone = f"size({distinct}) = size({texts})"  # no text twice: the values are the spans, in order
+
+        def value(t: Sql, i: Sql) -> Sql:
+            label = when(alone, f"get({s}, {i}).label", first_label(s, texts, t))
+            return let(label, lambda lab: struct(text=t, type=type_of(lab), i=i))
+
+        def entry(v: Sql, number: Sql) -> Sql:
+            return struct(**{m: token_of(m, f"{v}.text", f"{v}.type", number=number, **options) for m in modes})
+
+        def part(table: Sql, x: Sql, i: Sql) -> Sql:
+            at = when(alone, i, f"int(array_position({distinct}, {x}.text) - 1)")
+            gap = cut(text, f"coalesce(get({s}, {i} - 1).end, 0)", f"{x}.start")
+            return let(f"get({table}, {at})", lambda e: struct(gap=gap, **{m: f"{e}.{m}" for m in modes}))
+
+        def tokened(values: Sql) -> Sql:
+            if "pseudo" not in modes:
+                return transform(values, lambda v: entry(v, "null"))
+            return let(_numbers(values), lambda n: transform(values, lambda v: entry(v, f"coalesce(get({n}, {v}.i).n, {v}.i + 1)")))
+
+        return let(
+            let(transform_indexed(distinct, value), tokened),
+            lambda table: transform_indexed(s, lambda x, i: part(table, x, i)),
+        )
+
+    none = ", ".join(f"{m}:string" for m in ("gap", *modes))
+
+    def some(s: Sql) -> Sql:
+        body = let(span_texts(s), lambda texts: let(f"array_distinct({texts})", lambda d: parts(s, texts, d)))
+        return when(f"size({s}) = 0", f"cast(array() as array<struct<{none}>>)", body)
+
+    return let(spans, some)
+
+
+def _numbers(values: Sql) -> Sql:
+    """The number of each value among those of its type, in order of the values; null where all have one type."""
+
+    def counted(types: Sql) -> Sql:
+        per_type = transform(
+            types,
+            lambda t: transform_indexed(keep(values, lambda v: f"{v}.type = {t}"), lambda v, k: struct(i=f"{v}.i", n=f"{k} + 1")),
+        )
+        return when(f"size({types}) = 1", "null", f"sort_array(flatten({per_type}))")
+
+    return let(f"array_distinct({transform(values, lambda v: f'{v}.type')})", counted)
+
+
+def joined_parts(text: Sql, spans: Sql, parts: Sql, mode: str) -> Sql:
+    """``text`` in one mode of its ``replacement_parts``."""
+    tail = cut(text, f"element_at({spans}, -1).end", f"length({text})")
+    joined = f"concat(array_join({transform(parts, lambda p: f'concat({p}.gap, {p}.{mode})')}, ''), {tail})"
+    return when(f"size({parts}) = 0", text, joined)
+
+
 def table_as_map(table: Sql) -> Sql:
     """token -> original of a pseudonym table."""
     return f"map_from_entries({transform(table, lambda e: struct(token=f'{e}.token', original=f'{e}.text'))})"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sql import Sql, array, fold, let, transform, transform_indexed, when
+from .sql import Sql, let, when
 from .text import ascii_digits, only_digits
 
 # The mod-11 weights of the Argentine tax number.
@@ -11,37 +11,19 @@ MIN_CARD_DIGITS = 13
 MIN_PHONE_DIGITS = 7
 
 
-def _digit_list(digits: Sql) -> Sql:
-    return transform(f"split({digits}, '', -1)", lambda c: f"int({c})")
-
-
-def _total(numbers: Sql) -> Sql:
-    return fold(numbers, "0", lambda acc, n: f"{acc} + {n}")
-
-
 def luhn_ok(text: Sql) -> Sql:
     """Luhn checksum over the digits of ``text``; at least 13 digits are needed."""
 
-    def check(digits: Sql) -> Sql:
-        doubled = transform_indexed(
-            _digit_list(f"reverse({digits})"),
-            lambda d, i: f"case when {i} % 2 = 0 then {d} when {d} > 4 then 2 * {d} - 9 else 2 * {d} end",
-        )
-        return when(f"length({digits}) < {MIN_CARD_DIGITS}", "false", f"{_total(doubled)} % 10 = 0")
-
-    return let(ascii_digits(text), check)
+    return let(ascii_digits(text), lambda d: f"length({d}) >= {MIN_CARD_DIGITS} and luhn_check({d})")
 
 
 def cuit_ok(text: Sql) -> Sql:
     """Mod-11 check digit over exactly 11 digits."""
-    weights = array(map(str, CUIT_WEIGHTS))
 
     def check(digits: Sql) -> Sql:
-        weighted = transform_indexed(
-            f"slice({_digit_list(digits)}, 1, 10)", lambda d, i: f"{d} * get({weights}, {i})"
-        )
+        weighted = (f"{w} * (ascii(substring({digits}, {i}, 1)) - 48)" for i, w in enumerate(CUIT_WEIGHTS, 1))
         return let(
-            f"{_total(weighted)} % 11",
+            f"({' + '.join(weighted)}) % 11",
             lambda rest: f"case {rest} when 0 then 0 when 1 then 9 else 11 - {rest} end = int(right({digits}, 1))",
         )
 

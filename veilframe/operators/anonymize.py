@@ -21,8 +21,10 @@ from ..functions.tokens import (
     GENERIC_TOKEN,
     check_mode,
     hmac_pads,
+    joined_parts,
     label_counts,
     replace_values,
+    replacement_parts,
     restore,
     table_as_map,
     token_spans,
@@ -32,7 +34,7 @@ from .detect import choose_spans
 from .durable import hold
 from .numbering import join_on
 
-PADS, TABLE = "__pads", "__table"
+PADS, TABLE, PARTS = "__pads", "__table", "__parts"
 HASH_KEY_VARIABLE = "ANON_HASH_KEY"
 
 
@@ -125,18 +127,17 @@ def rewrite_found(
 ) -> DataFrame:
     """Documents whose spans are known, in several modes at once: a column ``output_<mode>`` for each.
 
-    Detection is the costly part, so comparing modes should not repeat it.
+    Neither detection nor what the modes share (values, types, numbers, the text between spans) is repeated.
     """
     for mode in modes:
         check_mode(mode)
-        options = {"generic": generic}
-        if mode == "hash":
-            found = with_pads(found, hash_key)
-            options["pads"] = col(PADS)
-        tabled = hold(found, **{TABLE: value_table(col(spans), mode, **options)})
-        output = expr(replace_values(col(text), col(spans), col(TABLE)))
-        found = tabled.withColumn(f"output_{mode}", output).drop(TABLE, PADS)
-    return found
+    options = {"generic": generic}
+    if "hash" in modes:
+        found = with_pads(found, hash_key)
+        options["pads"] = col(PADS)
+    parted = hold(found, **{PARTS: replacement_parts(col(text), col(spans), list(dict.fromkeys(modes)), **options)})
+    outputs = {f"output_{mode}": expr(joined_parts(col(text), col(spans), PARTS, mode)) for mode in modes}
+    return parted.withColumns(outputs).drop(PARTS, PADS)
 
 
 def redact_placeholder(docs: DataFrame, *, text: str = "text", **choice) -> DataFrame:

@@ -61,7 +61,7 @@ def leak_check(result: DataFrame, key: Sequence[str], *, spans: str = "spans", o
 def leak_counts(result: DataFrame, outputs: Mapping[str, str], *, spans: str = "spans") -> DataFrame:
     """``mode``, ``checked`` and ``leaks``: how many spans there are, and how many texts of theirs are still in the
     output of each mode. ``outputs`` maps modes to columns of one table, which is read once."""
-    left = {m: keep(col(spans), lambda s, c=c: f"instr({col(c)}, {s}.text) > 0") for m, c in outputs.items()}
+    left = {m: keep(col(spans), lambda s, c=c: f"contains({col(c)}, {s}.text)") for m, c in outputs.items()}
     sums = [F.coalesce(F.sum(expr(f"cast(size({a}) as bigint)")), F.lit(0)).alias(f"n{i}") for i, a in enumerate(left.values())]
     total = F.coalesce(F.sum(F.size(spans).cast("long")), F.lit(0)).alias("checked")
     counted = result.agg(total, *sums)
